@@ -5,18 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table
+from tallyspark.llm import language, secrets, topk
+from tallyspark.llm.common import arm, table
 from tallyspark.llm.quality import score_repetition
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", arm("doc_id", 4) == 2)
+    model = language.train(docs.where("not held_out"))
+    return language.identify(docs, model).withColumn("held_out", arm("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score", "proportions")
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_repetition(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantise(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+def op7_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.fit(secrets.windows(docs))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return secrets.scan(docs, model).withColumn("spans", spans)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_repetition_coverage,)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op4_exact_topk, op7_secret_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_topk": OP4}
+
+
+OP4 = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+"""
