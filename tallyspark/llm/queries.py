@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language, secrets, topk
+from tallyspark.llm import chat, language, licenses, secrets, topk
 from tallyspark.llm.common import arm, table
 from tallyspark.llm.quality import score_repetition
 
@@ -27,6 +27,15 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
+    return chat.digest(chat.format_chats(rows.withColumn("parts", chat.text_parts(F.col("text")))))
+
+
 def op7_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = secrets.fit(secrets.windows(docs))
@@ -35,11 +44,11 @@ def op7_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op4_exact_topk, op7_secret_crf)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op3_license_dice, op4_exact_topk, op5_chat_parts, op7_secret_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": OP4}
+    return {"op4_exact_topk": OP4, "op5_chat_parts": OP5}
 
 
 OP4 = """
@@ -57,3 +66,21 @@ WITH usable AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
 """
+
+# In its texts, "~" and the control strings of the template are two characters and two characters longer.
+OP5 = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, (length(text) - length(replace(text, '~', ''))) + sum_marks AS extra FROM (
+    SELECT *, list_sum(list_transform(['<|', '|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+      lambda c: 2 * ((length(text) - length(replace(text, c, ''))) // length(c)))) AS sum_marks FROM rows)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(length('<|role|>') + length('<|text|>') + length('<|end|>') + length(role) + length(text) + extra) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
