@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, language, licenses, secrets, topk
+from tallyspark.llm import chat, language, licenses, mixing, packing, secrets, topk
 from tallyspark.llm.common import arm, table
 from tallyspark.llm.quality import score_repetition
 
@@ -36,6 +36,11 @@ def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.withColumn("parts", chat.text_parts(F.col("text")))))
 
 
+def op6_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def op7_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = secrets.fit(secrets.windows(docs))
@@ -43,8 +48,12 @@ def op7_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, model).withColumn("spans", spans)
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.plan_mix(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op3_license_dice, op4_exact_topk, op5_chat_parts, op7_secret_crf)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op3_license_dice, op4_exact_topk, op5_chat_parts, op6_best_fit_pack, op7_secret_crf, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
