@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, language, licenses, mixing, neardup, packing, secrets, topk
+from tallyspark.llm import chat, ctw, language, licenses, mixing, neardup, packing, secrets, topk
 from tallyspark.llm.common import arm, table
 from tallyspark.llm.quality import score_repetition
 
@@ -52,12 +52,18 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(table(spark, sf_dir, "documents")))
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = ctw.score_texts(docs, arm("doc_id", 5) != 1)
+    return scored.select("doc_id", (arm("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Banding(words=3, percent=85))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op3_license_dice, op4_exact_topk, op5_chat_parts, op6_best_fit_pack, op7_secret_crf, op8_mix_sources, op10_tensored_minhash)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op3_license_dice, op4_exact_topk, op5_chat_parts, op6_best_fit_pack, op7_secret_crf, op8_mix_sources, op9_context_tree, op10_tensored_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
