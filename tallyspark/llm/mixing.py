@@ -135,25 +135,37 @@ def taken_words(plan: Plan) -> DataFrame:
     return taken.join(plan.sources, "key").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def row_key(doc_id: str = "doc_id") -> Column:
+    """The id as text; a null id has a key as well."""
+    return F.coalesce(F.concat(F.lit("0"), F.col(doc_id).cast("string")), F.lit("1"))
+
+
 def mixed_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     """``docs``, all columns, as the mix takes them: a row for each pass that takes words of it, with the text of those words.
 
     A text taken whole stays as it is; else the words' stretches follow each other with the blanks after
-    them. n_chars, where there is one, is counted anew. Rows without words, or whose blocks no pass takes, go."""
-    tag = [c for c in ("part", "rn", "key") if c in docs.columns]
-    if tag:
-        raise ValueError(f"documents with columns {tag}: rename them")
-    b = F.struct("block", "lo", "hi")
+    them. n_chars, where there is one, is counted anew. Rows without words, or whose blocks no pass takes, go.
+    Texts are shuffled once, by id; repeated rows (equal id, source and size) take their own cuts in turn."""
+    names = ["_id", "_key", "_size"]
+    if clash := {*names, "_dup", "_cuts", "_n", "_words"} & set(docs.columns):
+        raise ValueError(f"documents with columns {sorted(clash)}: rename them")
+    rows = plan.rows.select(row_key().alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "part", "rn")
+    rows = rows.withColumn("_dup", F.row_number().over(Window.partitionBy(*names).orderBy("part", "rn")))
     cuts = segments(plan).where("block is not null").join(plan.slots.select("key", "block", "pass"), ["key", "block"])
-    cuts = cuts.groupBy("key", "part", "rn", "doc_id", "size", "pass").agg(F.array_sort(F.collect_list(b)).alias("cuts"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
-    n_parts = max(1, plan.rows.count() // 20_000)
-    keyed = docs.withColumn("key", source_key(F.col("source"))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int"))
-    keyed = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id", word_count(F.col("text")))))
-    out = keyed.join(cuts.select("key", "part", "rn", "size", "cuts", "n"), ["key", "part", "rn"])
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    pieces = F.transform("cuts", lambda c: F.array_join(F.slice("words", (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")), ""))
-    out = out.withColumn("words", F.when(F.col("n") < F.col("size"), words))
-    out = out.withColumn("text", F.when(F.col("n") < F.col("size"), F.array_join(pieces, "")).otherwise(F.col("text")))
+    cuts = cuts.groupBy("key", "part", "rn", "pass").agg(F.array_sort(F.collect_list(F.struct("block", "lo", "hi"))).alias("_cuts"), F.sum(F.col("hi") - F.col("lo")).alias("_n"))
+    cuts = cuts.withColumnRenamed("key", "_key").join(rows, ["_key", "part", "rn"]).select(*names, "_dup", "_cuts", "_n")
+    own = docs.withColumns({"_id": row_key(), "_key": source_key(F.col("source")), "_size": word_count(F.col("text"))})
+    again = rows.where("_dup > 1").select(*names).distinct()
+    if again.limit(1).count():
+        in_turn = F.row_number().over(Window.partitionBy(*names).orderBy("text"))
+        own = own.join(again, names, "left_anti").withColumn("_dup", F.lit(1)).unionByName(own.join(again, names, "left_semi").withColumn("_dup", in_turn))
+    else:
+        own = own.withColumn("_dup", F.lit(1))
+    out = own.join(cuts, [*names, "_dup"])
+    part = F.col("_n") < F.col("_size")
+    out = out.withColumn("_words", F.when(part, F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))))
+    pieces = F.transform("_cuts", lambda c: F.array_join(F.slice("_words", (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")), ""))
+    out = out.withColumn("text", F.when(part, F.array_join(pieces, "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -260,3 +260,19 @@ def near_duplicates(docs: DataFrame, b: Banding = Banding()) -> DataFrame:
     out = found.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, b: Banding = Banding()) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, of which ``near_duplicates`` keeps the id: one document a group.
+
+    Of repeated rows (equal id and text) one stays; rows without an id stay. Ids to remove are broadcast while they
+    are at most ``BROADCAST_ROWS``; beyond that the join shuffles by id."""
+    found = materialise(near_duplicates(docs, b), "components")
+    gone = found.where("not kept").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone_n, again_n = gone.count(), again.count()
+    out = docs.join(F.broadcast(gone) if gone_n <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    if again_n:
+        again = F.broadcast(again) if again_n <= BROADCAST_ROWS else again
+        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.select(*docs.columns)

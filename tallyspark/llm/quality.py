@@ -25,9 +25,9 @@ class RepetitionRules:
     symbol_limit: symbols ``#*$%&|<>`` a word.
     min_words, repeat_percent: the base rule."""
 
-    ngram_limits: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20})
+    ngram_limits: dict[int, float] = field(default_factory=lambda: {5: 0.45, 6: 0.43, 7: 0.41, 8: 0.39, 9: 0.37, 10: 0.35})
     line_limit: float = 0.30
-    symbol_limit: float = 0.5
+    symbol_limit: float = 0.3
     min_words: int = 50
     repeat_percent: int = 50
 
