@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import scores
+from tallyspark.plans import scores, times
 
 FLAGSHIP = "macro_mean_nested"
-MODULES = (scores,)
+MODULES = (scores, times)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
