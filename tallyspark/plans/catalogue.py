@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import scores, times
+from tallyspark.plans import ledgers, scores, times
 
 FLAGSHIP = "macro_mean_nested"
-MODULES = (scores, times)
+MODULES = (scores, times, ledgers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
