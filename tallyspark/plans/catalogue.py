@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import ledgers, scores, times
+from tallyspark.plans import ledgers, scores, texts, times
 
 FLAGSHIP = "macro_mean_nested"
-MODULES = (scores, times, ledgers)
+MODULES = (scores, times, ledgers, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -92,8 +92,8 @@ def rng_draws(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.left(F.col("text"), F.lit(90))
-    return load(spark, d, "documents").select("doc_id", text.slug(doc, "doc").alias("slug"), text.auto_title(doc).alias("title"), text.shorten(doc, 12).alias("short"), text.xml_escape(F.left("text", F.lit(40))).alias("xml"))
+    doc = F.col("text")
+    return load(spark, d, "documents").select("doc_id", text.slug(doc, "doc").alias("slug"), text.auto_title(doc).alias("title"), text.shorten(doc, 12).alias("short"), text.xml_escape(doc).alias("xml"))
 
 
 def clock_format(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +115,7 @@ def unsafe_uri(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "conversations").where("turn = 0").select("conv_id", F.size(text.search_tokens(F.left("text", F.lit(60)))).alias("n"), F.array_join(F.array_sort(text.search_tokens(F.lit("图像 ab 力学题 x_y 电"))), " ").alias("cjk"))
+    return load(spark, d, "conversations").select("conv_id", "turn", F.size(text.search_tokens(F.col("text"))).alias("n"), F.array_join(F.array_sort(text.search_tokens(F.lit("图像 ab 力学题 x_y 电"))), " ").alias("cjk"))
 
 
 def masked_settings(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +157,7 @@ b AS (SELECT *, CAST((CAST(xor(a, a >> 15) AS HUGEINT) * (a | 1)) % 4294967296 A
 c AS (SELECT *, xor(t, (t + CAST((CAST(xor(t, t >> 7) AS HUGEINT) * (t | 61)) % 4294967296 AS BIGINT)) % 4294967296) u FROM b)
 SELECT o_orderkey, CAST(floor(xor(u, u >> 14) / 4294967296.0 * 1e9) AS BIGINT) AS draw FROM c""",
     "slugs": """
-WITH d AS (SELECT doc_id, left(text, 90) t, left(text, 40) x FROM documents),
+WITH d AS (SELECT doc_id, text t, text x FROM documents),
 s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-|-$', '', 'g') g, trim(regexp_replace(t, '\\s+', ' ', 'g')) q FROM d)
 SELECT doc_id, regexp_replace(left(CASE WHEN g = '' THEN 'doc' ELSE g END, 63), '-$', '') AS slug, CASE WHEN length(q) > 28 THEN left(q, 28) || '…' ELSE q END AS title,
   CASE WHEN length(t) > 12 THEN left(t, 11) || '…' ELSE t END AS short, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM s""",
@@ -172,7 +172,7 @@ w AS (SELECT page_id, 0 AS way, false AS safe FROM p UNION ALL SELECT page_id, 1
   UNION ALL SELECT page_id, 2, false FROM p UNION ALL SELECT page_id, 3, false FROM p UNION ALL SELECT page_id, 4, NOT regexp_matches(x, '[?#\\\\]') AND NOT list_has_any(string_split(x, '/'), ['', '.', '..']) FROM p UNION ALL SELECT page_id, 5, false FROM p)
 SELECT * FROM w""",
     "search_tokens": """
-WITH c AS (SELECT conv_id, regexp_replace(lower(left(text, 60)), '\\s+', '', 'g') s FROM conversations WHERE turn = 0)
-SELECT conv_id, CAST(len(list_distinct(regexp_extract_all(s, '[a-z0-9][a-z0-9_-]+'))) AS INTEGER) AS n, 'ab x_y 力学 力学题 图像 学题 电' AS cjk FROM c""",
+WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text), '\\s+', '', 'g') s FROM conversations)
+SELECT conv_id, turn, CAST(len(list_distinct(regexp_extract_all(s, '[a-z0-9][a-z0-9_-]+'))) AS INTEGER) AS n, 'ab x_y 力学 力学题 图像 学题 电' AS cjk FROM c""",
     "masked_settings": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 2 = 1 THEN 'env' ELSE 'default' END AS value, left(c_name, 4) || '…' || right(c_name, 4) AS masked FROM customer",
 }

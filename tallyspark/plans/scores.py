@@ -75,9 +75,9 @@ def item_metrics_f1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rater_means(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "lineitem").where("l_linenumber <= 2")
-    out = scoring.rater_mean(rows, ["l_orderkey"], "l_linenumber", ["l_quantity", "l_discount"])
-    return out.select("l_orderkey", "complete", "l_quantity", F.round("l_discount", 9).alias("l_discount"))
+    rows = load(spark, d, "lineitem")
+    out = scoring.rater_mean(rows, ["l_orderkey"], "l_linestatus", ["l_quantity", "l_discount"])
+    return out.select("l_orderkey", "complete", F.round("l_quantity", 9).alias("l_quantity"), F.round("l_discount", 9).alias("l_discount"))
 
 
 def rating_recheck(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +222,7 @@ WITH a AS (SELECT l_orderkey AS item, count(DISTINCT l_linenumber) c, count(DIST
 b AS (SELECT *, s / c AS pr, u / n AS re FROM a)
 SELECT item, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 9) AS evidence_f1, round(cov / nullif(e, 0), 9) AS edit_coverage,
   round(ok / nullif(p, 0), 9) AS temporal_fidelity, round((c - s) / c, 9) AS unsupported_claim_rate FROM b""",
-    "rater_means": "SELECT l_orderkey, count(DISTINCT l_linenumber) = 2 AS complete, CASE WHEN count(DISTINCT l_linenumber) = 2 THEN avg(l_quantity) END AS l_quantity, CASE WHEN count(DISTINCT l_linenumber) = 2 THEN round(avg(l_discount), 9) END AS l_discount FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL",
+    "rater_means": "SELECT l_orderkey, count(DISTINCT l_linestatus) = 2 AS complete, CASE WHEN count(DISTINCT l_linestatus) = 2 THEN round(avg(l_quantity), 9) END AS l_quantity, CASE WHEN count(DISTINCT l_linestatus) = 2 THEN round(avg(l_discount), 9) END AS l_discount FROM lineitem GROUP BY ALL",
     "rating_recheck": """
 WITH r AS (SELECT CAST(l_quantity AS INTEGER) % 7 tp, l_linenumber % 4 fp, CAST(l_partkey AS INTEGER) % 5 fn, CAST(l_suppkey AS INTEGER) s FROM lineitem),
 q AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END re FROM r),

@@ -76,7 +76,7 @@ def adjacent_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_pairs_ordered(spark: SparkSession, d: str) -> DataFrame:
-    li = load(spark, d, "lineitem").where("l_orderkey % 20 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    li = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
     return temporal.ordered_pairs(li, "l_orderkey", "l_linenumber", "part")
 
 
@@ -130,8 +130,7 @@ def uncovered_required(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    small = load(spark, d, "supplier").where("s_suppkey < 50")
-    out = integrity.duplicate_ids(supplier=(small, "s_suppkey"), nation=(load(spark, d, "nation"), "n_nationkey"), region=(load(spark, d, "region"), "r_regionkey"))
+    out = integrity.duplicate_ids(supplier=(load(spark, d, "supplier"), "s_suppkey"), nation=(load(spark, d, "nation"), "n_nationkey"), region=(load(spark, d, "region"), "r_regionkey"))
     return out.select("id", F.array_join("kinds", ",").alias("kinds"), "n")
 
 
@@ -200,7 +199,7 @@ SELECT event_id, user_id, "at", nearest_id, gap FROM r WHERE n = 1""",
     "adjacent_overlap": f"""
 WITH x AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS id, min({DAY.format('l_shipdate')}) s, max({DAY.format('l_shipdate')} + CAST(l_quantity AS INTEGER)) e FROM lineitem GROUP BY ALL),
 y AS (SELECT *, lag(e) OVER (PARTITION BY l_suppkey ORDER BY s, id) p FROM x) SELECT l_suppkey, count(*) AS overlaps, CAST(max(p) AS INTEGER) AS last_end FROM y WHERE p > s GROUP BY ALL""",
-    "all_pairs_ordered": "WITH x AS (SELECT l_orderkey, l_linenumber, min(l_partkey) part FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL) SELECT l_orderkey, a.part AS before, b.part AS after FROM x a JOIN x b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber",
+    "all_pairs_ordered": "WITH x AS (SELECT l_orderkey, l_linenumber, min(l_partkey) part FROM lineitem GROUP BY ALL) SELECT l_orderkey, a.part AS before, b.part AS after FROM x a JOIN x b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber",
     "state_chain": f"""
 WITH s AS (SELECT o_orderkey id, {DAY.format('o_orderdate')} s, {DAY.format('o_orderdate')} + 30 e FROM orders),
 d AS (SELECT l_orderkey * 10 + l_linenumber AS delta_id, l_orderkey b, l_orderkey + 1 a, min({DAY.format('l_shipdate')}) s, min({DAY.format('l_shipdate')} + CAST(l_quantity AS INTEGER) - 1) e FROM lineitem GROUP BY ALL),
@@ -213,7 +212,7 @@ SELECT delta_id, 'delta.before_ref' AS code FROM j WHERE pid IS NULL UNION ALL S
     "polymorphic_fk": "WITH x AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'part' WHEN 1 THEN 'supplier' ELSE 'orders' END AS kind, l_partkey p, l_suppkey s, l_orderkey o FROM lineitem) SELECT kind, count(*) AS n FROM x WHERE (kind = 'part' AND p NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)) OR (kind = 'supplier' AND s NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) OR (kind = 'orders' AND o NOT IN (SELECT o_orderkey FROM orders)) GROUP BY ALL",
     "scope_mismatch": "SELECT s_nationkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL",
     "uncovered_required": "SELECT c_custkey, count(o_orderkey) AS uses FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL HAVING uses <> 1",
-    "id_uniqueness": "WITH x AS (SELECT 'supplier' k, CAST(s_suppkey AS VARCHAR) id FROM supplier WHERE s_suppkey < 50 UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region) SELECT id, array_to_string(list_sort(list(DISTINCT k)), ',') AS kinds, count(*) AS n FROM x GROUP BY ALL HAVING count(*) > 1",
+    "id_uniqueness": "WITH x AS (SELECT 'supplier' k, CAST(s_suppkey AS VARCHAR) id FROM supplier UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region) SELECT id, array_to_string(list_sort(list(DISTINCT k)), ',') AS kinds, count(*) AS n FROM x GROUP BY ALL HAVING count(*) > 1",
     "set_equality": "WITH a AS (SELECT l_returnflag f, CAST(l_quantity AS INTEGER) q FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_returnflag f, CAST(l_quantity AS INTEGER) q FROM lineitem WHERE l_linenumber = 2) SELECT * FROM (SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) WHERE n > 0",
     "set_difference": "SELECT p_partkey AS part FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 10",
     "first_match": "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) n FROM orders) WHERE n = 1",
