@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import map_batches
+from tallyspark.llm.common import map_batches, map_stream
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def train(labelled: DataFrame, buckets: int = 1 << 15, max_languages: int = 256,
                     [pa.array(np.full(len(used), i, np.int32)), pa.array(used.astype(np.int32)), pa.array(total[i][used])], ["lang", "bucket", "n"]
                 )
 
-    counts = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = map_stream(rows, count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     total = np.zeros((len(names), buckets))
     if names:
         found = counts.toArrow()
@@ -122,9 +122,8 @@ def infer(text: str | None, model: LanguageModel, penalty: float) -> tuple[str,
             if whole[order[size - 1]] < 1e-3:
                 break
             w, v = mixture(p[:, order[:size]], n)
-            if v + offset - value <= cost:
-                break
-            chosen, weight, value = order[:size], w, v + offset
+            if v + offset - cost * (size - 1) > value - cost * (len(chosen) - 1):
+                chosen, weight, value = order[:size], w, v + offset
     main = int(weight.argmax())
     return model.names[chosen[main]], float(min(1.0, weight[main])), {model.names[k]: float(w) for k, w in zip(chosen, weight, strict=True)}
 
