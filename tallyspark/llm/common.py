@@ -24,6 +24,14 @@ def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("binary").alias("text"))
 
 
+def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most 500 rows and about 8 MB, so that long texts do not add up in a worker's memory."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch; empty batches are not passed on."""
 
@@ -32,7 +40,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
 
 
 def arm(doc_id: Column | str, modulus: int) -> Column:

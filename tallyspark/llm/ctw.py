@@ -16,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialise
+from tallyspark.llm.common import map_stream, materialise
 
 #: The end of a text: coded as this byte, after as many of them as context before the text.
 END = b"\0"
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
         if parts:
             yield told_grams()
 
-    return docs.select("text", "train").mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return map_stream(docs.select("text", "train"), count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
 def ln_gamma(z: Column) -> Column:
@@ -199,6 +199,21 @@ class GramTable:
         return out, np.concatenate(lost)
 
 
+def most_frequent(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows whose n reaches the least quarter power of two that at most ``limit`` rows reach.
+
+    Their number is bounded without sorting: counts by power are a few hundred numbers at any size."""
+    power = F.floor(F.log2("n") * 4).cast("int")
+    counts = {r["power"]: r["count"] for r in rows.where("n > 0").groupBy(power.alias("power")).count().collect()}
+    least, held = max(counts, default=0) + 1, 0
+    for p in sorted(counts, reverse=True):
+        held += counts[p]
+        if held > limit:
+            break
+        least = p
+    return rows.where((F.col("n") > 0) & (power >= least))
+
+
 def score_rows(docs: DataFrame, hot_words: dict[bytes, float], hot_grams: tuple[np.ndarray, np.ndarray], depth: int) -> DataFrame:
     """(doc_id, rid, n_tokens, known, base, value, coded, words, grams) of each row: sums over the words and grams at hand, and those that are not."""
     spark = docs.sparkSession
@@ -233,7 +248,7 @@ def score_rows(docs: DataFrame, hot_words: dict[bytes, float], hot_grams: tuple[
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "rid", "n_tokens", "known", "base", "value", "coded", "words", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, rid long, n_tokens long, known long, base double, value double, coded long, words array<binary>, grams array<long>")
+    return map_stream(docs.select("doc_id", "text"), score, f"doc_id {kind}, rid long, n_tokens long, known long, base double, value double, coded long, words array<binary>, grams array<long>")
 
 
 def score_texts(docs: DataFrame, train: Column, depth: int = 4, limits: Limits = Limits()) -> DataFrame:
@@ -252,10 +267,10 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 4, limits: Limits =
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     scale = total["n"] + 0.5 * (total["v"] + 1)
     value_of = lambda n: F.log10((n + 0.5) / F.lit(scale))
-    hot = words.where(F.length("word") <= limits.word_bytes).orderBy(F.desc("n"), "word").limit(limits.words).select("word", value_of(F.col("n")).alias("value")).toArrow()
+    hot = most_frequent(words.where(F.length("word") <= limits.word_bytes), limits.words).select("word", value_of(F.col("n")).alias("value")).toArrow()
     hot_words = dict(zip(map(bytes, hot["word"].to_pylist()), hot["value"].to_pylist(), strict=True))
     grams = materialise(gram_scores(counts.where("gram is not null").select("gram", "n"), depth), "grams")
-    hot = grams.orderBy(F.desc("n"), "gram").limit(limits.grams).select("gram", "value").toArrow()
+    hot = most_frequent(grams, limits.grams).select("gram", "value").toArrow()
     hot_grams = (hot["gram"].to_numpy().astype(np.int64), hot["value"].to_numpy().astype(np.float64))
 
     rows = materialise(score_rows(docs.select("doc_id", text), hot_words, hot_grams, depth), "scored")

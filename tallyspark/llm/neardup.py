@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import map_batches, materialise, text_bytes
+from tallyspark.llm.common import map_stream, materialise, text_bytes
 from tallyspark.llm.graph import components
 
 U = np.uint64
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, b: Banding) -> DataFrame:
                 ["doc_id", "n_shingles", "node", "h", "keys"],
             )
 
-    return text_bytes(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, h long, keys array<long>")
+    return map_stream(text_bytes(docs, "doc_id"), run, f"doc_id {kind}, n_shingles long, node binary, h long, keys array<long>")
 
 
 def clusters(found: DataFrame, b: Banding) -> DataFrame:
@@ -236,7 +236,7 @@ def links(docs: DataFrame, placed: DataFrame, b: Banding) -> DataFrame:
         found = linked(node, np.array([seen[n][0] for n in node]), [np.frombuffer(seen[n][1], U) for n in node], b.percent)
         return pa.table({"u": pa.array([x for x, _ in found], pa.binary()), "v": pa.array([y for _, y in found], pa.binary())})
 
-    sets = rows.select("text", "node", "slots").mapInArrow(gather, "group long, side int, node binary, set binary")
+    sets = map_stream(rows.select("text", "node", "slots"), gather, "group long, side int, node binary, set binary")
     return sets.groupBy("group").applyInArrow(compare, "u binary, v binary")
 
 
