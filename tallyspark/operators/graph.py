@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,27 +33,41 @@ def layout(nodes: DataFrame, edges: DataFrame, diagram: str, per_row: int = 5) -
     nodes (diagram, node, place), edges (diagram, source, target). A diagram is bounded by contract (some ten nodes), so
     each is one group."""
 
-    def place(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        order = n.sort_values(["place", "node"])["node"].drop_duplicates().tolist()
-        known = set(order)
-        pairs = {(s, t) for s, t in zip(e["source"], e["target"], strict=True) if s in known and t in known and s != t}
-        waiting = {x: {s for s, t in pairs if t == x} for x in order}
+    def place(nodes: list[dict], pairs: list[dict]) -> list[tuple]:
+        order = list(dict.fromkeys(x["node"] for x in sorted(nodes, key=lambda x: (x["place"], x["node"]))))
+        parents: dict = {x: set() for x in order}
+        for e in pairs or []:
+            if e["source"] in parents and e["target"] in parents and e["source"] != e["target"]:
+                parents[e["target"]].add(e["source"])
         rank: dict = {}
-        while ready := [x for x in order if x not in rank and waiting[x] <= set(rank)]:
-            for x in ready:
-                rank[x] = max((rank[s] + 1 for s in waiting[x]), default=0)
+        while ready := [x for x in order if x not in rank and parents[x] <= rank.keys()]:
+            rank |= {x: max((rank[s] + 1 for s in parents[x]), default=0) for x in ready}
         last = max(rank.values(), default=-1)
         rank |= {x: last + 1 for x in order if x not in rank}
-        spot, rows, row = {}, [], 0
+        spot, out, row = {}, [], 0
         for r in sorted(set(rank.values())):
             level = [x for x in order if rank[x] == r]
-            middle = {x: [spot[s] for s, t in pairs if t == x and s in spot] for x in level}
+            middle = {x: [spot[s] for s in parents[x] if s in spot] for x in level}
             level.sort(key=lambda x: (sum(middle[x]) / len(middle[x]) if middle[x] else order.index(x), order.index(x)))
             for i, x in enumerate(level):
                 spot[x] = i % per_row
-                rows.append((key[0], x, r, row + i // per_row, i % per_row))
+                out.append((x, r, row + i // per_row, i % per_row))
             row += -(-len(level) // per_row)
-        return pd.DataFrame(rows, columns=[diagram, "node", "rank", "row", "column"])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, columns = [], [[], [], [], []]
+            for i, (n, e) in enumerate(zip(batch.column("nodes").to_pylist(), batch.column("edges").to_pylist(), strict=True)):
+                for placed in place(n, e):
+                    key.append(i)
+                    for column, value in zip(columns, placed, strict=True):
+                        column.append(value)
+            node = pa.array(columns[0], batch.schema.field("nodes").type.value_type.field("node").type)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key, pa.int64())), node, *(pa.array(c, pa.int32()) for c in columns[1:])], [diagram, "node", "rank", "row", "column"])
 
     kind = lambda c: nodes.schema[c].dataType.simpleString()
-    return nodes.groupBy(diagram).cogroup(edges.groupBy(diagram)).applyInPandas(place, f"`{diagram}` {kind(diagram)}, node {kind('node')}, rank int, row int, column int")
+    left = nodes.groupBy(F.col(diagram).alias("d")).agg(F.collect_list(F.struct("node", "place")).alias("nodes"))
+    right = edges.groupBy(F.col(diagram).alias("of")).agg(F.collect_list(F.struct("source", "target")).alias("edges"))
+    both = left.join(right, F.col("d") == F.col("of"), "left").select("d", "nodes", "edges")
+    return both.mapInArrow(run, f"`{diagram}` {kind(diagram)}, node {kind('node')}, rank int, row int, column int")
