@@ -20,7 +20,7 @@ from tallyspark.llm.common import map_stream, materialise, text_bytes
 from tallyspark.llm.graph import components
 
 U = np.uint64
-#: Candidate ids up to this many rows are broadcast (some 100 MB); beyond it the join shuffles.
+#: Candidate ids and slots up to this many together are broadcast (some 100 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -212,7 +212,7 @@ def linked(node: list[bytes], side: np.ndarray, sets: list[np.ndarray], percent:
 def links(docs: DataFrame, placed: DataFrame, b: Banding) -> DataFrame:
     """(u, v): links between nodes that connect whatever the groups' full sets connect."""
     placed = materialise(placed, "placed")
-    if placed.count() <= BROADCAST_ROWS:
+    if (placed.agg(F.sum(1 + F.size("slots")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
     rows = text_bytes(docs, "doc_id").join(placed, "doc_id")
 
