@@ -25,7 +25,7 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 #: What counts as a word's character once letters are lower case.
-NOT_WORD = r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])"
+NOT_WORD = r"(?:[^\p{L}\p{N}.]|\.(?![\p{L}\p{N}]))+"
 
 
 def normal(text: Column) -> Column:
@@ -45,7 +45,7 @@ def bigrams(text: Column) -> Column:
 def template_bigrams(text: str) -> set[str]:
     import re
 
-    words = re.sub(r"[^a-z0-9.]+|\.(?![a-z0-9])", " ", text.lower()).split()
+    words = re.sub(r"(?:[^a-z0-9.]|\.(?![a-z0-9]))+", " ", text.lower()).split()
     return set(map(" ".join, zip(words, words[1:], strict=False)))
 
 
