@@ -24,6 +24,8 @@ TEMPLATES: dict[str, str] = {
     "CC0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+#: Slack of bounds in floating point, so that none cuts off what lies on it.
+EDGE = 1e-9
 #: What counts as a word's character once letters are lower case.
 NOT_WORD = r"(?:[^\p{L}\p{N}.]|\.(?![\p{L}\p{N}]))+"
 
@@ -57,7 +59,7 @@ def signal_words(templates: dict[str, str], similarity: float) -> list[str]:
     chosen: set[str] = set()
     for text in templates.values():
         pairs = template_bigrams(text)
-        spare = len(pairs) - len(pairs) * similarity / (2 - similarity)
+        spare = len(pairs) - len(pairs) * similarity / (2 - similarity) + EDGE
         words = sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, -len(w), w))
         for w in words:
             if len({p for p in pairs if chosen & set(p.split())}) > spare:
@@ -79,7 +81,7 @@ def scan_licenses(docs: DataFrame, similarity: float = 0.8, templates: dict[str,
     size lies within t/(2-t) and (2-t)/t of their own."""
     templates = TEMPLATES if templates is None else templates
     sets = {name: sorted(template_bigrams(text)) for name, text in sorted(templates.items())}
-    low, high = similarity / (2 - similarity), (2 - similarity) / similarity
+    low, high = similarity / (2 - similarity) - EDGE, (2 - similarity) / similarity + EDGE
     least, most = min(map(len, sets.values())) * low, max(map(len, sets.values())) * high
     signal = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(w.replace(".", r"\.") for w in signal_words(templates, similarity)) + r")(?![\p{L}\p{N}])"
     text = F.coalesce(F.col("text"), F.lit(""))
