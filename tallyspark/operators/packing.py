@@ -46,7 +46,7 @@ def last_n(rows: DataFrame, key: Sequence[str], order: str, n: int) -> DataFrame
     return rows.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
 
 
-def history_budget(turns: DataFrame, key: str, order: str, question: str, answer: str, budget: int = 16_000, digest_budget: int = 4_000, always: int = 2) -> DataFrame:
+def history_budget(turns: DataFrame, key: str, order: str, question: str, answer: str, budget: int = 20_000, digest_budget: int = 4_000, always: int = 2) -> DataFrame:
     """``turns`` with ``part``: recent, digest or omitted.
 
     Texts are cut first (3,000 and 6,000 characters; turns without either go); newest first, turns are recent while
