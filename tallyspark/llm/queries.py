@@ -67,7 +67,64 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": OP4, "op5_chat_parts": OP5}
+    return {"op2_repetition_coverage": OP2, "op4_exact_topk": OP4, "op5_chat_parts": OP5, "op10_tensored_minhash": OP10}
+
+
+# The limits are those of RepetitionRules.
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), base AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d
+), lines AS (
+  SELECT doc_id, line, count(*) - 1 AS again FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL
+), dup AS (
+  SELECT doc_id, CAST(sum(again) AS BIGINT) AS n_dup_lines, CAST(sum(again * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS BIGINT) AS dup_chars FROM lines GROUP BY doc_id
+), grams AS (
+  SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i : i + n - 1], ' '))) AS g
+  FROM d, (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n) WHERE len(ws) >= n
+), often AS (
+  SELECT doc_id, n, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, n, g) > 1
+), inside AS (
+  SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS j FROM often
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM d
+), cover AS (
+  SELECT doc_id, n, count(*) AS words, sum(length(w)) AS chars FROM inside JOIN words USING (doc_id, j) GROUP BY ALL
+), share AS (
+  SELECT doc_id, max(CASE WHEN n = 3 THEN words END) AS repeated, max(CASE WHEN n > 3 THEN chars / word_chars END) AS top,
+    bool_or(n > 3 AND chars / word_chars > [0.45, 0.43, 0.41, 0.39, 0.37, 0.35][n - 4]) AS bad FROM cover JOIN base USING (doc_id) GROUP BY doc_id
+), every AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(dup_chars / nullif(word_chars, 0), 0.0) AS line_share, coalesce(top, 0.0) AS ngram_share, coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbol_share, coalesce(bad, false) AS bad
+  FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN share USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM every
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT bad AND line_share <= 0.30 AND symbol_share <= 0.3 AS kept, line_share, ngram_share, symbol_share FROM judged
+"""
+
+# All pairs that share a shingle, and what they reach.
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))) END AS s FROM d
+), terms AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM terms a JOIN terms b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(u, v) AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), least_of AS (
+  SELECT u, min(v) AS m FROM reach GROUP BY u
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept FROM sets LEFT JOIN least_of ON u = doc_id
+"""
 
 
 OP4 = """
