@@ -81,15 +81,16 @@ WITH d AS (
   SELECT doc_id, line, count(*) - 1 AS again FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL
 ), dup AS (
   SELECT doc_id, CAST(sum(again) AS BIGINT) AS n_dup_lines, CAST(sum(again * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS BIGINT) AS dup_chars FROM lines GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM d
+), near AS (
+  SELECT doc_id, j, w, {LEADS} FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY j)
 ), grams AS (
-  SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i : i + n - 1], ' '))) AS g
-  FROM d, (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n) WHERE len(ws) >= n
+  {GRAMS}
 ), often AS (
   SELECT doc_id, n, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, n, g) > 1
 ), inside AS (
   SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS j FROM often
-), words AS (
-  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM d
 ), cover AS (
   SELECT doc_id, n, count(*) AS words, sum(length(w)) AS chars FROM inside JOIN words USING (doc_id, j) GROUP BY ALL
 ), share AS (
@@ -104,7 +105,9 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT bad AND line_share <= 0.30 AND symbol_share <= 0.3 AS kept, line_share, ngram_share, symbol_share FROM judged
-"""
+""".replace("{LEADS}", ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, 10))).replace(
+    "{GRAMS}", "\n  UNION ALL ".join(f"SELECT doc_id, {n} AS n, j AS i, concat_ws(' ', w, {', '.join(f'w{k}' for k in range(1, n))}) AS g FROM near WHERE w{n - 1} IS NOT NULL" for n in (3, 5, 6, 7, 8, 9, 10))
+)
 
 # All pairs that share a shingle, and what they reach.
 OP10 = r"""
