@@ -1,10 +1,15 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
 DataFrame functions only. Each line, each paragraph and the whole text is compared with the templates
-whose size could reach the wanted similarity."""
+whose size could reach the wanted similarity; on request also runs of words anywhere in the text, so that
+notices over several paragraphs or inside a longer one are found."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ TEMPLATES: dict[str, str] = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "MIT-line": "Released under the MIT License.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -28,6 +35,7 @@ TEMPLATES: dict[str, str] = {
 EDGE = 1e-9
 #: What counts as a word's character once letters are lower case.
 NOT_WORD = r"(?:[^\p{L}\p{N}.]|\.(?![\p{L}\p{N}]))+"
+MATCHES = "array<struct<license:string,dice:double,passage:string>>"
 
 
 def normal(text: Column) -> Column:
@@ -44,10 +52,12 @@ def bigrams(text: Column) -> Column:
     )
 
 
-def template_bigrams(text: str) -> set[str]:
-    import re
+def template_words(text: str) -> list[str]:
+    return re.sub(r"(?:[^a-z0-9.]|\.(?![a-z0-9]))+", " ", text.lower()).split()
 
-    words = re.sub(r"(?:[^a-z0-9.]|\.(?![a-z0-9]))+", " ", text.lower()).split()
+
+def template_bigrams(text: str) -> set[str]:
+    words = template_words(text)
     return set(map(" ".join, zip(words, words[1:], strict=False)))
 
 
@@ -68,13 +78,72 @@ def signal_words(templates: dict[str, str], similarity: float) -> list[str]:
     return sorted(chosen)
 
 
-def scan_licenses(docs: DataFrame, similarity: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def runs(text: Column, sets: dict[str, list[str]], lengths: dict[str, int], similarity: float) -> Column:
+    """Matches (license, dice, passage) of runs of words anywhere in a normalised text.
+
+    Only runs that begin and end where a stretch of template pairs begins and ends are compared: moving an end over
+    a pair of the template, or away from a foreign one, never lowers the coefficient, so the best run is among them.
+    Of runs that overlap, the better one stays (ties: the earlier, then the shorter). A run has at most (2-t)/t times
+    the template's words, or is one stretch; longer ones could match only by repeating their own pairs."""
+    low, high = similarity / (2 - similarity) - EDGE, (2 - similarity) / similarity + EDGE
+    every = sorted({p for pairs in sets.values() for p in pairs})
+
+    def of_template(name: str, words: Column, pairs: Column, hits: Column) -> Column:
+        t, most = len(sets[name]), math.floor(lengths[name] * high)
+        need = max(1, math.ceil(t * low))
+        at = lambda k: F.get(hits, k)["at"]
+        numbered = F.transform(hits, lambda h, k: F.struct(k.alias("k"), h["at"].alias("at")))
+        # A start is worth a look only if as many hits as are needed follow close enough.
+        near = lambda s: at(s["k"] + (need - 1)) - s["at"] + 2 <= max(most, need + 1)
+        starts = F.filter(numbered, lambda s: ((s["k"] == 0) | (at(s["k"] - 1) < s["at"] - 1)) & near(s))
+        ends = F.filter(numbered, lambda e: (e["k"] == F.size(hits) - 1) | (at(e["k"] + 1) > e["at"] + 1))
+
+        def measured(s: Column, e: Column) -> Column:
+            n = F.size(F.array_distinct(F.slice(pairs, s["at"] + 1, e["at"] - s["at"] + 1)))
+            shared = F.size(F.array_distinct(F.transform(F.slice(hits, s["k"] + 1, e["k"] - s["k"] + 1), lambda h: h["pair"])))
+            return F.struct((-(2 * shared / (n + t))).alias("worse"), s["at"].alias("first"), e["at"].alias("last"))
+
+        def from_start(s: Column, ends: Column) -> Column:
+            reach = F.filter(ends, lambda e: (e["k"] - s["k"] >= need - 1) & ((e["at"] - s["at"] + 2 <= most) | (e["at"] - s["at"] == e["k"] - s["k"])))
+            return F.filter(F.transform(reach, lambda e: measured(s, e)), lambda m: m["worse"] <= -similarity)
+
+        found = F.flatten(let(ends, lambda ends: F.transform(starts, lambda s: from_start(s, ends))))
+        chosen = F.aggregate(
+            F.array_sort(found),
+            F.array().cast("array<struct<worse:double,first:int,last:int>>"),
+            lambda kept, m: F.when(F.exists(kept, lambda x: (x["first"] <= m["last"]) & (m["first"] <= x["last"])), kept).otherwise(F.concat(kept, F.array(m))),
+        )
+        out = F.transform(chosen, lambda m: F.struct(F.lit(name).alias("license"), (-m["worse"]).alias("dice"), F.array_join(F.slice(words, m["first"] + 1, m["last"] - m["first"] + 2), " ").alias("passage")))
+        return F.when(F.size(hits) >= need, out).otherwise(F.array().cast(MATCHES))
+
+    def of_hits(words: Column, pairs: Column, hits: Column) -> Column:
+        def own(name: str) -> Column:
+            return let(F.filter(hits, lambda h: h["pair"].isin(sets[name])), lambda h: of_template(name, words, pairs, h))
+
+        return F.flatten(F.array(*map(own, sets)))
+
+    def of_words(words: Column) -> Column:
+        n = F.size(words)
+        pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        hits = lambda pairs: F.filter(F.transform(pairs, lambda p, i: F.when(p.isin(every), F.struct(i.alias("at"), p.alias("pair")))), lambda h: h.isNotNull())
+        return let(pairs, lambda pairs: let(hits(pairs), lambda hits: of_hits(words, pairs, hits)))
+
+    return let(F.split(text, " "), of_words)
+
+
+def scan_licenses(docs: DataFrame, similarity: float = 0.8, templates: dict[str, str] | None = None, inside: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): license (of the best match, ties to the name that
     sorts first; null without a match), dice, n_matches, and matches: array of (license, dice, passage).
 
     A passage is a line, a paragraph (between blank lines) or the whole text, each at most once, normalised;
     it matches a template at a Dice coefficient of ``similarity`` or more over their distinct word bigrams.
-    Null and empty texts match nothing. Repeated rows are answered each by itself; other columns are not
+    With ``inside``, the best runs of words anywhere in the text (``runs``) are passages as well, whatever lines and
+    paragraphs they cross. Null and empty texts match nothing. Repeated rows are answered each by itself; other columns are not
     read. No shuffle and no join: the templates are constants.
 
     Pruning is exact: only passages with one of the signal words are compared, and only with templates whose
@@ -99,10 +168,13 @@ def scan_licenses(docs: DataFrame, similarity: float = 0.8, templates: dict[str,
             found.append(F.struct(F.lit(name).alias("license"), F.when(fits, dice).alias("dice"), s["passage"].alias("passage")))
         return F.filter(F.array(*found), lambda m: m["dice"] >= similarity)
 
-    found = docs.select("doc_id", F.when(text.rlike(signal), F.flatten(F.transform(sized, against))).alias("found"))
-    shape = "array<struct<license:string,dice:double,passage:string>>"
+    matched = F.flatten(F.transform(sized, against))
+    if inside:
+        lengths = {name: len(template_words(text)) for name, text in templates.items()}
+        matched = F.array_distinct(F.concat(matched, runs(normal(text), sets, lengths, similarity)))
+    found = docs.select("doc_id", F.when(text.rlike(signal), matched).alias("found"))
     matches = F.array_sort(
-        F.coalesce("found", F.array().cast(shape)),
+        F.coalesce("found", F.array().cast(MATCHES)),
         lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).when(a["passage"] < b["passage"], -1).when(a["passage"] > b["passage"], 1).otherwise(0),
     )
     return found.select("doc_id", matches.alias("matches")).select(

@@ -28,7 +28,7 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), inside=True)
 
 
 def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
