@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFF
+#: Most distinct cells of a design; the driver holds them and every task gets them.
+MAX_CELLS = 10_000
 
 
-def draws(seed: int) -> Iterator[float]:
-    """The 32-bit generator's numbers in [0, 1), in order."""
-    state = seed & MASK
+def draws(seed: int, skip: int = 0) -> Iterator[float]:
+    """The 32-bit generator's numbers in [0, 1), in order, after the first ``skip``: its state is a multiple."""
+    state = (seed + skip * 0x6D2B79F5) & MASK
     while True:
         state = (state + 0x6D2B79F5) & MASK
         t = ((state ^ (state >> 15)) * (state | 1)) & MASK
@@ -22,32 +24,76 @@ def draws(seed: int) -> Iterator[float]:
         yield (t ^ (t >> 14)) / 4294967296
 
 
-def resample_plan(design: DataFrame, levels: Sequence[str], seed: int, replicates: int) -> DataFrame:
-    """(replicate, slot, *levels): for each replicate, the cells it draws, level by level with replacement.
+def resample(tree: dict | int, numbers: Iterator[float], slot: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(slot, cell) of one replicate: as many draws with replacement at each cluster as it has children, depth first."""
+    if isinstance(tree, int):
+        yield slot, tree
+        return
+    names = sorted(tree)
+    for i in range(len(names)):
+        yield from resample(tree[names[math.floor(next(numbers) * len(names))]], numbers, (*slot, i))
+
+
+def fixed_draws(tree: dict | int) -> int | None:
+    """How many numbers any replicate takes; None if that depends on what is drawn."""
+    if isinstance(tree, int):
+        return 0
+    below = {fixed_draws(x) for x in tree.values()}
+    return None if len(below) != 1 or None in below else len(tree) * (1 + below.pop())
+
+
+def starts(tree: dict, seed: int, replicates: int) -> Iterator[int]:
+    """Numbers taken before each replicate; one pass in order that keeps nothing."""
+    taken = 0
 
-    ``design`` holds the distinct cells of a rated experiment (by contract some dozens); how many numbers a draw takes depends
-    on the draws before it, so the plan is made in order by the driver. ``slot`` names the drawn place at every
-    level but the last, and keeps repeats of a cluster apart."""
+    def counted() -> Iterator[float]:
+        nonlocal taken
+        for x in draws(seed):
+            taken += 1
+            yield x
+
+    numbers = counted()
+    for _ in range(replicates):
+        yield taken
+        for _ in resample(tree, numbers):
+            pass
+
+
+def resample_plan(design: DataFrame, levels: Sequence[str], seed: int, replicates: int) -> DataFrame:
+    """(replicate, slot, last, *levels): for each replicate, the cells it draws, level by level with replacement.
+
+    ``design`` holds the distinct cells of a rated experiment (by contract some dozens; above ``MAX_CELLS`` an error).
+    The rows are made by the executors, a replicate at a time, each from its place in the sequence of numbers. Where
+    clusters of a level differ in size, that place depends on the draws before, and the driver first counts them,
+    a number a replicate. ``slot`` names the drawn place at every level but the last, and keeps repeats of a
+    cluster apart; ``last`` is the place at the last."""
+    spark = design.sparkSession
+    cells = design.select(*levels).distinct().limit(MAX_CELLS + 1).collect()
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"the design has over {MAX_CELLS} distinct cells")
     tree: dict = {}
-    for row in design.select(*levels).distinct().collect():
+    for n, row in enumerate(cells):
         at = tree
-        for c in levels:
+        for c in levels[:-1]:
             at = at.setdefault(row[c], {})
-    numbers, out = draws(seed), []
-
-    def walk(at: dict, slot: tuple[int, ...], path: tuple, replicate: int) -> None:
-        if len(path) == len(levels):
-            out.append((replicate, ".".join(map(str, slot[:-1])), slot[-1], *path))
-            return
-        names = sorted(at)
-        for i in range(len(names)):
-            pick = names[math.floor(next(numbers) * len(names))]
-            walk(at[pick], (*slot, i), (*path, pick), replicate)
-
-    for r in range(replicates):
-        walk(tree, (), (), r)
+        at[row[levels[-1]]] = n
+    if (each := fixed_draws(tree)) is not None:
+        begun = spark.range(replicates).select(F.col("id").alias("replicate"), (F.col("id") * each).alias("skip"))
+    else:
+        begun = spark.createDataFrame(list(enumerate(starts(tree, seed, replicates))), "replicate long, skip long").repartition(spark.sparkContext.defaultParallelism)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for replicate, skip in zip(batch["replicate"].to_pylist(), batch["skip"].to_pylist(), strict=True):
+                out = [(".".join(map(str, slot[:-1])), slot[-1], cell) for slot, cell in resample(tree, draws(seed, skip))]
+                slots, last, cell = zip(*out, strict=True) if out else ((), (), ())
+                kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([replicate] * len(out), slots, last, cell), kinds, strict=True)], ["replicate", "slot", "last", "cell"])
+
+    plan = begun.mapInArrow(drawn, "replicate int, slot string, last int, cell int")
     kinds = ", ".join(f"`{c}` {design.schema[c].dataType.simpleString()}" for c in levels)
-    return design.sparkSession.createDataFrame(out, f"replicate int, slot string, last int, {kinds}")
+    named = spark.createDataFrame([(n, *row) for n, row in enumerate(cells)], f"cell int, {kinds}")
+    return plan.join(F.broadcast(named), "cell").select("replicate", "slot", "last", *levels)
 
 
 def bootstrap_difference(rows: DataFrame, levels: Sequence[str], arm: str, left: str, right: str, values: Sequence[str], seed: int, replicates: int) -> DataFrame:

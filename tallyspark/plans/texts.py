@@ -158,7 +158,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.select(F.col("n_regionkey").alias("teacher"), F.col("n_nationkey").alias("video"), F.col("o_orderstatus").alias("case_id"), F.col("o_orderpriority").alias("seed"), F.when(F.year("o_orderdate") % 2 == 0, "oracle").otherwise("base").alias("arm"), (F.col("o_totalprice") / 1000).alias("f1"), (F.col("o_custkey") % 100).cast("double").alias("coverage"))
     levels = ["teacher", "video", "case_id", "seed"]
     rows = rows.groupBy(*levels, "arm").agg(F.avg("f1").alias("f1"), F.avg("coverage").alias("coverage"))
-    boot = bootstrap.bootstrap_difference(rows, levels, "arm", "oracle", "base", ["f1", "coverage"], 20240731, 50)
+    boot = bootstrap.bootstrap_difference(rows, levels, "arm", "oracle", "base", ["f1", "coverage"], 20240731, 1000)
     out = bootstrap.intervals(boot, ["f1", "coverage"])
     return out.select("metric", *(F.round(x, 6).alias(x) for x in ("low95", "low80", "high80", "high95")))
 

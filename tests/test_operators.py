@@ -7,9 +7,11 @@ import hmac
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tallyspark.functions import text
 from tallyspark.operators import bootstrap, packing
+from tallyspark.plans import texts
 
 
 def test_keyed_hashes(spark):
@@ -65,3 +67,40 @@ def test_bootstrap_is_paired_and_repeats(spark):
     assert np.allclose([got.low95, got.low80, got.high80, got.high95], want)
     same = df.withColumn("f1", F.when(F.col("arm") == "x", 1.25).otherwise(1.0))
     assert {round(x.f1, 12) for x in bootstrap.bootstrap_difference(same, levels, "arm", "x", "y", ["f1"], 11, 20).select("f1").collect()} == {0.25}
+
+
+def in_order(cells: list[tuple], seed: int, replicates: int) -> list[tuple]:
+    """The plan from one sequence of numbers, replicate after replicate."""
+    numbers, out = bootstrap.draws(seed), []
+
+    def walk(rows: list[tuple], depth: int, slot: tuple, replicate: int) -> None:
+        if depth == len(cells[0]):
+            out.append((replicate, ".".join(map(str, slot[:-1])), slot[-1], *rows[0]))
+            return
+        names = sorted({x[depth] for x in rows})
+        for i in range(len(names)):
+            pick = names[int(next(numbers) * len(names))]
+            walk([x for x in rows if x[depth] == pick], depth + 1, (*slot, i), replicate)
+
+    for r in range(replicates):
+        walk(cells, 0, (), r)
+    return sorted(out)
+
+
+def test_bootstrap_plan_is_one_sequence_made_by_tasks(spark, monkeypatch):
+    even = [(t, v, s) for t in "abc" for v in ("u", "v") for s in range(3)]
+    uneven = [x for x in even if x not in {("a", "u", 0), ("b", "v", 1), ("b", "v", 2)}] + [("d", "w", 0)]
+    for cells in (even, uneven):
+        plan = bootstrap.resample_plan(spark.createDataFrame(cells, "t string, v string, s int"), ["t", "v", "s"], 77, 40)
+        assert sorted(tuple(x) for x in plan.collect()) == in_order(cells, 77, 40)
+        assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(bootstrap, "MAX_CELLS", 5)
+    with pytest.raises(ValueError, match="5 distinct cells"):
+        bootstrap.resample_plan(spark.createDataFrame(even, "t string, v string, s int"), ["t", "v", "s"], 77, 40)
+
+
+def test_registered_bootstrap_has_a_thousand_replicates(spark, monkeypatch):
+    asked, whole = [], bootstrap.bootstrap_difference
+    monkeypatch.setattr(bootstrap, "bootstrap_difference", lambda *a: asked.append(a[-1]) or whole(*a))
+    texts.bootstrap_ci(spark, "/root/testdata/sf0.001")
+    assert asked[0] >= 1000
