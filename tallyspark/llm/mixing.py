@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-The words of each source are packed, document after document, into blocks of a fixed length. Output shards
+The words of each source are packed, document after document, into blocks of equal lengths. Output shards
 draw multinomial source counts; a source's slots go through pseudorandom permutations of its block
 indices, one a pass; blocks and slots meet by index."""
 
@@ -16,15 +16,17 @@ from tallyspark.llm.common import WORD, materialise
 #: Primes; one that does not divide the number of blocks makes a permutation of them.
 PRIMES = (999983, 1000003, 1000033, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823)
 
+#: A source has so many blocks at least, or one a word; its target is met to half a block.
+LEAST_BLOCKS = 16
+
 
 @dataclass(frozen=True)
 class Plan:
-    """sources: key, source, source_size, target, n_slots, n_blocks; rows: doc_id, key, part, rn, size, start; slots: shard, slot, key, pass, block."""
+    """sources: key, source, source_size, target, n_blocks, n_slots, low, longer (the first ``longer`` blocks have low + 1 words, the others low); rows: doc_id, key, part, rn, size, start; slots: shard, slot, key, pass, block."""
 
     sources: DataFrame
     rows: DataFrame
     slots: DataFrame
-    block_words: int
 
 
 def word_count(text: Column) -> Column:
@@ -63,14 +65,18 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
     Sizes are written once to the shared checkpoint folder, and the texts are not moved. Words before a row
     are counted in two steps (parts of a source, then rows of a part), and slots in shards, so no task
-    holds a source. Draws that a source has above its slots go to the sources that have too few, so each
-    gets round(target / block_words) blocks; both sides of that are about the square root of the slots."""
+    holds a source. A source's blocks have at most ``block_words`` words, and equal lengths to one word. Draws that a
+    source has above its slots go to the sources that have too few, so each gets the round number of its blocks
+    that its target asks for; both sides of that are about the square root of the slots."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("key", source_key(F.col("source")))
     sized = materialise(sized, "mix-sizes")
     parts = max(1, sized.count() // 20_000)
-    slots_of = F.round(F.col("target") / block_words).cast("long")
     sources = targets(sized, weights, share, cap)
-    sources = materialise(sources.withColumn("n_slots", slots_of).withColumn("n_blocks", F.ceil(F.col("source_size") / block_words)), "mix-sources")
+    n_blocks = F.greatest(F.ceil(F.col("source_size") / block_words), F.least("source_size", F.lit(LEAST_BLOCKS).cast("long")))
+    n_slots = F.round(F.col("target") * F.col("n_blocks") / F.greatest("source_size", F.lit(1))).cast("long")
+    sources = sources.withColumn("n_blocks", n_blocks).withColumn("n_slots", n_slots)
+    sources = sources.withColumns({"low": F.expr("source_size div greatest(n_blocks, 1)"), "longer": F.expr("source_size % greatest(n_blocks, 1)")})
+    sources = materialise(sources, "mix-sources")
 
     rows = sized.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     order = Window.partitionBy("key", "part").orderBy("doc_id", "size")
@@ -79,7 +85,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     base = base.select("key", "part", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rows = rows.withColumn("rn", F.row_number().over(order)).withColumn("inner", inner).join(base, ["key", "part"])
     rows = rows.select("doc_id", "key", "part", "rn", "size", (F.col("base") + F.col("inner")).alias("start"))
-    return Plan(sources, rows, draw(sources, shard_slots, seed), block_words)
+    return Plan(sources, rows, draw(sources, shard_slots, seed))
 
 
 def draw(sources: DataFrame, shard_slots: int, seed: int, cells: int = 4096) -> DataFrame:
@@ -119,11 +125,12 @@ def draw(sources: DataFrame, shard_slots: int, seed: int, cells: int = 4096) ->
 
 def segments(plan: Plan) -> DataFrame:
     """Each row's stretches by block: key, part, rn, doc_id, size, block, lo, hi (words of the row, hi exclusive); one without block where size is 0."""
-    b = plan.block_words
-    blocks = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}")))
-    out = plan.rows.withColumn("block", F.explode_outer(blocks))
-    lo = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
-    hi = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
+    block_of = lambda w: F.expr(f"if({w} < longer * (low + 1), {w} div (low + 1), longer + ({w} - longer * (low + 1)) div low)")
+    first = lambda block: block * F.col("low") + F.least(block, F.col("longer"))
+    blocks = F.when(F.col("size") > 0, F.sequence(block_of("start"), block_of("(start + size - 1)")))
+    out = plan.rows.join(plan.sources.select("key", "low", "longer"), "key").withColumn("block", F.explode_outer(blocks))
+    lo = F.greatest(first(F.col("block")) - F.col("start"), F.lit(0))
+    hi = F.least(first(F.col("block") + 1) - F.col("start"), F.col("size"))
     return out.select("key", "part", "rn", "doc_id", "size", "block", lo.alias("lo"), hi.alias("hi"))
 
 

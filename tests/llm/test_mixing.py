@@ -109,3 +109,21 @@ def test_table(spark):
 def test_main_path_has_no_python(spark):
     plan = mixing.taken_words(mixing.plan_mix(documents(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_small_sources_meet_their_targets_with_production_parameters(spark):
+    """Sources far below the large one's level stop at twice their words; and one has a target that is no whole pass."""
+    sizes = {"a": 6_000, "b": 10, "c": 70, "d": 200, "e": 15, "f": 65, "g": 1_025, "h": 4_097, "i": 1}
+    docs = [(i, prose(i, n), None, s, None) for i, (s, n) in enumerate(sizes.items())]
+    alone = [(1, prose(1, 60), None, "p", None), (2, prose(2, 100), None, "q", None), (3, prose(3, 130), None, "r", None)]
+    for rows_of in (docs, alone):
+        df = spark.createDataFrame(rows_of, SCHEMA)
+        plan = mixing.plan_mix(df)
+        size = {s: len(t.split()) for _, t, _, s, _ in rows_of}
+        want = plain_targets(size)
+        held = {r.doc_id: r.n for r in mixing.mixed_documents(df, plan).groupBy("doc_id").agg({"text": "count"}).withColumnRenamed("count(text)", "n").collect()}
+        for r in mixing.taken_words(plan).collect():
+            s = next(x[3] for x in rows_of if x[0] == r.doc_id)
+            assert abs(r.taken - want[s]) <= max(1, min(64, r.size / 16)), s
+            assert r.doc_id in held, s
+    assert any(t == 2 * sizes[s] for s, t in plain_targets(sizes).items()) and any(t % size[s] for s, t in want.items())
