@@ -8,17 +8,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.sources.tables import materialise
 
-def on_cycles(edges_of: DataFrame, child: str, parent: str, rounds: int = 1_000) -> DataFrame:
+
+def on_cycles(edges_of: DataFrame, child: str, parent: str) -> DataFrame:
     """Nodes that lie on, or between, cycles of a parent graph (child, parent).
 
-    Each round drops the edges whose parent has no parent left, or whose child no child, until nothing changes; what
-    stays is exactly the part that no order of the nodes can place."""
+    What stays is exactly the part that no order of the nodes can place. Where no child has two parents, ways are
+    doubled, so rounds grow with the logarithm of the longest chain. Else each round drops the edges whose parent
+    has no parent left, or whose child no child, until nothing changes, however many rounds that takes. Every round is
+    written to the shared checkpoint folder: no lineage grows and no executor's cache is needed."""
     edges = edges_of.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct()
+    edges = materialise(edges, "cycle-edges")
     n = edges.count()
-    for _ in range(rounds):
+    if edges.select("c").distinct().count() == n:
+        edges = on_functional_cycles(edges, n)
+        return edges.select(F.col("c").alias("node"))
+    while n:
         up, down = edges.select(F.col("c").alias("p")).distinct(), edges.select(F.col("p").alias("c")).distinct()
-        edges = edges.join(up, "p", "left_semi").join(down, "c", "left_semi").persist()
+        edges = materialise(edges.join(up, "p", "left_semi").join(down, "c", "left_semi"), "cycle-edges")
         left = edges.count()
         if left == n:
             break
@@ -26,6 +34,17 @@ def on_cycles(edges_of: DataFrame, child: str, parent: str, rounds: int = 1_000)
     return edges.select(F.col("c").alias("node")).unionByName(edges.select(F.col("p").alias("node"))).distinct()
 
 
+def on_functional_cycles(edges: DataFrame, n: int) -> DataFrame:
+    """The edges (c, p) of cycles, each node having one parent at most.
+
+    After a way of n steps or more every node that still has an ancestor is at one on a cycle, and every node of a cycle is reached."""
+    ways, steps = edges, 1
+    while steps < n:
+        ways = materialise(ways.join(ways.select(F.col("c").alias("p"), F.col("p").alias("q")), "p").select("c", F.col("q").alias("p")), "cycle-ways")
+        steps *= 2
+    return edges.join(ways.select(F.col("p").alias("c")).distinct(), "c", "left_semi")
+
+
 def layout(nodes: DataFrame, edges: DataFrame, diagram: str, per_row: int = 5) -> DataFrame:
     """(diagram, node, rank, row, column) of small diagrams: rank is the longest way from a source; nodes of a cycle
     follow the last rank; within a rank, nodes go by the mean place of their parents, then as given; ``per_row`` a row.

@@ -25,6 +25,13 @@ def test_cycles(spark):
     assert graph.on_cycles(spark.createDataFrame([], "c int, p int"), "c", "p").count() == 0
 
 
+def test_long_chains_have_no_cycle(spark):
+    """Chains of more nodes than a thousand rounds from both ends would take away, with a cycle of three nodes beside them."""
+    chain = [(i, i + 1) for i in range(2_100)]
+    found = graph.on_cycles(spark.createDataFrame([*chain, (9_001, 9_002), (9_002, 9_003), (9_003, 9_001), (9_000, 9_001)], "c int, p int"), "c", "p")
+    assert {x.node for x in found.collect()} == {9_001, 9_002, 9_003}
+
+
 def test_layout(spark):
     nodes = spark.createDataFrame([("d", x, i) for i, x in enumerate("abcdef")] + [("loop", "x", 0), ("loop", "y", 1), ("alone", "z", 0)], "k string, node string, place int")
     edges = spark.createDataFrame([("d", "a", "b"), ("d", "a", "c"), ("d", "b", "d"), ("d", "a", "d"), ("d", "f", "f"), ("d", "q", "a"), ("loop", "x", "y"), ("loop", "y", "x")], "k string, source string, target string")
