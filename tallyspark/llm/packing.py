@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import map_batches, materialise
+from tallyspark.llm.common import map_batches, materialise, with_before
 
 #: Fixed value: the text of the vocabulary's one special token.
 SPECIAL = "<|endoftext|>"
@@ -35,8 +35,9 @@ def default_vocabulary() -> Vocabulary:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, as ``tokenizers`` gives them.
 
-    The ranks give the same ids several times faster; a text that holds the special token's string,
-    where alone the two differ, is left to ``tokenizers``."""
+    The ranks give the same ids several times faster. Left to ``tokenizers`` are texts that hold the special token's
+    string, where alone the two differ, and those that the faster library refuses: its pattern gives up in a run of some
+    hundred thousand blanks."""
 
     def __init__(self, vocabulary: Vocabulary):
         import tiktoken
@@ -48,9 +49,12 @@ class Encoder:
         self.whole = Tokenizer.from_file(vocabulary.json)
 
     def ids(self, text: str) -> bytes:
-        if SPECIAL in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if SPECIAL not in text:
+            try:
+                return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @cache
@@ -59,10 +63,11 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
 
 
 def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each row of ``docs`` (doc_id, text) as token ids and ``end_id``, cut where longer than ``capacity``.
+    """(doc_id, row, piece, start, length, ids): each row of ``docs`` (doc_id, text) as token ids and ``end_id``, cut where longer than ``capacity``.
 
-    The first piece takes what is over, the others have ``capacity`` ids. A null text is empty: one piece
-    of ``end_id`` alone. Whole texts are encoded; ids are little-endian unsigned 32-bit. Other columns are not read. No shuffle."""
+    The first piece takes what is over, the others have ``capacity`` ids. ``row`` tells rows of one doc_id apart. A null text
+    is empty: one piece of ``end_id`` alone. Whole texts are encoded, however long and of whatever characters; ids are
+    little-endian unsigned 32-bit. Other columns are not read. No shuffle."""
     vocabulary = vocabulary or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
@@ -82,11 +87,18 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabul
                 ids.append(whole[4 * a : 4 * b])
                 a, b = b, b + capacity
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-            ["doc_id", "piece", "start", "length", "ids"],
+            [*(batch.column(c).take(pa.array(rows)) for c in ("doc_id", "row")), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+            ["doc_id", "row", "piece", "start", "length", "ids"],
         )
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    return map_batches(numbered, run, f"doc_id {kind}, row long, piece int, start long, length long, ids binary")
+
+
+def number_copies(packed: DataFrame) -> DataFrame:
+    """``packed`` with copy in place of row: 0 for the first row of a doc_id, 1 for the next; rows without an id all count as the first."""
+    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("row"))).orderBy("row")
+    return packed.withColumn("copy", (F.dense_rank().over(order) - 1).cast("int")).drop("row")
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -145,9 +157,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     parts = max(1, sum(counts.values()) // 20_000)
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", F.xxhash64(*names))
-    base = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = base.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    base = with_before(dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), ["length"], "part", "n").drop("n")
     ranked = dealt.withColumn("rn", F.row_number().over(order)).join(base, ["length", "part"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
     nth = F.col("rank") - F.col("lo")
     slots = ranked.join(plan, "length").where("rank >= lo and rank < hi")

@@ -38,7 +38,7 @@ def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).drop("row")
 
 
 def op7_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from math import ceil
 
 import numpy as np
 import pytest
-from cases import SCHEMA, documents, empty, rows
+from cases import SCHEMA, documents, empty, prose, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tallyspark.llm import packing
@@ -28,6 +28,31 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_very_long_runs_of_one_kind_of_character(spark, tokenizer):
+    """The faster library's pattern fails on the first ones."""
+    marks = random.Random(3)
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "word" + "\t\n" * 500_000 + "word", "a" * 1_000_000, "\u2003é漢" * 100_000, "".join(marks.choices(" \n\u2003x漢é!1", k=400_000))]
+    own = packing.encoder(packing.default_vocabulary())
+    for t in texts:
+        assert np.array_equal(np.frombuffer(own.ids(t), "<u4"), np.array(tokenizer.encode(t, add_special_tokens=False).ids)), t[:5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lengths = {r.doc_id: r.n for r in packing.token_pieces(df).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    assert lengths == {i: len(own.ids(t)) // 4 + 1 for i, t in enumerate(texts)}
+
+
+def test_ids_of_whole_documents_are_those_of_the_tokenizer(spark, tokenizer):
+    own = packing.encoder(packing.default_vocabulary())
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert np.frombuffer(own.ids(r.text or ""), "<u4").tolist() == tokenizer.encode(r.text or "", add_special_tokens=False).ids
+
+
+def test_copies_of_a_document_are_told_apart(spark):
+    df = spark.createDataFrame([(1, prose(1, 200)), (1, prose(1, 200)), (2, "a"), (None, "b"), (None, "c")], "doc_id long, text string")
+    found = packing.number_copies(packing.pack(packing.token_pieces(df, capacity=64).drop("ids"), 64)).collect()
+    assert len({(r.doc_id, r.copy, r.piece) for r in found if r.doc_id}) == sum(r.doc_id is not None for r in found)
+    assert {(r.doc_id, r.copy) for r in found} == {(1, 0), (1, 1), (2, 0), (None, 0)}
+
+
 def test_pieces_join_to_the_documents(spark, tokenizer):
     asked = [(i, t) for i, t, *_ in rows() if i != 12]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in asked], SCHEMA)
