@@ -2,7 +2,7 @@
 
 The words of each source are packed, document after document, into blocks of equal lengths. Output shards
 draw multinomial source counts; a source's slots go through pseudorandom permutations of its block
-indices, one a pass; blocks and slots meet by index."""
+indices, one a pass (Feistel networks that walk on from places outside); blocks and slots meet by index."""
 
 from __future__ import annotations
 
@@ -11,10 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, materialise
-
-#: Primes; one that does not divide the number of blocks makes a permutation of them.
-PRIMES = (999983, 1000003, 1000033, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823)
+from tallyspark.llm.common import WORD, materialise, with_before
 
 #: A source has so many blocks at least, or one a word; its target is met to half a block.
 LEAST_BLOCKS = 16
@@ -81,8 +78,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     rows = sized.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     order = Window.partitionBy("key", "part").orderBy("doc_id", "size")
     inner = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = rows.groupBy("key", "part").agg(F.sum("size").alias("n"))
-    base = base.select("key", "part", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = with_before(rows.groupBy("key", "part").agg(F.sum("size").alias("n")), ["key"], "part", "n").select("key", "part", F.col("before").alias("base"))
+    base = materialise(base, "mix-parts")
     rows = rows.withColumn("rn", F.row_number().over(order)).withColumn("inner", inner).join(base, ["key", "part"])
     rows = rows.select("doc_id", "key", "part", "rn", "size", (F.col("base") + F.col("inner")).alias("start"))
     return Plan(sources, rows, draw(sources, shard_slots, seed))
@@ -101,13 +98,15 @@ def draw(sources: DataFrame, shard_slots: int, seed: int, cells: int = 4096) ->
     drawn = spark.range(n).select(F.expr(f"id div {shard_slots}").alias("shard"), (F.col("id") % shard_slots).alias("slot"))
     drawn = drawn.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.lit(width))).withColumn("cell", cell("u"))
     drawn = drawn.join(ranges, "cell").where("u >= lo and u < hi").select("shard", "slot", "key", "n_slots")
-    counts = drawn.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = materialise(with_before(drawn.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")), ["key"], "shard", "n"), "mix-counts")
     within = F.row_number().over(Window.partitionBy("key", "shard").orderBy("slot")) - 1
-    ranked = drawn.withColumn("within", within).join(counts.select("key", "shard", earlier.alias("earlier")), ["key", "shard"])
-    ranked = ranked.select("shard", "slot", "key", "n_slots", (F.col("earlier") + F.col("within")).alias("k"))
+    ranked = drawn.withColumn("within", within).join(counts.select("key", "shard", "before"), ["key", "shard"])
+    ranked = ranked.select("shard", "slot", "key", "n_slots", (F.col("before") + F.col("within")).alias("k"))
 
-    freed = ranked.where("k >= n_slots").select("shard", "slot", (F.row_number().over(Window.orderBy("shard", "slot")) - 1).cast("long").alias("i"))
+    freed = ranked.where("k >= n_slots").select("shard", "slot")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1
+    earlier = with_before(freed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), [], "shard", "n").select("shard", "before")
+    freed = freed.withColumn("place", place).join(earlier, "shard").select("shard", "slot", (F.col("before") + F.col("place")).alias("i"))
     got = counts.groupBy("key").agg(F.sum("n").alias("got"))
     short = sources.join(got, "key", "left").select("key", "n_slots", F.coalesce("got", F.lit(0)).alias("got")).where("got < n_slots")
     first = F.coalesce(F.sum(F.col("n_slots") - F.col("got")).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -116,11 +115,40 @@ def draw(sources: DataFrame, shard_slots: int, seed: int, cells: int = 4096) ->
     every = ranked.where("k < n_slots").select("shard", "slot", "key", "k").unionByName(refilled.select("shard", "slot", "key", "k"))
 
     every = every.join(sources.select("key", "n_blocks"), "key").withColumn("pass", F.expr("k div n_blocks"))
-    noise = F.xxhash64(F.lit(seed + 1), "key", "pass")
-    usable = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.col("n_blocks") % p != 0)
-    step = F.when(F.col("n_blocks") > 1, F.get(usable, F.pmod(noise, F.size(usable)).cast("int"))).otherwise(1)
-    shift = F.pmod(F.xxhash64(F.lit(seed + 2), "key", "pass"), F.col("n_blocks"))
-    return every.select("shard", "slot", "key", "pass", (((F.col("k") % F.col("n_blocks")) * step + shift) % F.col("n_blocks")).alias("block"))
+    every = permuted(every.withColumn("x", F.expr("k % n_blocks")).withColumn("noise", F.xxhash64(F.lit(seed + 1), "key", "pass")), "x", "n_blocks", "noise", "block")
+    return every.select("shard", "slot", "key", "pass", "block")
+
+
+def moved(own: Column, by: Column, size: Column, noise: Column, i: Column) -> Column:
+    return F.pmod(own + F.pmod(F.xxhash64(noise, i, by), size), size)
+
+
+def permuted(rows: DataFrame, x: str, n: str, noise: str, out: str, halves: int = 8) -> DataFrame:
+    """``rows`` with ``out``: the place of x in a pseudorandom permutation of the numbers below n, another one for each ``noise``.
+
+    A Feistel network permutes the least rectangle of ceil(sqrt(n)) rows that holds n places: in turn row and column are moved around by
+    a hash of the other, which can be undone. A place out of range goes through the network again till it is back in, at most as often as there are such places."""
+    a = F.ceil(F.sqrt(F.col(n).cast("double"))).cast("long")
+    rows = rows.withColumn("_a", a).withColumn("_b", F.expr(f"(`{n}` + _a - 1) div _a"))
+    rows = rows.withColumns({"_l": F.expr(f"`{x}` div _b"), "_r": F.col(x) % F.col("_b")})
+    size, noise_of = {"_l": F.col("_a"), "_r": F.col("_b")}, F.col(noise)
+    for i in range(halves):
+        own, by = ("_l", "_r") if i % 2 == 0 else ("_r", "_l")
+        rows = rows.withColumn(own, moved(F.col(own), F.col(by), size[own], noise_of, F.lit(i)))
+    rows = rows.withColumn("_at", F.col("_l") * F.col("_b") + F.col("_r"))
+
+    def half(at: Column, i: Column) -> Column:
+        left = F.struct(moved(at["l"], at["r"], F.col("_a"), noise_of, i).alias("l"), at["r"].alias("r"))
+        right = F.struct(at["l"].alias("l"), moved(at["r"], at["l"], F.col("_b"), noise_of, i).alias("r"))
+        return F.when(i % 2 == 0, left).otherwise(right)
+
+    def again(at: Column) -> Column:
+        start = F.struct(F.floor(at / F.col("_b")).cast("long").alias("l"), (at % F.col("_b")).alias("r"))
+        return F.aggregate(F.array(*map(F.lit, range(halves))), start, half, lambda x: x["l"] * F.col("_b") + x["r"])
+
+    outside = F.sequence(F.lit(1).cast("long"), F.col("_a") * F.col("_b") - F.col(n))
+    on = F.aggregate(outside, F.col("_at"), lambda at, _: F.when(at < F.col(n), at).otherwise(again(at)))
+    return rows.withColumn(out, F.when(F.col("_at") < F.col(n), F.col("_at")).otherwise(on)).drop("_a", "_b", "_l", "_r", "_at")
 
 
 def segments(plan: Plan) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from cases import SCHEMA, documents, empty, prose, rows, told
 from tallyspark.llm import mixing
 
@@ -73,6 +74,27 @@ def test_slots_take_each_block_once_a_pass(spark):
     assert all(0 <= r.block < blocks[r.key] and r["pass"] in (0, 1) for r in slots)
 
 
+def test_permutations_are_whole_and_spread(spark):
+    """For every number of blocks each index comes once a pass; what half a pass takes lies all over the index range."""
+    sizes = [1, 2, 3, 5, 16, 25, 97, 1_000, 1_023, 4_099]
+    x = spark.createDataFrame([(v,) for v in sizes], "n long").crossJoin(spark.createDataFrame([(7,), (8,)], "noise long"))
+    x = x.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    x = mixing.permuted(x, "k", "n", "noise", "at")
+    order: dict = defaultdict(list)
+    for r in x.orderBy("k").collect():
+        order[r.n, r.noise].append(r["at"])
+    for (size, noise), places in order.items():
+        assert sorted(places) == list(range(size))
+        if size >= 97:
+            assert places != order[size, 15 - noise]
+            tenths = [0] * 10
+            for p in places[: size // 2]:
+                tenths[p * 10 // size] += 1
+            assert max(abs(t - size / 20) for t in tenths) < 5 * (size / 20) ** 0.5, (size, tenths)
+            steps = [b - a for a, b in zip(places, places[1:], strict=False)]
+            assert max(map(steps.count, steps)) < max(12, size / 50)  # no constant stride
+
+
 def test_mixed_texts_hold_the_taken_words(spark):
     docs = spark.createDataFrame(many(), SCHEMA)
     plan = mixing.plan_mix(docs, block_words=16)
