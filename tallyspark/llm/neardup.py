@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import map_stream, materialise, text_bytes
+from tallyspark.llm.common import discard, join_spread, map_stream, materialise, text_bytes
 from tallyspark.llm.graph import components
 
 U = np.uint64
@@ -127,15 +127,18 @@ def signatures(docs: DataFrame, b: Banding) -> DataFrame:
 def clusters(found: DataFrame, b: Banding) -> DataFrame:
     """(node, root): nodes that meet another one in some table, directly or through others."""
     sub = found.where("node is not null").select("node", "h", F.posexplode("keys").alias("at", "key"))
-    shared = sub.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    sub = sub.join(shared, "key").select("node", "h", "at", "key").distinct()
+    shared = sub.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
+    keyed = found.where("node is not null").count() * 2 * b.side
+    sub = join_spread(sub, shared, "key", "n", keyed).select("node", "h", "at", "key").distinct()
     side = lambda ok: F.collect_list(F.when(ok, F.col("key")))
     pairs = sub.groupBy("node", "h").agg(side(F.col("at") < b.side).alias("left"), side(F.col("at") >= b.side).alias("right"))
     tables = pairs.select("node", "h", F.explode("left").alias("l"), "right").select("node", "h", "l", F.explode("right").alias("r"))
     tables = tables.select("node", "h", F.xxhash64("l", "r").alias("t"))
     tables = materialise(tables, "tables")
-    met = tables.groupBy("t").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("node").alias("first")).where("lo <> hi")
-    return components(tables.join(met, "t").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
+    met = tables.groupBy("t").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("t", "first", "n")
+    roots = components(join_spread(tables, met, "t", "n", tables.count()).select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
+    discard(tables)
+    return roots
 
 
 def places(found: DataFrame, grouped: DataFrame, b: Banding, docs_a_chunk: int = 256, shingles_a_chunk: int = 1 << 18) -> DataFrame:
