@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens.
 
-The field tags each token as outside, begin or inside of a secret from the token's shape, its
-neighbours and features of the whole file; the best tagging comes from Viterbi decoding. It learns from
+The field tags each token as outside, begin or inside of a secret from the token's shape, its neighbours (their shapes,
+words, beginnings and ends) and features of the whole file; the best tagging comes from Viterbi decoding. It learns from
 windows around what the fixed patterns find (their values are the labels) and from windows without."""
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import map_batches
+from tallyspark.llm.common import discard, map_batches, materialise
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "crf")
 TOKEN = re.compile(r"[^\W_]+(?:[+/_.-]+[^\W_]+)*|[^\w\s]|_")
 KEYWORDS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "private_key", "credential", "credentials", "auth", "bearer", "authorization")
 O, B, I = range(3)  # noqa: E741
+#: Whose features a token sees, by distance.
+ROLES = {"self": 0, "prev": -1, "next": 1, "prev2": -2, "next2": 2, "prev3": -3}
 
 Span = tuple[str, int, int, int, int]  # kind, start, end, start and end of the value
 
@@ -43,12 +45,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def token_features(token: str) -> tuple[str, ...]:
-    """What the field knows of a token; a plain word has one feature only."""
+    """What the field knows of a token. Words, and the first and last three letters of longer ones, are features of their own."""
     low = token.lower()
     if low in KEYWORDS:
-        return ("word", f"key={low}")
+        return ("word", f"key={low}", f"w={low}")
     if token.isalpha():
-        return ("word", "long") if len(token) > 24 else ("word",)
+        size = len(low)
+        if size > 24:
+            return ("word", "long")
+        return ("word", f"w={low}", f"p={low[:3]}", f"s={low[-3:]}") if size > 4 else ("word", f"w={low}")
     if len(token) == 1:
         return ("mark", f"is={token}" if token in "=:\"'`" else "other")
     kinds = "".join("d" if c.isdigit() else "U" if c.isupper() else "l" if c.isalpha() else "s" for c in token)
@@ -70,15 +75,18 @@ def file_features(codes: np.ndarray, plain: np.ndarray, keyed: bool) -> tuple[st
 
 @dataclass
 class Field:
-    """weights: (role, feature) -> scores of O, B and I; role is self, prev, next, prev2 or file. step: transition scores."""
+    """weights: (role, feature) -> scores of O, B and I; role is one of ROLES or file. step: transition scores.
+
+    Features without weights are dropped, so tokens fall into classes whose number depends on the trained features alone."""
 
     weights: dict[tuple[str, str], np.ndarray]
     step: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
     classes: dict[tuple[str, ...], int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
-    keys: list[bool] = field(default_factory=list)
-    table: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.known = {f for _, f in self.weights} | {"word"}
+        self.table, self.plain, self.keyed = np.zeros((1024, len(ROLES), 3)), np.zeros(1024, bool), np.zeros(1024, bool)
 
     def __reduce__(self):
         return Field, (self.weights, self.step)
@@ -86,27 +94,26 @@ class Field:
     def code(self, token: str) -> int:
         if len(self.cache) > 300_000:
             self.cache.clear()
-        found = token_features(token)
+        found = tuple(f for f in token_features(token) if f in self.known or f.startswith("key="))
         if (c := self.classes.get(found)) is None:
-            c = self.classes[found] = len(self.rows)
-            none = np.zeros(3)
-            self.rows.append(np.stack([sum((self.weights.get((role, f), none) for f in found), none) for role in ("self", "prev", "next", "prev2")]))
-            self.keys.append(any(f.startswith("key=") for f in found))
-            self.table = None
+            c = self.classes[found] = len(self.classes)
+            if c == len(self.table):
+                self.table, self.plain, self.keyed = (np.concatenate((x, np.zeros_like(x))) for x in (self.table, self.plain, self.keyed))
+            for i, role in enumerate(ROLES):
+                self.table[c, i] = sum((w for f in found if (w := self.weights.get((role, f))) is not None), np.zeros(3))
+            self.plain[c], self.keyed[c] = found[:1] == ("word",), any(f.startswith("key=") for f in found)
         self.cache[token] = c
         return c
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         get = self.cache.get
         codes = np.fromiter((c if (c := get(t)) is not None else self.code(t) for t in tokens), np.int64, len(tokens))
-        if self.table is None:
-            self.table = np.stack(self.rows)
-            self.plain = np.array([f[0] == "word" for f in self.classes])
-            self.keyed = np.array(self.keys)
         out = self.table[codes, 0]
-        out[1:] += self.table[codes[:-1], 1]
-        out[:-1] += self.table[codes[1:], 2]
-        out[2:] += self.table[codes[:-2], 3]
+        for role, d in enumerate(list(ROLES.values())[1:], 1):
+            if d < 0:
+                out[-d:] += self.table[codes[:d], role]
+            else:
+                out[:-d] += self.table[codes[d:], role]
         for f in file_features(codes, self.plain[codes], bool(self.keyed[codes].any())):
             out += self.weights.get(("file", f), 0.0)
         return out
@@ -138,8 +145,10 @@ def viterbi(score: np.ndarray, step: np.ndarray, closed: bool) -> np.ndarray:
     return np.array(tags[::-1], np.int8)
 
 
-def crf_spans(text: str, model: Field) -> list[Span]:
-    """Spans of tokens tagged begin or inside; an inside after an outside begins a span as well."""
+def crf_spans(text: str, model: Field, least: int = 8) -> list[Span]:
+    """Spans of tokens tagged begin or inside; an inside after an outside begins a span as well.
+
+    A secret has ``least`` characters or more, as the values of the fixed patterns have; shorter spans are none."""
     tokens = TOKEN.findall(text)
     tags = model.tags(tokens)
     hit = np.flatnonzero(tags)
@@ -155,21 +164,52 @@ def crf_spans(text: str, model: Field) -> list[Span]:
             spans[-1][1] = places[i][1]
         else:
             spans.append(list(places[i]))
-    return [("crf", a, b, a, b) for a, b in spans if b - a >= 8]
+    return [("crf", a, b, a, b) for a, b in spans if b - a >= least]
+
+
+def beside(spans: list[Span], base: list[Span], text: str) -> list[Span]:
+    """The parts of ``spans`` outside ``base``, both by start, that hold a letter or digit: one pass over both."""
+    out, i = [], 0
+    for kind, a, b, *_ in spans:
+        while i < len(base) and base[i][2] <= a:
+            i += 1
+        j = i
+        while a < b:
+            while j < len(base) and base[j][2] <= a:
+                j += 1
+            stop = min(b, base[j][1]) if j < len(base) else b
+            if any(c.isalnum() for c in text[a:stop]):
+                out.append((kind, a, stop, a, stop))
+            a = max(a, base[j][2]) if j < len(base) else b
+    return out
+
+
+def joined(spans: list[Span]) -> list[Span]:
+    """Spans by start, overlapping ones as one."""
+    out: list[list] = []
+    for kind, a, b, *_ in spans:
+        if out and a < out[-1][2]:
+            out[-1][2] = max(out[-1][2], b)
+        else:
+            out.append([kind, a, b, a, b])
+    return [tuple(x) for x in out]
 
 
 def find_spans(text: str | None, model: Field | None) -> list[Span]:
-    """Base spans, and the field's spans that meet none of them; by start, then kind."""
+    """Base spans, and what the field's spans add to them; by start, then kind."""
     text = text or ""
     found = base_spans(text)
     if model is not None:
-        found += [s for s in crf_spans(text, model) if all(s[2] <= b[1] or s[1] >= b[2] for b in found)]
+        found += beside(crf_spans(text, model), joined(found), text)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def windows(labelled: DataFrame, documents: int = 20_000, keep: int = 2_000, reach: int = 240) -> list[str]:
     """At most ``keep`` windows of text, half around base spans and half away from them, from about
-    ``documents`` rows chosen by a hash of their ids. Only this sample is bounded; scans cover every row."""
+    ``documents`` rows chosen by a hash of their ids. Only this sample is bounded; scans cover every row.
+
+    A window reaches ``reach`` characters, and on to the next blanks, but no further than twice that, before and behind a
+    secret's first character (or, in a text without, a place given by the hash). Texts are read once."""
     rows = labelled.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
     part = max(1, labelled.count() // documents)
 
@@ -178,69 +218,88 @@ def windows(labelled: DataFrame, documents: int = 20_000, keep: int = 2_000, rea
         for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True):
             found = base_spans(text)
             middle = found[h % len(found)][3] if found else (h % len(text) if text else 0)
-            lo = max(0, middle - reach)
-            lo = text.rfind(" ", 0, lo) + 1 if lo else 0
-            hi = text.find(" ", middle + reach)
-            end = hi if hi >= 0 and hi - lo < 4 * reach else lo + 4 * reach
+            lo, hi = max(0, middle - reach), text.find(" ", middle + reach, middle + 2 * reach)
+            if lo:
+                lo = max(text.rfind(" ", 0, lo) + 1, middle - 2 * reach, 0)
             kinds.append(bool(found))
-            parts.append(text[lo:end])
+            parts.append(text[lo : hi if hi >= 0 else middle + 2 * reach])
             keys.append(h)
         return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(parts, pa.string()), pa.array(keys, pa.int64())], ["hit", "part", "h"])
 
-    found = map_batches(rows.where(F.pmod("h", F.lit(part)) == 0), cut, "hit boolean, part string, h long")
-    return [r.part for hit in (True, False) for r in found.where(F.col("hit") == hit).orderBy("h", "part").limit(keep // 2).collect()]
+    found = materialise(map_batches(rows.where(F.pmod("h", F.lit(part)) == 0), cut, "hit boolean, part string, h long"), "windows")
+    out = [r.part for hit in (True, False) for r in found.where(F.col("hit") == hit).orderBy("h", "part").limit(keep // 2).collect()]
+    discard(found)
+    return out
 
 
-def fit(texts: list[str], rounds: int = 120, rate: float = 0.15, ridge: float = 2e-4, width: int = 96) -> Field | None:
-    """Maximises the penalised conditional likelihood of the windows' tags by forward and backward sums; None if no window has a secret."""
+@dataclass
+class Sequences:
+    """Tagged windows, their tokens one after another. at, feature: which token has which feature; tag: of each token;
+    groups: windows of about one length as rows of token numbers, filled up with ``len(tag)``."""
+
+    names: list[tuple[str, str]]
+    at: np.ndarray
+    feature: np.ndarray
+    tag: np.ndarray
+    groups: list[np.ndarray]
+    n: int
+
+
+def sequences(texts: list[str], seldom: int) -> Sequences:
     data = []
+    often: dict[str, int] = {}
     for text in texts:
         values = [(s[3], s[4]) for s in base_spans(text)]
-        tokens = [(m.group(), *m.span()) for m in TOKEN.finditer(text)][:width]
+        tokens = [(m.group(), *m.span()) for m in TOKEN.finditer(text)]
         tags, last = [], None
         for _, a, b in tokens:
             inside = next((v for v in values if a < v[1] and b > v[0]), None)
             tags.append(O if inside is None else I if inside == last else B)
             last = inside
         if tokens:
-            data.append(([t[0] for t in tokens], tags))
-    if not any(any(t) for _, t in data):
-        return None
+            kinds = [token_features(t[0]) for t in tokens]
+            data.append((kinds, tags))
+            for f in {f for k in kinds for f in k}:
+                often[f] = often.get(f, 0) + 1
     names: dict[tuple[str, str], int] = {}
-    n, t_max = len(data), max(len(t) for t, _ in data)
-    tag = np.zeros((n, t_max), np.int64)
-    real = np.zeros((n, t_max), bool)
-    flat, feature = [], []
-    for i, (tokens, tags) in enumerate(data):
-        kinds = [token_features(t) for t in tokens]
+    at, feature, tag, by_size = [], [], [], {}
+    for kinds, tags in data:
+        first = len(tag)
+        by_size.setdefault(max(16, 1 << (len(tags) - 1).bit_length()), []).append(range(first, first + len(tags)))
         plain = np.array([k[0] == "word" for k in kinds])
         whole = file_features(plain, plain, any(f.startswith("key=") for k in kinds for f in k))
-        for j, k in enumerate(kinds):
-            near = [("self", f) for f in k] + [("file", f) for f in whole]
-            near += [("prev", f) for f in kinds[j - 1]] if j else []
-            near += [("prev2", f) for f in kinds[j - 2]] if j > 1 else []
-            near += [("next", f) for f in kinds[j + 1]] if j + 1 < len(kinds) else []
+        kept = [[f for f in k if f[:2] not in ("w=", "p=", "s=") or often[f] >= seldom] for k in kinds]
+        for j in range(len(kept)):
+            near = [("file", f) for f in whole] + [(role, f) for role, d in ROLES.items() if 0 <= j + d < len(kept) for f in kept[j + d]]
             for x in near:
-                flat.append(i * t_max + j)
+                at.append(first + j)
                 feature.append(names.setdefault(x, len(names)))
-        tag[i, : len(tags)], real[i, : len(tags)] = tags, True
-    flat, feature = np.array(flat), np.array(feature)
-    w, step = np.zeros((len(names), 3)), np.zeros((3, 3))
-    seen_w, seen_s = np.full(w.shape, 1e-8), np.full(step.shape, 1e-8)
-    gold = np.eye(3)[tag] * real[:, :, None]
-    pairs = real[:, 1:]
-    gold_step = np.einsum("nta,ntb,nt->ab", gold[:, :-1], gold[:, 1:], pairs.astype(float)) + gold[:, 0].sum(0)[None, :] * np.eye(3)[O][:, None]
-    for _ in range(rounds):
-        e = np.stack([np.bincount(flat, w[feature, c], n * t_max) for c in range(3)], 1).reshape(n, t_max, 3)
-        p_step = np.exp(step)
-        p = np.exp(e - e.max(2, keepdims=True))
-        a = np.zeros_like(p)
-        a[:, 0] = p[:, 0] * p_step[O]
-        a[:, 0] /= a[:, 0].sum(1, keepdims=True)
-        for t in range(1, t_max):  # padding repeats the last sums
-            x = (a[:, t - 1] @ p_step) * p[:, t]
-            a[:, t] = np.where(real[:, t, None], x / x.sum(1, keepdims=True), a[:, t - 1])
-        b = np.ones_like(p)
+        tag += tags
+    groups = []
+    for rows in by_size.values():
+        group = np.full((len(rows), max(map(len, rows))), len(tag))
+        for i, row in enumerate(rows):
+            group[i, : len(row)] = row
+        groups.append(group)
+    return Sequences(list(names), np.array(at, np.int64), np.array(feature, np.int64), np.array(tag, np.int64), groups, len(data))
+
+
+def likelihood(s: Sequences, w: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of the tags, and its gradients by ``w`` and ``step``, from forward and backward sums; a window follows an outside token."""
+    n = len(s.tag)
+    e = np.stack([np.bincount(s.at, w[s.feature, c], n + 1) for c in range(3)], 1)
+    gold = np.zeros((n + 1, 3))
+    gold[np.arange(n), s.tag] = 1.0
+    value, d_e, d_step, p_step = float((e * gold).sum()), gold, np.zeros((3, 3)), np.exp(step)
+    for group in s.groups:
+        real, pairs, t_max = group < n, group[:, 1:] < n, group.shape[1]
+        own, top = gold[group], e[group].max(2)
+        p = np.exp(e[group] - top[:, :, None])
+        a, b, total = np.zeros_like(p), np.ones_like(p), np.ones((len(group), t_max))
+        for t in range(t_max):  # filling repeats the last sums
+            x = (p_step[O] if t == 0 else a[:, t - 1] @ p_step) * p[:, t]
+            total[:, t] = np.where(real[:, t], x.sum(1), 1.0)
+            a[:, t] = np.where(real[:, t, None], x / total[:, t, None], a[:, t - 1])
         for t in range(t_max - 2, -1, -1):
             x = (p[:, t + 1] * b[:, t + 1]) @ p_step.T
             b[:, t] = np.where(real[:, t + 1, None], x / x.sum(1, keepdims=True), 1.0)
@@ -248,15 +307,34 @@ def fit(texts: list[str], rounds: int = 120, rate: float = 0.15, ridge: float =
         g = g / g.sum(2, keepdims=True) * real[:, :, None]
         x = a[:, :-1, :, None] * p_step[None, None] * (p[:, 1:] * b[:, 1:])[:, :, None, :]
         x = x / x.sum((2, 3), keepdims=True) * pairs[:, :, None, None]
-        d_step = (gold_step - x.sum((0, 1)) - g[:, 0].sum(0)[None, :] * np.eye(3)[O][:, None]) / n - ridge * step
-        diff = (gold - g).reshape(-1, 3)
-        d_w = np.stack([np.bincount(feature, diff[flat, c], len(names)) for c in range(3)], 1) / n - ridge * w
+        seen = np.einsum("nta,ntb,nt->ab", own[:, :-1], own[:, 1:], pairs.astype(float))
+        seen[O] += own[:, 0].sum(0)
+        value += float((seen * step).sum() - np.log(total).sum() - top[real].sum())
+        d_step += seen - x.sum((0, 1))
+        d_step[O] -= g[:, 0].sum(0)
+        d_e[group[real]] -= g[real]
+    d_w = np.stack([np.bincount(s.feature, d_e[s.at, c], len(s.names)) for c in range(3)], 1)
+    return value, d_w, d_step
+
+
+def fit(texts: list[str], rounds: int = 120, rate: float = 0.15, ridge: float = 2e-4, seldom: int = 3) -> Field | None:
+    """Maximises the penalised conditional likelihood of the windows' tags; None if no window has a secret.
+
+    Whole windows count. A word, beginning or end is a feature if ``seldom`` windows or more have it."""
+    s = sequences(texts, seldom)
+    if not s.tag.any():
+        return None
+    w, step = np.zeros((len(s.names), 3)), np.zeros((3, 3))
+    seen_w, seen_s = np.full(w.shape, 1e-8), np.full(step.shape, 1e-8)
+    for _ in range(rounds):
+        _, d_w, d_step = likelihood(s, w, step)
+        d_w, d_step = d_w / s.n - ridge * w, d_step / s.n - ridge * step
         seen_w = 0.9 * seen_w + 0.1 * d_w**2
         seen_s = 0.9 * seen_s + 0.1 * d_step**2
         w += rate * d_w / np.sqrt(seen_w + 1e-10)
         step += rate * d_step / np.sqrt(seen_s + 1e-10)
         rate *= 0.985
-    return Field({name: w[i] for name, i in names.items()}, step)
+    return Field(dict(zip(s.names, w, strict=True)), step)
 
 
 def scan(docs: DataFrame, model: Field | None) -> DataFrame:
@@ -265,7 +343,7 @@ def scan(docs: DataFrame, model: Field | None) -> DataFrame:
     A null text is empty and has none. Whole texts are scanned; repeated rows are scanned each by itself;
     other columns are not read. Without a model only the fixed patterns run. No shuffle."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of the windows' features
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [find_spans(t, sent.value) for t in batch.column("text").to_pylist()]
@@ -293,7 +371,7 @@ def redact(docs: DataFrame, model: Field | None, mark: str = "[SECRET]") -> Data
         out, end = [], 0
         for a, b in sorted((s[3], s[4]) for s in find_spans(text, sent.value)):
             if b > end:
-                if a >= end:
+                if a > end or not out:  # what touches the value before has its mark already
                     out += [text[end:a], mark]
                 end = b
         return "".join([*out, text[end:]]) if out else text

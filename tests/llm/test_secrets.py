@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 from cases import SCHEMA, documents, empty, prose, rows, told
@@ -78,6 +79,65 @@ def test_field_finds_secrets_beside_the_patterns(spark):
     assert hit >= 48 and wrong <= 2
 
 
+def test_likelihood_and_gradients_are_those_of_all_taggings():
+    texts = ['password = "abcd1234XYZ" ok', "plain words here", "token:aaaaaaaa9 x", "one"]
+    s = secrets.sequences(texts, 1)
+    r = np.random.default_rng(4)
+    w, step = r.normal(size=(len(s.names), 3)), r.normal(size=(3, 3))
+
+    def enumerated(w, step):
+        e = np.stack([np.bincount(s.at, w[s.feature, c], len(s.tag)) for c in range(3)], 1)
+        total = 0.0
+        for group in s.groups:
+            for row in group:
+                row = row[row < len(s.tag)]
+                score = lambda tags, row=row: step[secrets.O, tags[0]] + sum(e[i, t] for i, t in zip(row, tags, strict=True)) + sum(step[a, b] for a, b in zip(tags, tags[1:], strict=False))
+                total += score([int(x) for x in s.tag[row]]) - np.log(sum(np.exp(score(t)) for t in itertools.product(range(3), repeat=len(row))))
+        return total
+
+    value, d_w, d_step = secrets.likelihood(s, w, step)
+    assert np.isclose(value, enumerated(w, step))
+    for array, gradient, places in ((w, d_w, [(i, c) for i in range(0, len(w), 9) for c in range(3)]), (step, d_step, [(a, b) for a in range(3) for b in range(3)])):
+        for at in places:
+            moved = [array.copy(), array.copy()]
+            moved[0][at] += 1e-5
+            moved[1][at] -= 1e-5
+            up, down = ((enumerated(m, step) if array is w else enumerated(w, m)) for m in moved)
+            assert np.isclose(gradient[at], (up - down) / 2e-5, atol=1e-5)
+
+
+def test_words_before_secrets_are_learned_from_windows():
+    """A word that no list holds stands before secrets in training: its neighbour is then more of a secret than behind another word."""
+    r = random.Random(5)
+    texts = [prose(i, 20) + f" geheim token={key(r)} " + prose(i + 1, 10) for i in range(60)] + [prose(100 + i, 30) + f" nummer id={prose(i, 1)} {prose(i + 3, 9)}" for i in range(60)]
+    model = secrets.fit(texts)
+    odds = {}
+    for word in ("geheim", "nummer", "fluss"):
+        score = model.emissions(secrets.TOKEN.findall(f"ab {word} q = x9k2LmQ8 cd"))[4]
+        odds[word] = score[secrets.B] - score[secrets.O]
+    assert odds["geheim"] > odds["nummer"] and odds["geheim"] > odds["fluss"]
+
+
+def test_a_secret_at_the_end_of_a_long_window_is_learned(spark):
+    """Windows of some hundred tokens keep the tags of the last ones."""
+    text = "{" + ",".join(f"'{i}'" for i in range(130)) + "} password=" + "Zq7" * 6
+    s = secrets.sequences([text], 1)
+    assert len(s.tag) > 300 and s.tag[-1] == secrets.B
+    docs = spark.createDataFrame([(1, "[" + ",".join(f"{i}" for i in range(3000)) + "];password=" + "Zq7" * 6, None, None, None)], SCHEMA)
+    assert all(secrets.base_spans(w) for w in secrets.windows(docs))
+
+
+def test_parts_outside_base_spans_stay_and_time_is_linear():
+    base = [("assign", 2, 6, 2, 6), ("hex", 4, 8, 4, 8), ("access", 20, 30, 20, 30)]
+    text = "x" * 50
+    assert [s[1:3] for s in secrets.beside([("crf", 0, 10, 0, 10), ("crf", 12, 14, 12, 14), ("crf", 15, 40, 15, 40)], secrets.joined(base), text)] == [(0, 2), (8, 10), (12, 14), (15, 20), (30, 40)]
+    many = [("crf", 10 * i, 10 * i + 8, 10 * i, 10 * i + 8) for i in range(40_000)]
+    held = [("hex", 10 * i + 4, 10 * i + 9, 10 * i + 4, 10 * i + 9) for i in range(40_000)]
+    began = time.time()
+    assert len(secrets.beside(many, held, "x" * 400_000)) == 40_000
+    assert time.time() - began < 2
+
+
 def test_spans_never_overlap_base_ones_and_values_go(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     model = secrets.fit(secrets.windows(docs))
