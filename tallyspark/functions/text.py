@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 
 def squeeze(text: Column) -> Column:
@@ -180,3 +186,71 @@ def search_tokens(text: Column) -> Column:
 
     cjk = F.flatten(F.transform(runs, lambda r: F.concat(F.when(F.length(r) == 1, F.array(r)).otherwise(F.array().cast("array<string>")), pieces(r, 2), pieces(r, 3))))
     return F.array_distinct(F.concat(latin, cjk))
+
+
+#: Words that name a renderer.
+RENDERERS = r"(?i)\b(?:html|svg|canvas|renderer|ink)\b|渲染器|几何画板"
+
+
+def renderer_words(value: Column) -> Column:
+    """Whether a text names a renderer."""
+    return value.rlike(RENDERERS)
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def first_object(text: str | None) -> str | None:
+    """The JSON of a model's answer: the whole text without its fence if that is JSON, else the first place where an object stands; null without one."""
+    if text is None:
+        return None
+    read = json.JSONDecoder(parse_constant=_no_constant)
+    body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", text.strip(), flags=re.IGNORECASE))
+    try:
+        json.loads(body, parse_constant=_no_constant)
+        return body
+    except ValueError:
+        pass
+    at = body.find("{")
+    while at >= 0:
+        try:
+            return body[at : read.raw_decode(body, at)[1]]
+        except ValueError:
+            at = body.find("{", at + 1)
+    return None
+
+
+@pandas_udf(T.StringType())
+def loose_json(values: pd.Series) -> pd.Series:
+    return values.map(first_object)
+
+
+def number_text(x: float) -> str:
+    """A number as JavaScript prints it: no fraction where there is none."""
+    return str(int(x)) if isinstance(x, int) or (x.is_integer() and abs(x) < 1e21) else repr(x)
+
+
+def one_form(value) -> str:
+    """Canonical JSON: keys in order of their UTF-16 units, no blanks, numbers as JavaScript prints them."""
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{one_form(value[k])}" for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(one_form, value)) + "]"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return number_text(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+@pandas_udf(T.StringType())
+def canonical_json(values: pd.Series) -> pd.Series:
+    """Nested JSON in its one form; null for null and for what is no JSON."""
+
+    def form(text: str | None) -> str | None:
+        try:
+            return None if text is None else one_form(json.loads(text, parse_constant=_no_constant))
+        except ValueError:
+            return None
+
+    return values.map(form)

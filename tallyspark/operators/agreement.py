@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators.quantiles import percentiles
+
 
 def _domain(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
     values = ", ".join("('" + x.replace("'", "''") + "')" for x in labels)
@@ -58,7 +60,10 @@ def sequence_label(accepted: Column, operations: Column) -> Column:
 
 def summary(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, median (middle pair averaged) and maximum; nulls where there is no value."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("maximum"))
+    whole = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("maximum"))
+    middle = percentiles(rows, by, value, (0.5,)).select(*(F.col(k).alias(f"_{k}") for k in by), F.col(value).alias("median"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] or F.lit(True)
+    return whole.join(middle, same, "left").select(*by, "n", "mean", "median", "maximum")
 
 
 def agreement_rate(rows: DataFrame, same: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators.quantiles import percentiles
+
 MASK = 0xFFFFFFFF
 #: Most distinct cells of a design; the driver holds them and every task gets them.
 MAX_CELLS = 10_000
@@ -115,6 +117,7 @@ def bootstrap_difference(rows: DataFrame, levels: Sequence[str], arm: str, left:
 
 def intervals(replicates: DataFrame, values: Sequence[str]) -> DataFrame:
     """(metric, low95, low80, high80, high95) by linear interpolation between order statistics."""
-    q = [F.percentile(v, [0.025, 0.1, 0.9, 0.975]).alias(v) for v in values]
-    long = replicates.agg(*q).select(F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).alias("q")) for v in values))).alias("m"))
-    return long.select("m.metric", *(F.get("m.q", F.lit(i)).alias(n) for i, n in enumerate(("low95", "low80", "high80", "high95"))))
+    long = replicates.select(F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in values))).alias("m")).select("m.*")
+    found = percentiles(long, ["metric"], "x", (0.025, 0.1, 0.9, 0.975))
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("x")))
+    return found.groupBy("metric").agg(at(0.025).alias("low95"), at(0.1).alias("low80"), at(0.9).alias("high80"), at(0.975).alias("high95"))

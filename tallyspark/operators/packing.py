@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +27,29 @@ def chunk_lines(text: Column, limit: int) -> Column:
     return F.aggregate(F.split(text, "\n"), start, step, end)
 
 
-def batch_numbers(sizes: Column, most_items: int, most_bytes: int) -> Column:
-    """array of batch numbers (from 0) of items in order: a new batch at ``most_items`` items or where bytes would pass ``most_bytes``.
-
-    An item larger than ``most_bytes`` makes the whole answer null: it fits nowhere."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("batch"), F.lit(0).alias("items"), F.lit(0).cast("long").alias("bytes"))
-
-    def step(acc: Column, size: Column) -> Column:
-        new = (acc["items"] > 0) & ((acc["items"] >= most_items) | (acc["bytes"] + size > most_bytes))
-        batch = acc["batch"] + new.cast("int")
-        return F.struct(F.concat(acc["out"], F.array(batch)).alias("out"), batch.alias("batch"), F.when(new, 1).otherwise(acc["items"] + 1).alias("items"), F.when(new, size.cast("long")).otherwise(acc["bytes"] + size).alias("bytes"))
-
-    return F.when(~F.exists(sizes, lambda s: s > most_bytes), F.aggregate(sizes, start, step, lambda acc: acc["out"]))
+def batch_rows(rows: DataFrame, key: str, order: Sequence[str], size: str, most_items: int, most_bytes: int) -> DataFrame:
+    """``rows`` with batch (from 0 in each key): in order, a new batch at ``most_items`` items or where bytes would pass ``most_bytes``.
+
+    An item larger than ``most_bytes`` fits nowhere: its key gets no rows. Each batch begins where the one before ends, so a key is
+    walked in order by one task, which keeps three numbers and no rows."""
+    fits = rows.join(rows.where(F.col(size) > most_bytes).select(key).distinct(), key, "left_anti").select(*rows.columns)
+    at, by = rows.columns.index(key), rows.columns.index(size)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, items, held = object(), 0, 0, 0
+        for part in batches:
+            out = []
+            for k, n in zip(part.column(at).to_pylist(), part.column(by).to_pylist(), strict=True):
+                if k != now:
+                    now, batch, items, held = k, 0, 0, 0
+                if items and (items >= most_items or held + n > most_bytes):
+                    batch, items, held = batch + 1, 0, 0
+                items, held = items + 1, held + n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], [*part.schema.names, "batch"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fits.schema)
+    return fits.repartition(key).sortWithinPartitions(key, *order).mapInArrow(walk, f"{kinds}, batch int")
 
 
 def last_n(rows: DataFrame, key: Sequence[str], order: str, n: int) -> DataFrame:

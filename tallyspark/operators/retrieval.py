@@ -20,16 +20,32 @@ def cut(text: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([list({t[i : i + k] for i in range(len(t) - k + 1)}) for t, k in zip(text, n, strict=True)])
 
 
+#: Distinct heads of needles up to this many are broadcast (some 50 MB); beyond it the join shuffles.
+BROADCAST_HEADS = 500_000
+
+
 def substring_pairs(hays: DataFrame, needles: DataFrame, gram: int = 12) -> DataFrame:
     """Distinct (hay_id, needle_id) where a needle (needle_id, needle) lies inside a hay (hay_id, hay); empty needles do not count.
 
-    Needles are keyed by their first ``gram`` (or all their) characters; hays are cut into the pieces of the lengths that
-    occur and joined on them, then whole needles are compared: an equality join, no product of both sides."""
+    Needles are keyed by their first ``gram`` (or all their) characters. Hays are cut into the pieces of the lengths that occur; pieces
+    that begin some needle give candidate pairs of ids, an equality join without the texts. Then texts meet their candidates and whole
+    needles are compared."""
     needles = needles.where("needle <> ''").withColumn("n", F.least(F.length("needle"), F.lit(gram))).withColumn("head", F.left("needle", F.col("n")))
-    lengths = needles.agg(F.sort_array(F.collect_set("n")).alias("lengths"))  # one row of at most ``gram`` numbers
-    pieces = hays.where("hay is not null").join(F.broadcast(lengths)).select("hay_id", "hay", F.explode("lengths").alias("n")).where(F.length("hay") >= F.col("n"))
-    pieces = pieces.withColumn("head", F.explode(cut("hay", "n")))
-    return pieces.join(needles, ["n", "head"]).where(F.contains("hay", "needle")).select("hay_id", "needle_id").distinct()
+    heads = needles.select("n", "head").distinct()
+    found = heads.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()  # at most ``gram`` rows
+    hays = hays.where("hay is not null")
+    pieces = hays.select("hay_id", "hay", F.explode(F.array(*(F.lit(r["n"]) for r in found)) if found else F.array().cast("array<int>")).alias("n"))
+    pieces = pieces.where(F.length("hay") >= F.col("n")).select("hay_id", "n", F.explode(cut("hay", "n")).alias("head"))
+    if sum(r["c"] for r in found) <= BROADCAST_HEADS:
+        heads = F.broadcast(heads)
+    pairs = pieces.join(heads, ["n", "head"], "left_semi").join(needles.select("n", "head", "needle_id", "needle"), ["n", "head"]).select("hay_id", "needle_id", "needle")
+    return pairs.join(hays, "hay_id").where(F.contains("hay", "needle")).select("hay_id", "needle_id").distinct()
+
+
+#: Records of one token that one task takes.
+RECORDS_A_TASK = 100_000
+#: Records of a token, at most about, that are scored to learn what a question's best ones reach at least.
+TRIALS = 64
 
 
 def rank(questions: DataFrame, records: DataFrame, k: int) -> DataFrame:
@@ -39,27 +55,56 @@ def rank(questions: DataFrame, records: DataFrame, k: int) -> DataFrame:
     three points a title token, one a body token, their sum over the question's tokens, two where a phrase and the
     question contain each other (blanks apart), and 0.08 a modality; ties go to the smaller id.
 
-    A question meets the records that share a token or a phrase with it, by equality joins; all others score by
-    modality alone, so the k best of those by (modalities, id) are all that can count."""
+    First some records of a question's two rarest tokens, and the k best by modalities alone, are scored; the k-th best of them is a
+    floor. A record that has none of a question's tokens but the most frequent ones can reach no more than those are worth: where that
+    lies below the floor, these tokens call up no candidates. So common words are joined only for questions that have nothing rarer,
+    and their records are dealt to several tasks. Records with a matching phrase are candidates in any case. All candidates are scored
+    in full; of each block of a question's candidates k stay before the last comparison."""
+    k = max(1, k)
     compact = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     q = questions.select("question_id", search_tokens(F.col("question")).alias("tokens"), compact(F.col("question")).alias("asked")).withColumn("n_tokens", F.greatest(F.size("tokens"), F.lit(1)))
-    asked = q.select("question_id", F.explode("tokens").alias("token"))
-    token = lambda c: records.select("record_id", F.explode(search_tokens(F.col(c))).alias("token"), F.lit(c).alias("part"))
-    hits = asked.join(token("title").unionByName(token("body")), "token").select("question_id", "record_id", "part")
+    r = records.select("record_id", search_tokens(F.col("title")).alias("title"), search_tokens(F.col("body")).alias("body"), "modalities")
+    posted = r.select("record_id", F.explode(F.array_union("title", "body")).alias("token"))
+    often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
     phrases = records.select("record_id", F.explode("phrases").alias("p")).select("record_id", compact(F.col("p")).alias("p")).where("p <> ''").distinct()
     inside = substring_pairs(q.select(F.col("question_id").alias("hay_id"), F.col("asked").alias("hay")), phrases.select(F.col("record_id").alias("needle_id"), F.col("p").alias("needle")))
     around = substring_pairs(phrases.select(F.col("record_id").alias("hay_id"), F.col("p").alias("hay")), q.select(F.col("question_id").alias("needle_id"), F.col("asked").alias("needle")))
-    boosts = inside.select(F.col("hay_id").alias("question_id"), F.col("needle_id").alias("record_id")).unionByName(around.select(F.col("needle_id").alias("question_id"), F.col("hay_id").alias("record_id")))
-    spare = records.orderBy(F.desc("modalities"), "record_id").limit(max(1, k)).select("record_id")  # at most k rows
-    rest = q.select("question_id").join(F.broadcast(spare))
-    pairs = hits.unionByName(boosts.distinct().withColumn("part", F.lit("boost"))).unionByName(rest.select("question_id", "record_id", F.lit("none").alias("part")))
-    pairs = pairs.groupBy("question_id", "record_id").agg(*(F.count_if(F.col("part") == p).alias(p) for p in ("title", "body", "boost")))
-    rows = pairs.join(q.select("question_id", "n_tokens"), "question_id").join(records.select("record_id", "modalities"), "record_id")
-    both = F.col("title") + F.col("body")
-    score = 3.0 * F.col("title") + F.col("body") + both / F.col("n_tokens") + F.when(F.col("boost") > 0, 2.0).otherwise(0.0) + 0.08 * F.col("modalities")
-    order = Window.partitionBy("question_id").orderBy(F.desc("raw"), "record_id")
-    rows = rows.withColumn("raw", F.round(score, 9)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, k))
-    return rows.select("question_id", "record_id", F.round("raw", 4).alias("score"), "place")
+    boosts = inside.select(F.col("hay_id").alias("question_id"), F.col("needle_id").alias("record_id")).unionByName(around.select(F.col("needle_id").alias("question_id"), F.col("hay_id").alias("record_id"))).distinct()
+    spare = F.broadcast(records.orderBy(F.desc("modalities"), "record_id").limit(k).select("record_id"))  # at most k rows
+    least = q.select("question_id").join(spare)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(q, "question_id").join(r, "record_id")
+        title, body = F.size(F.array_intersect("tokens", "title")), F.size(F.array_intersect("tokens", "body"))
+        score = 3.0 * title + body + (title + body) / F.col("n_tokens") + F.when(F.col("boost"), 2.0).otherwise(0.0) + 0.08 * F.col("modalities")
+        return both.select("question_id", "record_id", F.round(score, 9).alias("raw"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        order = [F.desc("raw"), F.col("record_id")]
+        block = F.pmod(F.xxhash64("record_id"), F.lit(64))
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("question_id", block).orderBy(*order))).where(F.col("place") <= k)
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("place") <= k)
+
+    rising = Window.partitionBy("question_id").orderBy("df", "token")
+    asked = q.select("question_id", "n_tokens", F.explode("tokens").alias("token")).join(often, "token").withColumn("nth", F.row_number().over(rising))
+    few = often.where(F.col("df") > TRIALS)
+    sample = posted.join(few, "token", "left").where(F.col("df").isNull() | (F.pmod(F.xxhash64("record_id", "token"), F.expr(f"df div {TRIALS} + 1")) == 0)).select("record_id", "token")
+    trials = asked.where("nth <= 2").select("question_id", "token").join(sample, "token").select("question_id", "record_id").unionByName(least).distinct()
+    floor = best(scored(trials.withColumn("boost", F.lit(False)))).where(F.col("place") == k).select("question_id", F.col("raw").alias("floor"))
+
+    # What the tokens from one on, the frequent ones last, can add up to, in titles and bodies, with all modalities.
+    top = r.agg(F.coalesce(F.max("modalities"), F.lit(0)).alias("top"))
+    rest = F.sum(F.lit(4.0) + 2.0 / F.col("n_tokens")).over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    asked = asked.withColumn("rest", rest).join(floor, "question_id", "left").join(F.broadcast(top))
+    needed = asked.where(F.col("floor").isNull() | (F.col("rest") + 0.08 * F.col("top") >= F.col("floor") - 1e-6)).select("question_id", "token", "df")
+    hot = F.broadcast(often.where(F.col("df") > RECORDS_A_TASK).select("token", F.expr(f"df div {RECORDS_A_TASK}").alias("more")))  # one of every RECORDS_A_TASK postings at most
+    spread = posted.join(hot, "token", "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.coalesce(F.col("more"), F.lit(0)) + 1)).select("token", "salt", "record_id")
+    needed = needed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("df") > RECORDS_A_TASK, F.expr(f"df div {RECORDS_A_TASK}")).otherwise(0))))
+    hits = needed.join(spread, ["token", "salt"]).select("question_id", "record_id")
+    pairs = hits.unionByName(least).withColumn("boost", F.lit(False)).unionByName(boosts.withColumn("boost", F.lit(True)))
+    pairs = pairs.groupBy("question_id", "record_id").agg(F.bool_or("boost").alias("boost"))
+    return best(scored(pairs)).select("question_id", "record_id", F.round("raw", 4).alias("score"), "place")
 
 
 ZERO_WIDTH = re.compile(r"[\s​-‍⁠﻿_.:/-]+")

@@ -51,32 +51,48 @@ def containment_issues(inner: DataFrame, outer: DataFrame, fk: str, pk: str, cod
     return both.where(~contains(F.col("outer_start"), F.col("outer_end"), F.col("start"), F.col("end"))).select(fk, "start", "end", F.lit(code).alias("code"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, at: str, target_at: str, target_id: str) -> DataFrame:
-    """Each point with nearest_id and gap: the target of its key nearest in time (whole numbers; ties to the earlier, then
-    the smaller id); points without one stay.
-
-    Points and targets of a key are merged in time order, and each point sees the last target up to it and the
-    first from it on: one sort a direction, no pairs."""
-    point = F.struct(*points.columns)
-    shape = points.select(point.alias("x")).schema["x"].dataType
-    rows = points.select(key, F.col(at).alias("_t"), point.alias("_p"), F.lit(None).cast("long").alias("_id")).unionByName(
-        targets.select(key, F.col(target_at).alias("_t"), F.lit(None).cast(shape).alias("_p"), F.col(target_id).cast("long").alias("_id"))
+def around(points: DataFrame, targets: DataFrame, key: str, at: str, target_at: str, target_id: str, bucket: int) -> DataFrame:
+    """``points`` as struct ``_p`` with their time ``_t``, ``_last`` (t, n: minus its id) and ``_first`` (t, n: its id): the last target
+    of the key up to that time and the first from it on; of those at one time, the smallest id.
+
+    Both are merged in time order, one sort a direction, no pairs. Rows are dealt by key and stretches of ``bucket`` time; what lies
+    beyond a stretch comes from the ends of the key's other stretches, of which there is one row each."""
+    shape = points.select(F.struct(*points.columns).alias("x")).schema["x"].dataType
+    rows = points.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.struct(*points.columns).alias("_p"), F.lit(None).cast("long").alias("_id")).unionByName(
+        targets.select(F.col(key).alias("_k"), F.col(target_at).alias("_t"), F.lit(None).cast(shape).alias("_p"), F.col(target_id).cast("long").alias("_id"))
     )
-    has = F.col("_id").isNotNull()
-    back = Window.partitionBy(key).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(key).orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.max(F.when(has, F.struct(F.col("_t").alias("t"), (-F.col("_id")).alias("n")))).over(back)
-    first = F.min(F.when(has, F.struct(F.col("_t").alias("t"), F.col("_id").alias("n")))).over(ahead)
+    rows = rows.withColumn("_b", F.floor(F.col("_t") / bucket).cast("long"))
+    late = F.when(F.col("_id").isNotNull(), F.struct(F.col("_t").alias("t"), (-F.col("_id")).alias("n")))
+    early = F.when(F.col("_id").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_id").alias("n")))
+    whole = Window.unboundedPreceding
+    ends = rows.groupBy("_k", "_b").agg(F.max(late).alias("_max"), F.min(early).alias("_min"))
+    before = F.max("_max").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(whole, -1))
+    behind = F.min("_min").over(Window.partitionBy("_k").orderBy(F.desc("_b")).rowsBetween(whole, -1))
+    ends = ends.select(F.col("_k").alias("_ek"), F.col("_b").alias("_eb"), before.alias("_before"), behind.alias("_behind"))
+    stretch = Window.partitionBy("_k", "_b")
+    last = F.max(late).over(stretch.orderBy("_t").rangeBetween(whole, Window.currentRow))
+    first = F.min(early).over(stretch.orderBy(F.desc("_t")).rangeBetween(whole, Window.currentRow))
     rows = rows.withColumns({"_last": last, "_first": first}).where("_p is not null")
+    rows = rows.join(ends, rows["_k"].eqNullSafe(ends["_ek"]) & rows["_b"].eqNullSafe(ends["_eb"]), "left")
+    return rows.select("_p", "_t", F.coalesce("_last", "_before").alias("_last"), F.coalesce("_first", "_behind").alias("_first"))
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, at: str, target_at: str, target_id: str, bucket: int) -> DataFrame:
+    """Each point with nearest_id and gap: the target of its key nearest in time (whole numbers; ties to the earlier, then
+    the smaller id); points without one stay. ``bucket``: the time by which a key's rows are dealt."""
+    rows = around(points, targets, key, at, target_at, target_id, bucket)
     behind, before = F.col("_t") - F.col("_last.t"), F.col("_first.t") - F.col("_t")
     early = F.col("_last").isNotNull() & (F.col("_first").isNull() | (behind <= before))
     return rows.select("_p.*", F.when(early, -F.col("_last.n")).otherwise(F.col("_first.n")).alias("nearest_id"), F.when(early, behind).otherwise(before).alias("gap"))
 
 
-def near_semi_join(rows: DataFrame, points: DataFrame, key: str, reach: int) -> DataFrame:
-    """Rows (key, start, end) with some point (key, at) within ``reach`` of them, ends included."""
-    p = points.select(F.col(key).alias("_k"), F.col("at").alias("_at"))
-    return rows.join(p, (F.col(key) == F.col("_k")) & (F.col("start") <= F.col("_at") + reach) & (F.col("end") >= F.col("_at") - reach), "left_semi")
+def near_semi_join(rows: DataFrame, points: DataFrame, key: str, reach: int, bucket: int) -> DataFrame:
+    """Rows (key, start, end) with some point (key, at) within ``reach`` of them, ends included.
+
+    There is one if the first point from start - reach on does not lie behind end + reach."""
+    asked = rows.withColumn("_from", F.col("start") - reach)
+    found = around(asked, points.withColumn("_id0", F.lit(0)), key, "_from", "at", "_id0", bucket)
+    return found.where(F.col("_first.t") <= F.col("_p.end") + reach).select("_p.*").drop("_from")
 
 
 def order_violations(rows: DataFrame, key: Sequence[str], position: str, value: str, strict: bool = False) -> DataFrame:
@@ -128,6 +144,15 @@ def even_subsample(items: Column, k: int) -> Column:
     return F.when(n <= k, items).when(F.lit(k) <= 1, F.slice(items, 1, 1)).otherwise(F.transform(at, lambda i: F.get(items, i)))
 
 
+def even_rows(rows: DataFrame, key: Sequence[str], order: str, k: int) -> DataFrame:
+    """``even_subsample`` of the rows of each key in order, as rows: places are counted, so no key is gathered in an array."""
+    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1)
+    sizes = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    wanted = F.when(F.col("_n") > k, F.when(F.lit(k) <= 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(k - 1, 1))).cast("int"))))
+    both = placed.join(sizes.withColumn("_wanted", wanted), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return both.where(F.col("_wanted").isNull() | F.array_contains("_wanted", F.col("_i"))).select(*rows.columns)
+
+
 def keep_spaced(values: Column, gap: float, limit: int, seed: Column | None = None) -> Column:
     """Of an array of (at, reason, priority), in its order, those at least ``gap`` from all kept before; ``limit`` at most.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
@@ -10,25 +10,29 @@ from tallyspark.operators import ledger
 from tallyspark.sources.tables import load
 
 DOMAIN = "review-decision-v1"
+KEY = b"blinding key"
+#: The key under the two masks of the keyed hash, as hex.
+PADS = [bytes(b ^ mask for b in KEY.ljust(64, b"\0")).hex() for mask in (0x5C, 0x36)]
 
 
 def signed(spark: SparkSession, d: str) -> DataFrame:
-    """Events of each user as revisions, chained by hash; every 97th signature is broken, every 89th parent lost."""
-    from pyspark.sql import Window
+    """Orders of each customer as revisions, each signed over its parent's signature; some signatures are broken, some parents lost, some numbers skipped."""
+    orders = load(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("payload")))).alias("x"))
+    start = F.array().cast("array<struct<o_orderkey:long,payload:string,parent:string,signature:string>>")
 
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    rows = load(spark, d, "events").select("user_id", "event_id", F.concat_ws(":", "event_type", F.round(F.col("value") * 100).cast("long")).alias("payload"), F.row_number().over(order).cast("long").alias("revision"))
-    # Parents hash the payload before them, so that the chain is a function of the row before.
-    seen = F.concat(F.lit("p-"), F.lag("payload").over(order))
-    rows = rows.withColumn("parent", F.when(F.col("event_id") % 89 != 0, seen))
-    own = F.concat(F.lit("p-"), F.col("payload"))
-    return rows.withColumn("signature", F.when(F.col("event_id") % 97 == 0, "broken").otherwise(own))
+    def sign(done: Column, x: Column) -> Column:
+        parent = F.try_element_at(done, F.lit(-1))["signature"]
+        own = ledger.domain_hash(DOMAIN, F.concat_ws("|", F.coalesce(parent, F.lit("")), x["payload"]))
+        return F.concat(done, F.array(F.struct(x["o_orderkey"].cast("long").alias("o_orderkey"), x["payload"].alias("payload"), parent.alias("parent"), own.alias("signature"))))
+
+    rows = orders.select("o_custkey", F.posexplode(F.aggregate("x", start, sign)).alias("i", "r")).select("o_custkey", "r.*", (F.col("i") + 1 + F.when(F.col("r.o_orderkey") % 101 == 0, 100_000).otherwise(0)).cast("long").alias("revision"))
+    rows = rows.withColumn("signature", F.when(F.col("o_orderkey") % 97 == 0, "broken").otherwise(F.col("signature")))
+    return rows.withColumn("parent", F.when(F.col("o_orderkey") % 89 != 0, F.col("parent")))
 
 
 def hash_chain(spark: SparkSession, d: str) -> DataFrame:
-    rows = signed(spark, d).withColumn("revision", F.col("revision") + (F.col("event_id") % 101 == 0).cast("int"))
-    out = ledger.chain_issues(rows, ["user_id"], "event_id", "parent", "signature", F.col("payload"), DOMAIN)
-    return out.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    out = ledger.chain_issues(signed(spark, d), ["o_custkey"], "revision", "parent", "signature", F.col("payload"), DOMAIN)
+    return out.groupBy("o_custkey", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ledger_current(spark: SparkSession, d: str) -> DataFrame:
@@ -83,8 +87,8 @@ def derived_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hmac_reblind(spark: SparkSession, d: str) -> DataFrame:
-    """Blind ids under a key; Python's own digest is the oracle in the tests."""
-    return load(spark, d, "orders").select("o_orderkey", text.hmac_sha256(b"blinding key", F.col("o_orderkey").cast("string")).alias("blind_id"))
+    """Blind ids under a key."""
+    return load(spark, d, "orders").select("o_orderkey", text.hmac_sha256(KEY, F.col("o_orderkey").cast("string")).alias("blind_id"))
 
 
 def rng_draws(spark: SparkSession, d: str) -> DataFrame:
@@ -128,12 +132,12 @@ QUERIES = {f.__name__: f for f in (hash_chain, ledger_current, state_transitions
 
 SQL = {
     "hash_chain": f"""
-WITH e AS (SELECT user_id, event_id, event_type || ':' || CAST(round(value * 100) AS BIGINT) p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n FROM events),
-f AS (SELECT *, CASE WHEN event_id % 89 <> 0 THEN 'p-' || lag(p) OVER (PARTITION BY user_id ORDER BY event_id) END parent, CASE WHEN event_id % 97 = 0 THEN 'broken' ELSE 'p-' || p END sig FROM e),
-g AS (SELECT *, lag(sig) OVER (PARTITION BY user_id ORDER BY event_id) before FROM f),
-c AS (SELECT 'revision.skipped' code FROM g WHERE event_id <> n UNION ALL SELECT 'parent.signature' FROM g WHERE parent IS DISTINCT FROM before
-  UNION ALL SELECT 'signature.mismatch' FROM g WHERE sig <> sha256('{DOMAIN}' || chr(0) || coalesce(parent, '') || '|' || p))
-SELECT code, count(*) AS n FROM c GROUP BY ALL""",
+WITH RECURSIVE o AS (SELECT o_custkey c, o_orderkey k, o_orderkey || ':' || o_orderstatus AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+s AS (SELECT c, k, n, p, CAST(NULL AS VARCHAR) AS up, sha256('{DOMAIN}' || chr(0) || '|' || p) AS sig FROM o WHERE n = 1 UNION ALL SELECT o.c, o.k, o.n, o.p, s.sig, sha256('{DOMAIN}' || chr(0) || s.sig || '|' || o.p) FROM s JOIN o ON o.c = s.c AND o.n = s.n + 1),
+t AS (SELECT c, p, n + CASE WHEN k % 101 = 0 THEN 100000 ELSE 0 END AS rev, CASE WHEN k % 97 = 0 THEN 'broken' ELSE sig END AS sig, CASE WHEN k % 89 <> 0 THEN up END AS up FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY rev) AS place, lag(sig) OVER (PARTITION BY c ORDER BY rev) AS before, sha256('{DOMAIN}' || chr(0) || coalesce(up, '') || '|' || p) AS own FROM t),
+i AS (SELECT c, 'revision.skipped' AS code FROM w WHERE rev <> place UNION ALL SELECT c, 'parent.signature' FROM w WHERE up IS DISTINCT FROM before UNION ALL SELECT c, 'signature.mismatch' FROM w WHERE sig <> own)
+SELECT c AS o_custkey, code, count(*) AS n FROM i GROUP BY ALL""",
     "ledger_current": "SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) n FROM orders) WHERE n = 1",
     "state_transitions_invalid": """
 WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_state FROM events)
@@ -151,6 +155,7 @@ SELECT o_custkey, 'lesson-' || left(sha256('{"events":' || CAST(sum(o_custkey %
     "revoked_pins": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING')",
     "hash_order": f"SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('{DOMAIN}|1|' || o_orderkey), o_orderkey) AS INTEGER) AS place FROM orders",
     "derived_ids": "SELECT o_orderkey, 'case-' || left(sha256('{\"key\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\",\"total\":' || CAST(round(o_totalprice) AS BIGINT) || '}'), 20) AS id, CASE WHEN right(sha256(CAST(o_orderkey AS VARCHAR)), 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'skills' ELSE 'baseline' END AS side FROM orders",
+    "hmac_reblind": f"SELECT o_orderkey, sha256(from_hex('{PADS[0]}') || from_hex(sha256(from_hex('{PADS[1]}') || encode(CAST(o_orderkey AS VARCHAR))))) AS blind_id FROM orders",
     "rng_draws": """
 WITH a AS (SELECT o_orderkey, (20240731 + (o_orderkey + 1) * 1831565813) % 4294967296 a FROM orders),
 b AS (SELECT *, CAST((CAST(xor(a, a >> 15) AS HUGEINT) * (a | 1)) % 4294967296 AS BIGINT) t FROM a),

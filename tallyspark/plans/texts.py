@@ -34,9 +34,9 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_batches(spark: SparkSession, d: str) -> DataFrame:
-    lines = load(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("size")))).alias("x"))
-    numbers = packing.batch_numbers(F.transform("x", lambda s: s["size"]), 4, 90)
-    return lines.select("l_suppkey", F.explode(numbers).alias("batch")).groupBy("l_suppkey", "batch").agg(F.count(F.lit(1)).alias("items"))
+    lines = load(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("size"))
+    rows = packing.batch_rows(lines, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "size"], "size", 4, 90)
+    return rows.groupBy("l_suppkey", "batch").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("bytes"))
 
 
 def lexical_rank_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ def released_bytes(spark: SparkSession, d: str) -> DataFrame:
 def skill_rollup(spark: SparkSession, d: str) -> DataFrame:
     v = F.struct(F.array("l_shipflag").alias("targets"), F.array("l_partkey", "l_suppkey").alias("actions"))
     li = load(spark, d, "lineitem").withColumn("l_shipflag", F.concat("l_returnflag", "l_linestatus"))
-    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", v.alias("v")))).alias("x")).select("l_orderkey", F.transform("x", lambda s: s["v"]).alias("variants"))
+    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipflag", v.alias("v")))).alias("x")).select("l_orderkey", F.transform("x", lambda s: s["v"]).alias("variants"))
     out = catalog.skill_rollup(rows, "l_orderkey", "variants")
     return out.select("l_orderkey", F.array_join("render_targets", ",").alias("render_targets"), "n_actions")
 
@@ -214,5 +214,27 @@ SELECT s_suppkey, seed, arm, 'request-' || left(sha256('schedule-v1|' || s_suppk
     "review_tiers": "SELECT CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 2 END AS tier, count(*) AS n, min(o_orderkey) AS first_order FROM orders GROUP BY ALL",
     "token_totals": "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS tokens FROM conversations WHERE role = 'assistant' GROUP BY ALL",
     "delivery_audit": "SELECT CASE WHEN l_quantity <= 5 THEN 'missing' WHEN l_discount > 0.05 AND l_returnflag <> 'N' THEN 'substituted' ELSE 'as_requested' END AS status, count(*) AS n FROM lineitem GROUP BY ALL",
+    # Walks through each list of sizes and of lines, step by step.
+    "evidence_batches": """
+WITH RECURSIVE r AS (SELECT l_suppkey s, CAST(l_quantity AS INTEGER) q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) n FROM lineitem),
+w AS (SELECT s, n, q, 0 AS b, 1 AS items, q AS held FROM r WHERE n = 1 UNION ALL
+  SELECT r.s, r.n, r.q, b + CAST(items >= 4 OR held + r.q > 90 AS INTEGER), CASE WHEN items >= 4 OR held + r.q > 90 THEN 1 ELSE items + 1 END, CASE WHEN items >= 4 OR held + r.q > 90 THEN r.q ELSE held + r.q END FROM w JOIN r ON r.s = w.s AND r.n = w.n + 1)
+SELECT s AS l_suppkey, b AS batch, count(*) AS items, CAST(sum(q) AS BIGINT) AS bytes FROM w GROUP BY ALL""",
+    "chunk_pack": """
+WITH RECURSIVE l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, 1 AS i, 0 AS c, ls[1] || chr(10) AS body FROM l UNION ALL
+  SELECT w.doc_id, i + 1, c + CAST(length(body) + length(ls[i + 1]) + 1 > 700 AS INTEGER), CASE WHEN length(body) + length(ls[i + 1]) + 1 > 700 THEN '' ELSE body END || ls[i + 1] || chr(10) FROM w JOIN l USING (doc_id) WHERE i < len(ls)),
+k AS (SELECT doc_id, c AS chunk, max_by(body, i) AS body, c = max(c) OVER (PARTITION BY doc_id) AS final FROM w GROUP BY doc_id, c),
+z AS (SELECT doc_id, chunk, body FROM k WHERE NOT final OR regexp_matches(body, '\\S') UNION ALL SELECT doc_id, 0, left(text, 700) FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = l.doc_id AND (NOT final OR regexp_matches(body, '\\S'))))
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(length(body) AS INTEGER) AS n_chars, sha256(body) AS sha256 FROM z""",
+    "skill_rollup": """
+WITH x AS (SELECT l_orderkey, l_returnflag || l_linestatus AS f, min(row(l_linenumber, l_partkey, l_suppkey)) AS a FROM lineitem GROUP BY ALL),
+n AS (SELECT l_orderkey, count(*) * 2 AS n FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, string_agg(f, ',' ORDER BY a, f) AS render_targets, CAST(any_value(n) AS INTEGER) AS n_actions FROM x JOIN n USING (l_orderkey) GROUP BY l_orderkey""",
+    "cycle_check": f"""
+WITH RECURSIVE e AS (SELECT DISTINCT c, p FROM ({PARENTS})),
+up(x, y) AS (SELECT c, p FROM e UNION SELECT up.x, e.p FROM up JOIN e ON e.c = up.y), loops AS (SELECT DISTINCT x FROM up WHERE x = y)
+SELECT DISTINCT n AS node FROM (SELECT c AS n FROM e UNION SELECT p FROM e)
+WHERE (n IN (SELECT x FROM loops) OR n IN (SELECT x FROM up WHERE y IN (SELECT x FROM loops))) AND (n IN (SELECT x FROM loops) OR n IN (SELECT y FROM up WHERE x IN (SELECT x FROM loops)))""",
     "r7_quantiles": "SELECT 'o_totalprice' AS metric, round(quantile_cont(o_totalprice, 0.025), 4) AS low95, round(quantile_cont(o_totalprice, 0.1), 4) AS low80, round(quantile_cont(o_totalprice, 0.9), 4) AS high80, round(quantile_cont(o_totalprice, 0.975), 4) AS high95 FROM orders",
 }

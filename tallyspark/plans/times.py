@@ -45,12 +45,12 @@ def interval_contains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_event(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.nearest(timed(spark, d, "click"), timed(spark, d, "view").select("user_id", F.col("at").alias("t"), F.col("event_id").alias("id")), "user_id", "at", "t", "id")
+    return temporal.nearest(timed(spark, d, "click"), timed(spark, d, "view").select("user_id", F.col("at").alias("t"), F.col("event_id").alias("id")), "user_id", "at", "t", "id", 86_400 * SECOND)
 
 
 def near_frames(spark: SparkSession, d: str) -> DataFrame:
     rows = spans(spark, d, "purchase", 45, ("event_id", "start", "end"))
-    return temporal.near_semi_join(rows, timed(spark, d, "error"), "user_id", 1500 * SECOND).select("event_id")
+    return temporal.near_semi_join(rows, timed(spark, d, "error"), "user_id", 1500 * SECOND, 86_400 * SECOND).select("event_id")
 
 
 def order_violation_lag(spark: SparkSession, d: str) -> DataFrame:
@@ -95,8 +95,7 @@ def frame_sampling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def even_subsample(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return rows.select("user_id", F.explode(temporal.even_subsample(F.col("ids"), 6)).alias("event_id"))
+    return temporal.even_rows(load(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 6)
 
 
 def fk_missing(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tallyspark.functions import text
-from tallyspark.operators import bootstrap, packing
+from tallyspark.operators import bootstrap, packing, quantiles, retrieval, temporal
 from tallyspark.plans import texts
 
 
@@ -34,12 +34,69 @@ def plain_batches(sizes: list[int], items: int, most: int) -> list[int]:
 
 def test_batches(spark):
     r = random.Random(2)
-    lists = [[r.randrange(1, 40) for _ in range(r.randrange(0, 30))] for _ in range(40)]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, sizes array<long>")
-    got = {x.i: list(x.b) for x in df.select("i", packing.batch_numbers(F.col("sizes"), 4, 60).alias("b")).collect()}
-    for i, sizes in enumerate(lists):
-        want = plain_batches(sizes, 4, 60)
-        assert len(got[i]) == len(sizes) and np.diff(got[i]).tolist() == np.diff(want).tolist(), (sizes, got[i])
+    lists = [[r.randrange(1, 40) for _ in range(r.randrange(0, 30))] for _ in range(40)] + [[61, 1]]
+    df = spark.createDataFrame([(i, j, x) for i, sizes in enumerate(lists) for j, x in enumerate(sizes)], "i int, j int, size long").repartition(5)
+    got: dict = {}
+    for x in sorted(packing.batch_rows(df, "i", ["j"], "size", 4, 60).collect()):
+        got.setdefault(x.i, []).append(x.batch)
+    assert got == {i: plain_batches(sizes, 4, 60) for i, sizes in enumerate(lists) if sizes and max(sizes) <= 60}
+
+
+def test_percentiles_are_those_of_all_values(spark):
+    r = random.Random(9)
+    rows = [(k, v) for k, n in (("a", 1), ("b", 2), ("c", 3000), (None, 50)) for v in [r.choice((0.0, 1.5, r.gauss(0, 1), r.expovariate(1) ** 4)) for _ in range(n)]] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    at = (0.0, 0.025, 0.1, 0.5, 0.9, 0.975, 1.0)
+    got = {(x.k, x.p): x.v for x in quantiles.percentiles(df, ["k"], "v", at).collect()}
+    values = {k: [v for key, v in rows if key == k and v is not None] for k in ("a", "b", "c", None)}
+    assert got == {(k, p): pytest.approx(float(np.quantile(v, p)), abs=1e-12) for k, v in values.items() for p in at}
+    whole = [v for _, v in rows if v is not None]
+    assert quantiles.percentiles(df, [], "v", (0.3,)).first().v == pytest.approx(float(np.quantile(whole, 0.3)))
+    assert quantiles.percentiles(df.where("false"), ["k"], "v", at).count() == 0
+
+
+def test_nearest_targets_across_stretches(spark):
+    r = random.Random(4)
+    points = [(i, f"k{r.randrange(3)}", r.randrange(-400, 400)) for i in range(150)]
+    targets = [(i, f"k{r.randrange(2)}", r.randrange(-400, 400)) for i in range(40)] + [(99, "k0", None)]
+    p, t = spark.createDataFrame(points, "i int, k string, at long"), spark.createDataFrame(targets, "id long, k string, t long")
+    for bucket in (1, 30, 10_000):
+        for x in temporal.nearest(p, t.where("t is not null"), "k", "at", "t", "id", bucket).collect():
+            want = min(((abs(b - x["at"]), b, i) for i, k, b in targets if k == x.k and b is not None), default=None)
+            assert (x.gap, x.nearest_id) == ((want[0], want[2]) if want else (None, None))
+        spans = p.withColumn("start", F.col("at")).withColumn("end", F.col("at") + 9).drop("at")
+        near = {x.i for x in temporal.near_semi_join(spans, t.select("k", F.col("t").alias("at")).where("at is not null"), "k", 5, bucket).collect()}
+        assert near == {i for i, k, a in points if any(kk == k and b is not None and a - 5 <= b <= a + 14 for _, kk, b in targets)}
+
+
+def test_lexical_rank_is_that_of_all_pairs(spark):
+    """Common words, questions of common words alone, ties and phrases, against every pair."""
+    r = random.Random(6)
+    rare = [f"rare{i}x" for i in range(60)]
+    records = [(i, ", ".join(r.sample(["common", "often", *rare], 2)), ", ".join(["common", *r.sample(rare, 2)]), [f"phrase{i % 9}"], r.randrange(3)) for i in range(400)]
+    questions = [(i, ", ".join(q)) for i, q in enumerate([["common"], ["common", "often"], ["often", rare[3]], [rare[1], rare[2], "common"], ["nothing"], ["phrase3", "common"], [rare[7]], []])]
+    df = spark.createDataFrame(records, "record_id long, title string, body string, phrases array<string>, modalities int")
+    asked = spark.createDataFrame(questions, "question_id int, question string")
+    token = lambda s: {w for w in s.lower().replace(" ", "").split(",") if len(w) > 1}
+    for k in (1, 5):
+        got: dict = {}
+        for x in sorted(retrieval.rank(asked, df, k).collect(), key=lambda x: (x.question_id, x.place)):
+            got.setdefault(x.question_id, []).append((x.record_id, x.score))
+        for i, q in questions:
+            scores = []
+            for rid, title, body, phrases, m in records:
+                a, b, n = len(token(q) & token(title)), len(token(q) & token(body)), max(1, len(token(q)))
+                asked_text = q.replace(" ", "")
+                boost = 2.0 if any(p in asked_text or (asked_text and asked_text in p) for p in phrases) else 0.0
+                scores.append((-round(3 * a + b + (a + b) / n + boost + 0.08 * m, 9), rid))
+            assert got[i] == [(rid, pytest.approx(-s, abs=1e-4)) for s, rid in sorted(scores)[:k]], q
+
+
+def test_leaks_join_without_texts(spark):
+    hay = spark.createDataFrame([(1, "xx secret value yy"), (2, "se-cret_VALUE"), (3, "none"), (4, None)], "public_id long, text string")
+    needle = spark.createDataFrame([(1, "Secret Value"), (2, "abc"), (3, None), (4, "secret")], "private_id long, value string")
+    found = retrieval.leaks(hay, needle, "text", "value")
+    assert {tuple(x) for x in found.collect()} == {(1, 1), (2, 1), (1, 4), (2, 4)}
 
 
 def test_chunks_join_to_the_text_and_keep_the_limit(spark):
