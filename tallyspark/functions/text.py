@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -228,7 +229,11 @@ def loose_json(values: pd.Series) -> pd.Series:
 
 def number_text(x: float) -> str:
     """A number as JavaScript prints it: no fraction where there is none."""
-    return str(int(x)) if isinstance(x, int) or (x.is_integer() and abs(x) < 1e21) else repr(x)
+    if isinstance(x, int) or (x.is_integer() and abs(x) < 1e21):
+        return str(int(x))
+    if 1e-6 <= abs(x) < 1e21:  # Python turns to exponents earlier
+        return f"{Decimal(repr(x)):f}"
+    return re.sub(r"e([+-])0*", r"e\1", repr(x))
 
 
 def one_form(value) -> str:

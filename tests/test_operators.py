@@ -161,3 +161,40 @@ def test_registered_bootstrap_has_a_thousand_replicates(spark, monkeypatch):
     monkeypatch.setattr(bootstrap, "bootstrap_difference", lambda *a: asked.append(a[-1]) or whole(*a))
     texts.bootstrap_ci(spark, "/root/testdata/sf0.001")
     assert asked[0] >= 1000
+
+
+def plain_frames(duration: float, cues: list[float], scenes: list[float], most: int = 20) -> list[tuple]:
+    """Cues, then scenes 4 s apart, then even periods; none within 3 s of a chosen one or in the last 0.2 s."""
+    wanted = [(0, max(0.0, c + 0.5), "transcript_cue") for c in cues[:8]]
+    spaced: list[float] = []
+    for s in sorted(max(0.0, s) for s in scenes):
+        if len(spaced) < 8 and all(abs(s - x) >= 4 for x in spaced):
+            spaced.append(s)
+    wanted += [(1, s, "scene_change") for s in spaced]
+    if duration > 1:
+        n = min(6, max(1, int(duration // 60) + 1))
+        wanted += [(2, round(duration / (n + 1) * i, 3), "periodic") for i in range(1, n + 1)]
+    chosen: list[tuple] = []
+    for _, at, why in sorted(wanted):
+        if at < max(duration - 0.2, 0.2) and len(chosen) < most and all(abs(at - x) >= 3 for x, _ in chosen):
+            chosen.append((at, why))
+    return sorted((round(at, 3), why) for at, why in chosen)
+
+
+def test_keyframe_plans(spark):
+    r = random.Random(8)
+    rows = [(i, d, sorted(r.uniform(0, d) for _ in range(r.randrange(12))), [r.uniform(-1, d) for _ in range(r.randrange(14))]) for i, d in enumerate([0.5, 1.0, 5.0, 30.0, 61.0, 200.0, 900.0] * 6)]
+    df = spark.createDataFrame(rows, "i int, duration double, cues array<double>, scenes array<double>")
+    for x in temporal.frame_plan(df).collect():
+        assert [(pytest.approx(p["at"]), p["reason"]) for p in x.plan] == plain_frames(x.duration, x.cues, x.scenes), rows[x.i]
+
+
+def test_small_text_functions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(text.clamp(F.lit(x), 0.0, 1.0)) for x in (-1.0, 0.4, 7.0)] == [0.0, 0.4, 1.0]
+    said = {"```json\n{\"a\": 1}\n```": '{"a": 1}', "so {x} then {\"a\": {\"b\": 2}} }": '{"a": {"b": 2}}', "none": None, "[1]": "[1]", "{\"a\": NaN}": None, "": None}
+    df = spark.createDataFrame([(k,) for k in said], "s string")
+    assert {x.s: x.j for x in df.select("s", text.loose_json("s").alias("j")).collect()} == said
+    forms = {'{"b":1.0,"a":[true,null,"\\u00e9"]}': '{"a":[true,null,"é"],"b":1}', '{"x":1e-7,"y":-0.5,"\\ud83d\\ude00":0}': '{"x":1e-07,"y":-0.5,"😀":0}', "nope": None}
+    df = spark.createDataFrame([(k,) for k in forms], "s string")
+    assert {x.s: x.j for x in df.select("s", text.canonical_json("s").alias("j")).collect()} == {**forms, '{"x":1e-7,"y":-0.5,"\\ud83d\\ude00":0}': '{"x":1e-7,"y":-0.5,"😀":0}'}
