@@ -2,12 +2,13 @@
 
 Languages are unigram models over hashed character n-grams. A document is a mixture of them; its
 proportions come from expectation-maximisation, and the set of languages from the likelihood less a
-penalty for each further language."""
+penalty for each further language: nested sets first, then languages dropped, added or exchanged while that helps."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -52,29 +53,35 @@ def mixed(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((codes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def train(labelled: DataFrame, buckets: int = 1 << 15, max_languages: int = 256, smooth: float = 0.5) -> LanguageModel:
-    """Counts n-grams over every row of ``labelled`` (text, lang) with neither null.
+def train(labelled: DataFrame, buckets: int = 1 << 15, max_languages: int = 1024, smooth: float = 0.5) -> LanguageModel:
+    """Counts n-grams over every row of ``labelled`` (text, lang) with neither null, for every label.
 
-    Each task sends one row of counts a language; the table is languages x buckets, so its size
-    is bounded: of more than ``max_languages`` labels the most frequent (then smaller name) are learned.
+    Each task sends a row of counts a language; the table is languages x buckets numbers, which the driver and each worker
+    hold (128 KB a language). More than ``max_languages`` labels are an error: no label is left out.
     An empty input gives a model without languages, which answers ``und`` for everything."""
     rows = labelled.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    names = tuple(sorted(names))
+    names = tuple(sorted(r.lang for r in rows.select("lang").distinct().limit(max_languages + 1).collect()))
+    if len(names) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: their table would not fit; raise max_languages and the workers' memory")
     at = {name: i for i, name in enumerate(names)}
 
     def count(batches):
-        total = np.zeros((len(names), buckets), np.int64)
+        total: dict[int, np.ndarray] = {}
+
+        def told():
+            for i, n in total.items():
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), i, np.int32)), pa.array(used.astype(np.int32)), pa.array(n[used])], ["lang", "bucket", "n"])
+            total.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if lang in at and (found := features(text, buckets)) is not None:
-                    total[at[lang]] += np.bincount(found, minlength=buckets)
-        for i in range(len(names)):
-            used = np.flatnonzero(total[i])
-            if len(used):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(used), i, np.int32)), pa.array(used.astype(np.int32)), pa.array(total[i][used])], ["lang", "bucket", "n"]
-                )
+                if (found := features(text, buckets)) is not None:
+                    if len(total) > 256:
+                        yield from told()
+                    n = total.setdefault(at[lang], np.zeros(0, np.int64))
+                    total[at[lang]] = np.bincount(found, minlength=buckets) if not len(n) else n + np.bincount(found, minlength=buckets)
+        yield from told()
 
     counts = map_stream(rows, count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     total = np.zeros((len(names), buckets))
@@ -99,6 +106,63 @@ def mixture(p: np.ndarray, n: np.ndarray, rounds: int = 60, tolerance: float = 1
     return weight, value
 
 
+def most_gained(p: np.ndarray, n: np.ndarray, weight: np.ndarray, chosen: list[int]) -> np.ndarray:
+    """For each language, a bound of what the log-likelihood of ``chosen`` gains at most once it joins (the likelihood is concave in
+    the proportions). For those of ``chosen``, of what EM has not reached yet."""
+    joint = p[:, chosen] @ weight
+    slope = ((n / joint) @ p) / n.sum()
+    return n.sum() * np.log(np.maximum(slope, slope[chosen].max()))
+
+
+def choose(p: np.ndarray, n: np.ndarray, best: int, alone: float, cost: float) -> tuple[list[int], np.ndarray]:
+    """The set of languages of the highest log-likelihood less ``cost`` a further language, and their proportions.
+
+    ``best`` is the likeliest single one and ``alone`` its value. Where no mixture can pay for a second one, it stays. Else nested sets
+    in the order of the proportions of all are tried, then changes of the best one till none helps: a language more or less, or one in
+    place of one or two. Sets that cannot win are left out by exact bounds."""
+    every = list(range(p.shape[1]))
+    whole, value = mixture(p, n)
+    bound = value + float(most_gained(p, n, whole, every).max())
+    chosen, weight, worth = [best], np.ones(1), alone
+    if bound - cost <= worth:
+        return chosen, weight
+
+    tried = {frozenset(chosen)}
+
+    def attempt(languages: list[int]) -> bool:
+        nonlocal chosen, weight, worth
+        key = frozenset(languages)
+        if not key or key in tried or bound - cost * (len(key) - 1) <= worth:
+            return False
+        tried.add(key)
+        w, v = mixture(p[:, languages], n)
+        if (v := v - cost * (len(languages) - 1)) <= worth + 1e-9 * abs(worth):
+            return False
+        chosen, weight, worth = languages, w, v
+        return True
+
+    order = [int(k) for k in np.argsort(-whole, kind="stable")]
+    for size in range(2, len(order) + 1):
+        attempt(order[:size])
+    better = True
+    while better:
+        better = False
+        now, reach = chosen, most_gained(p, n, weight, chosen)
+        for k in [k for k in order if k not in now and reach[k] > cost]:
+            better = attempt([*now, k]) or better
+        for j in now if len(now) > 1 else []:
+            better = attempt([k for k in now if k != j]) or better
+        for gone in [g for size in (1, 2) for g in combinations(now, size)]:
+            rest = [k for k in now if k not in gone]
+            if not rest:
+                continue
+            w, v = mixture(p[:, rest], n)
+            reach = most_gained(p, n, w, rest)
+            for k in [k for k in order if k not in now and v + reach[k] - cost * len(rest) > worth]:
+                better = attempt([*rest, k]) or better
+    return chosen, weight
+
+
 def infer(text: str | None, model: LanguageModel, penalty: float) -> tuple[str, float, dict[str, float]]:
     """(language, its proportion, all proportions)."""
     found = features(text, model.buckets) if text and model.names else None
@@ -107,23 +171,11 @@ def infer(text: str | None, model: LanguageModel, penalty: float) -> tuple[str,
     grams, n = np.unique(found, return_counts=True)
     log_p = model.log_p[:, grams].astype(np.float64)
     top = log_p.max(0)
-    alone = log_p @ n
+    alone = (log_p - top) @ n
     best = int(alone.argmax())
     if len(model.names) == 1:
         return model.names[0], 1.0, {model.names[0]: 1.0}
-    p = np.exp(log_p - top).T
-    offset, cost = float(top @ n), penalty * np.log(n.sum() + 1.0)
-    chosen, weight, value = [best], np.ones(1), float(alone[best])
-    # No mixture beats the one over all languages: where even that does not pay for a second, the best single stays.
-    whole, bound = mixture(p, n)
-    if bound + offset - value > cost:
-        order = [int(k) for k in np.argsort(-whole, kind="stable")]
-        for size in range(2, len(order) + 1):
-            if whole[order[size - 1]] < 1e-3:
-                break
-            w, v = mixture(p[:, order[:size]], n)
-            if v + offset - cost * (size - 1) > value - cost * (len(chosen) - 1):
-                chosen, weight, value = order[:size], w, v + offset
+    chosen, weight = choose(np.exp(log_p - top).T, n, best, float(alone[best]), penalty * np.log(n.sum() + 1.0))
     main = int(weight.argmax())
     return model.names[chosen[main]], float(min(1.0, weight[main])), {model.names[k]: float(w) for k, w in zip(chosen, weight, strict=True)}
 

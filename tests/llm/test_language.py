@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
+import pytest
 from cases import SCHEMA, documents, empty, rows, told
 from tallyspark.llm import language
 
@@ -47,6 +49,39 @@ def test_em_reaches_the_best_proportion_of_a_grid():
     assert value >= best - 1e-2
 
 
+def test_language_sets_are_the_best_of_all_sets(spark):
+    """Against every subset of six languages, among them near copies of one another."""
+    r = np.random.default_rng(3)
+    found = mixed = 0
+    for trial in range(60):
+        base = r.dirichlet(np.ones(80) * 0.3, 4)
+        tables = np.vstack([base, 0.9 * base[0] + 0.1 * base[1], 0.8 * base[2] + 0.2 * base[3]]) + 1e-4
+        tables /= tables.sum(1, keepdims=True)
+        share = r.dirichlet(np.ones(6) * 0.3)
+        n = r.multinomial(int(r.integers(30, 900)), share @ tables)
+        p, n = tables[:, n > 0].T, n[n > 0]
+        cost = float(r.choice([1.0, 4.0, 20.0]))
+        worth = {s: language.mixture(p[:, list(s)], n, rounds=3000)[1] - cost * (len(s) - 1) for k in range(1, 7) for s in itertools.combinations(range(6), k)}
+        alone = {k: worth[(k,)] for k in range(6)}
+        best = max(alone, key=alone.get)
+        chosen, weight = language.choose(p, n, best, alone[best], cost)
+        assert abs(weight.sum() - 1) < 1e-6
+        found += worth[tuple(sorted(chosen))] >= max(worth.values()) - 0.02
+        mixed += len(chosen) > 1
+    assert found >= 59 and mixed > 20
+
+
+def test_hundreds_of_labels_are_all_learned(spark):
+    rows_of = [(i, f"{chr(0x4E00 + i)}{chr(0x4E01 + i)} {chr(0x4E00 + i)}", f"n{i:03d}", None, None) for i in range(300)] + [(1000, "aaa", "often", None, None)] * 50
+    df = spark.createDataFrame(rows_of, SCHEMA)
+    model = language.train(df, buckets=4096)
+    assert len(model.names) == 301 and "n299" in model.names
+    told_ = {r.doc_id: r.lang_pred for r in language.identify(df.where("doc_id % 60 = 7"), model).collect()}
+    assert told_ == {i: f"n{i:03d}" for i in range(7, 300, 60)}
+    with pytest.raises(ValueError):
+        language.train(df, max_languages=300)
+
+
 def test_counts_are_those_of_all_labelled_rows(spark):
     docs = documents(spark)
     model = language.train(docs, buckets=512)
