@@ -20,7 +20,7 @@ ROLL = np.uint64(0x9E3779B97F4A7C15)
 class RepetitionRules:
     """Shares of a text's word characters (code points in words) above which a text is rejected.
 
-    ngram_limits: n words -> share inside n-grams that occur twice or more (each character once).
+    ngram_limits: n words, 3 at least -> share inside n-grams that occur twice or more (each character once).
     line_limit: share inside lines that repeat an earlier line.
     symbol_limit: symbols ``#*$%&|<>`` a word.
     min_words, repeat_percent: the base rule."""
@@ -31,6 +31,10 @@ class RepetitionRules:
     min_words: int = 50
     repeat_percent: int = 50
 
+    def __post_init__(self):
+        if any(n < 3 for n in self.ngram_limits):
+            raise ValueError("n-gram limits begin at 3 words: single words and pairs repeat in any text")
+
 
 def word_ids(words: list[bytes]) -> np.ndarray:
     seen: dict[bytes, int] = {}

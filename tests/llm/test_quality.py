@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from cases import documents, empty, prose, rows, told
 from tallyspark.llm import quality
 
@@ -54,6 +55,12 @@ def test_many_words_still_have_exact_trigram_keys(monkeypatch):
     assert quality.measure(" ".join(words).encode(), RULES)[4] == want[4] == 6000
 
 
+def test_limits_of_single_words_and_pairs_are_errors():
+    with pytest.raises(ValueError):
+        quality.RepetitionRules(ngram_limits={2: 0.1})
+    assert quality.measure(b"a b c " * 40, quality.RepetitionRules(ngram_limits={3: 0.1}, repeat_percent=100))[8] == 1.0
+
+
 def test_table(spark):
     found = quality.score_repetition(documents(spark))
     assert told(found) == told(quality.score_repetition(documents(spark, clash=True)))
