@@ -14,7 +14,8 @@ def quantise(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id long, v array<long>): floor(scale * x) of each component as double.
 
     Left out: rows without id or vector, vectors that hold a null or non-finite component, and those
-    whose squared norm passes 9.2e18 (the product of two others always fits a long). Repeated rows count once."""
+    whose squared norm passes 9.2e18 (the product of two others always fits a long). An id is one row: of repeated rows of
+    equal id and vector one counts, so no candidate is returned twice."""
     x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double"))
     kept = (
         vectors.where("vec_id is not null and embedding is not null")
@@ -25,12 +26,21 @@ def quantise(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return kept.select("vec_id", F.transform("x", lambda c: c.cast("long")).alias("v")).dropDuplicates(["vec_id", "v"])
 
 
-def postings(ids: np.ndarray, lists: list) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+def flat_vectors(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All components one after another, and each vector's length."""
+    parts = [x for x in vectors.chunks if len(x)]
+    flat = [x.flatten().to_numpy(zero_copy_only=False) for x in parts]
+    size = [np.diff(x.offsets.to_numpy()) for x in parts]
+    return (np.concatenate(flat), np.concatenate(size)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def postings(ids: np.ndarray, vectors: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Sorted ids, and for each term the places and weights of the rows that have it; zero weights are no postings."""
     order = np.argsort(ids, kind="stable")
-    lengths = np.fromiter((len(lists[i]) for i in order), np.int64, len(order))
-    flat = np.fromiter((x for i in order for x in lists[i]), np.int64, int(lengths.sum()))
-    row = np.repeat(np.arange(len(order)), lengths)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    flat, lengths = flat_vectors(vectors)
+    row = np.repeat(place, lengths)
     term = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     some = flat != 0
     flat, row, term = flat[some], row[some], term[some]
@@ -72,13 +82,14 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int =
     def tile(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if asked.num_rows and held.num_rows:
-            ids, by_term = postings(held["vec_id"].to_numpy(), held["v"].to_pylist())
+            ids, by_term = postings(held["vec_id"].to_numpy(), held["v"])
             score = np.empty(len(ids), np.int64)
-            for query, weights in zip(asked["vec_id"].to_pylist(), asked["v"].to_pylist(), strict=True):
+            flat, lengths = flat_vectors(asked["v"])
+            for query, weights in zip(asked["vec_id"].to_pylist(), np.split(flat, np.cumsum(lengths)[:-1]), strict=True):
                 score[:] = 0
-                for term, weight in enumerate(weights):
-                    if weight and term in by_term:
-                        places, values = by_term[term]
+                for term in np.flatnonzero(weights).tolist():
+                    if term in by_term:
+                        (places, values), weight = by_term[term], weights[term]
                         if len(places) == len(score):
                             score += weight * values
                         else:
