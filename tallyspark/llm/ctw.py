@@ -12,26 +12,35 @@ from math import log, log10, pi
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import map_stream, materialise
 
-#: The end of a text: coded as this byte, after as many of them as context before the text.
-END = b"\0"
+#: The end of a text: coded as this byte, which no UTF-8 text holds; as many of them are the context before a text.
+END = b"\xff"
 CHUNK = 1 << 20
+#: Bytes of a word that is its own key; longer ones have 128-bit hashes as keys.
+LONG_WORD = 64
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what is broadcast: the most frequent words (of at most ``word_bytes``) and grams. The rest is joined."""
+    """Bounds of what is broadcast: the most frequent words and grams. The rest is joined."""
 
     words: int = 1 << 19
-    word_bytes: int = 64
     grams: int = 1 << 21
 
 
+def word_keys(text: bytes) -> list[bytes]:
+    """A key of bounded size for each word of a text and its end (the empty word); no word begins with a blank."""
+    words = text.lower().split()
+    words.append(b"")
+    return [w if len(w) <= LONG_WORD else b" " + xxhash.xxh3_128_digest(w) for w in words]
+
+
 def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The gram (context bytes, then the byte) of each coded byte of each text and its end; where each text begins."""
     pad = END * depth
@@ -95,8 +104,7 @@ def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
                         parts.append((gram[first], np.diff(np.concatenate((first, [len(gram)]))) * int(train)))
                     if train:
                         for t in texts:
-                            words.update(t.lower().split())
-                        words[b""] += len(texts)
+                            words.update(word_keys(t))
                 if sum(len(k) for k, _ in parts) > 2_000_000:
                     parts = [tallied(parts)]
                     if len(parts[0][0]) > 1_500_000:
@@ -164,7 +172,7 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
 
 
 class GramTable:
-    """An open-addressing table of 40-bit keys in arrays."""
+    """An open-addressing table of keys from 0 in arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
@@ -234,8 +242,7 @@ def score_rows(docs: DataFrame, hot_words: dict[bytes, float], hot_grams: tuple[
                 lost = np.sort(lost)
                 out[7] += [gram[x].tolist() for x in np.split(lost, np.searchsorted(lost, first[1:]))]
                 for text, in group:
-                    words = text.lower().split()
-                    words.append(b"")
+                    words = word_keys(text)
                     found = [get(w) for w in words]
                     cold = [w for w, v in zip(words, found, strict=True) if v is None] if None in found else []
                     out[0].append(serial)
@@ -259,7 +266,10 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 4, limits: Limits =
     score: log10 of the trees' probability of the text's bytes and its end; bits_per_byte: its code length over bytes and end.
 
     Counts cover all training texts. The most frequent words and grams, up to ``limits``, are broadcast; tokens
-    and grams that are not among them are joined with the counts, so nothing is left out at any size."""
+    and grams that are not among them are joined with the counts, so nothing is left out at any size. A word that very many
+    rows hold is among the first, however long it is."""
+    if not 1 <= depth <= 6:
+        raise ValueError("depth is 1 to 6: a context and its byte are one number")
     spark = docs.sparkSession
     text = F.col("text").cast("binary").alias("text")
     counts = materialise(count_corpus(docs.select(text, F.coalesce(train, F.lit(False)).alias("train")), depth), "counts")
@@ -267,7 +277,7 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 4, limits: Limits =
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     scale = total["n"] + 0.5 * (total["v"] + 1)
     value_of = lambda n: F.log10((n + 0.5) / F.lit(scale))
-    hot = most_frequent(words.where(F.length("word") <= limits.word_bytes), limits.words).select("word", value_of(F.col("n")).alias("value")).toArrow()
+    hot = most_frequent(words, limits.words).select("word", value_of(F.col("n")).alias("value")).toArrow()
     hot_words = dict(zip(map(bytes, hot["word"].to_pylist()), hot["value"].to_pylist(), strict=True))
     grams = materialise(gram_scores(counts.where("gram is not null").select("gram", "n"), depth), "grams")
     hot = most_frequent(grams, limits.grams).select("gram", "value").toArrow()

@@ -17,7 +17,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def coded(text: str | None, depth: int):
     """(context, byte) of each coded byte and the end."""
-    raw = b"\0" * depth + (text or "").encode() + b"\0"
+    raw = b"\xff" * depth + (text or "").encode() + b"\xff"
     return [(raw[i - depth : i], raw[i]) for i in range(depth, len(raw))]
 
 
@@ -74,7 +74,7 @@ def lower(text: str | None) -> str:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-@pytest.mark.parametrize("limits", [ctw.Limits(), ctw.Limits(words=3, grams=20), ctw.Limits(words=0, word_bytes=0, grams=0)])
+@pytest.mark.parametrize("limits", [ctw.Limits(), ctw.Limits(words=3, grams=20), ctw.Limits(words=0, grams=0)])
 def test_scores_are_those_of_the_trees(spark, limits):
     docs = [(i, t, None, None, None) for i, t in enumerate([None, "", "abab abab", "abba é Abab", "the cat sat on the mat", "zzz", prose(1, 30, 8), prose(2, 30, 8), "the THE mat"])]
     learnt = {0, 2, 4, 6}
@@ -91,6 +91,15 @@ def test_scores_are_those_of_the_trees(spark, limits):
         assert r.bits_per_byte == pytest.approx(-r.score / log10(2) / (len((docs[r.doc_id][1] or "").encode()) + 1), rel=1e-9)
 
 
+@pytest.mark.parametrize("depth", [1, 6])
+def test_other_depths_and_texts_with_zero_bytes(spark, depth):
+    docs = [(i, t, None, None, None) for i, t in enumerate(["ab\0ab", "\0\0", "abab" * 5 + "\0", "x" * 200 + " ab", "ab " + "x" * 200])]
+    trees = Trees([docs[i][1] for i in (0, 2, 3)], depth)
+    for r in ctw.score_texts(spark.createDataFrame(docs, SCHEMA), F.col("doc_id").isin(0, 2, 3), depth=depth).collect():
+        assert r.score == pytest.approx(trees.score(docs[r.doc_id][1]), rel=1e-6)
+        assert r.n_known == (1 if r.doc_id == 1 else r.n_tokens - (r.doc_id == 0) * 0)
+
+
 def test_learnt_prose_costs_fewer_bits(spark):
     docs = spark.createDataFrame([(i, prose(i, 200, 60), None, None, None) for i in range(20)] + [(100, "qzj xvk " * 50, None, None, None)], SCHEMA)
     found = {r.doc_id: r.bits_per_byte for r in ctw.score_texts(docs, F.col("doc_id") < 15).collect()}
