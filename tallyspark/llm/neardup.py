@@ -151,16 +151,20 @@ def places(found: DataFrame, grouped: DataFrame, b: Banding, docs_a_chunk: int =
     own = own.join(grouped, "node").where("doc_id is not null")
     own = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(b.percent / 100)) + 1e-9).cast("int"))
     own = materialise(own, "clustered")
-    size = own.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
+    per_band = own.groupBy("root", "band").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
+    cuts = F.greatest(F.ceil(F.col("docs") / docs_a_chunk), F.ceil(F.col("total") / shingles_a_chunk)).cast("int")
+    # Bands are some hundred a cluster at most: a factor of 0.8 apart.
+    size = per_band.groupBy("root").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", cuts))).alias("cuts"))
+    size = materialise(size, "cluster-sizes")
     small = (F.col("docs") <= docs_a_chunk) & (F.col("total") <= shingles_a_chunk)
-    bins = max(1, (size.where(small).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]) // (shingles_a_chunk // 2))
+    sums = size.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.when(small, F.col("total"))), F.lit(0)).alias("small")).first()
+    bins = max(1, sums["small"] // (shingles_a_chunk // 2))
     bin_ = F.struct(F.xxhash64(F.lit("bin"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("group"), F.lit(0).alias("side"))
-    few = own.join(size.where(small).select("root"), "root").select("doc_id", "node", F.array(bin_).alias("slots"))
-    large = own.join(size.where(~small).select("root"), "root")
-    cuts = large.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / docs_a_chunk), F.ceil(F.sum("n") / shingles_a_chunk)).cast("int").alias("cuts"))
+    own = join_spread(own, size, "root", "docs", sums["docs"])
+    few = own.where(small).select("doc_id", "node", F.array(bin_).alias("slots"))
+    large = own.where(~small)
     for step in (-1, 0, 1):
-        near = cuts.select("root", (F.col("band") - step).alias("band"), F.col("cuts").alias(f"cuts{step + 1}"))
-        large = large.join(near, ["root", "band"], "left")
+        large = large.withColumn(f"cuts{step + 1}", F.try_element_at("cuts", F.col("band") + step))
     large = large.withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts1")).cast("int"))
 
     def group(band, cut, other_band, other_cut):
@@ -256,13 +260,15 @@ def near_duplicates(docs: DataFrame, b: Banding = Banding()) -> DataFrame:
     found = materialise(signatures(docs, b), "signatures")
     grouped = clusters(found, b)
     roots = components(links(docs, places(found, grouped, b), b))
-    names = found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    names = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = names.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = names.join(least, "root").select("node", "component_id")
-    out = found.select("doc_id", "n_shingles", "node").join(names, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    names = found.where(named).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    names = materialise(names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "names")
+    least = names.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    names = join_spread(names, least, "root", "nodes", names.count()).select("node", "component_id", "copies")
+    out = join_spread(found.where(named).select("doc_id", "n_shingles", "node"), names, "node", "copies", found.count())
+    alone = found.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, b: Banding = Banding()) -> DataFrame:
