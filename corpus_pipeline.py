@@ -30,9 +30,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in the packed sequences."""
+    """Token pieces with their places in the packed sequences; copy tells the rows apart that the mix made of one document."""
     pieces = packing.token_pieces(docs)
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.number_copies(packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
 
 STAGES = [
