@@ -128,7 +128,7 @@ ZH_SUBJECT = r"(?:学生|学员|同学|孩子|儿童|班级|全班|大家)"
 ZH_OUTCOME = r"(?:听懂|理解|明白|掌握|熟悉|学会|会做|作答|答对|做对|解出|解答|算出|独立完成|正确完成|顺利完成|不再犯错|进步|提高|提升|改善|下降|正确率|错误率|成绩|学习效果|学习增益|教学效果|(?:均|都|已经|已|现在|目前)*\s*(?:能|会|能够|可以)(?:\s*(?:了|独立|正确|顺利|完成|解出|解答|做对|答对))*)"
 ZH_PREFIX = r"(?:引导|指导|帮助|协助|使|让|鼓励|支持|训练|要求|提示|请|询问|安排|邀请|以便|为了|旨在|希望|期望|预期|若|如果|假如)\s*$"
 ZH_MODAL = r"(?:将|应该|应当|可能|或许|预计|预期|需要|需|尝试|练习)"
-ZH_NAMED = r"(?:^|[，。；：,:;\s])(?!(?:老师|教师|教员))[㐀-䶿一-鿿]{2,4}(?:已经|已|正在|独立|正确|顺利)*\s*(?:作答|答对|做对)"
+ZH_NAMED = r"(?:^|[，。；：,:;\s])(?!(?:老师|教师|教员))[⺀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-龎𠀀-𲎯]{2,4}(?:已经|已|正在|独立|正确|顺利)*\s*(?:作答|答对|做对)"
 ZH_CLAUSE = r"(?:[，,；;。.!?！？]|但是|然而|随后|后来|最后|最终|但|却)"
 EN_SUBJECT = r"\b(?:students?|learners?|pupils?|the\s+class|class)\b"
 EN_OUTCOME = r"\b(?:understand|understood|master(?:ed|y)?|learned|familiar|improv\w*|performed\s+better|solv(?:e|es|ed|ing)|can\s+(?:now\s+)?solve|(?:is|are|was|were)\s+able\s+to|complet(?:e|es|ed|ing)|answer(?:ed)?\s+correctly|responded\s+correctly|got\s+(?:it|the\s+(?:answer|problem))\s+right|fewer\s+errors|reduced\s+errors|accuracy|scores?|learning\s+(?:outcome|gain)|teaching\s+effect)\b"
@@ -174,6 +174,12 @@ def fabricated_outcome(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: None if t is None else asserts_outcome(t)).astype("object")
 
 
+def outcome_flags(rows: DataFrame, text: str, flag: str) -> DataFrame:
+    """``rows`` with ``fabricated_outcome`` of a text as ``flag``. Only texts that name a subject, or an answer given, are looked at in Python."""
+    may = F.col(text).rlike(f"(?iu){ZH_SUBJECT}|{EN_SUBJECT}|作答|答对|做对")
+    return rows.where(may).withColumn(flag, fabricated_outcome(text)).unionByName(rows.where(F.coalesce(~may, F.lit(True))).withColumn(flag, F.when(F.col(text).isNotNull(), F.lit(False))))
+
+
 def support(rows: DataFrame, lesson: str, order: str, text: str, patterns: dict[str, str], a_lesson: int = 3, least: int = 2) -> DataFrame:
     """(key, support, hits, confidence) of patterns: at most ``a_lesson`` first hits a lesson; kept with ``least`` lessons or more."""
     found = F.explode(F.filter(F.array(*(F.when(F.col(text).rlike(p), F.lit(k)) for k, p in patterns.items())), lambda k: k.isNotNull())).alias("key")

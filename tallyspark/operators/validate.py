@@ -26,6 +26,7 @@ CHILDREN = {
     "transitions": ("transition", "transition_id"),
     "learner_observations": ("learner_observation", "observation_id"),
 }
+# Claims with their subjects, roles and moves.
 CLAIMS = {
     "trigger": ("content", "teacher", "learner_hypothesis", "unknown"),
     "teaching_action": ("teacher", "unknown"),

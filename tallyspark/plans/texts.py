@@ -59,7 +59,7 @@ def outcome_guard(spark: SparkSession, d: str) -> DataFrame:
     """All turns, and one sentence of each kind that the guard tells apart."""
     cases = spark.sql("SELECT conv_id, 0L AS turn, text FROM VALUES (-1L, 'Students solved the problem.'), (-2L, 'Ask the students to solve it.'), (-3L, '学生已经掌握了方法'), (-4L, '引导学生理解图像'), (-5L, 'The class may improve later.') AS v(conv_id, text)")
     rows = load(spark, d, "conversations").select("conv_id", "turn", "text").unionByName(cases)
-    return rows.select("conv_id", "turn", retrieval.fabricated_outcome("text").alias("asserted"))
+    return retrieval.outcome_flags(rows, "text", "asserted").select("conv_id", "turn", "asserted")
 
 
 def support_counts(spark: SparkSession, d: str) -> DataFrame:

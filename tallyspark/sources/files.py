@@ -147,18 +147,20 @@ def inspect_image(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def publish(df: DataFrame, path: str, content: str) -> DataFrame:
-    """Writes rows below ``sha=<hex of content>``, once: an address that is there already must hold the same text, and is left as it is.
+    """Writes rows with ``sha``, the hex of ``content``'s hash, once: an address that is there already must hold the same text, and is left as it is.
 
-    Returns (sha, code) of addresses whose text differs; nothing is written for those."""
+    Returns (sha, code) of addresses whose text differs; nothing is written for those. The store has a folder for each of the 256 first
+    bytes of a hash, and only those that the new rows fall into are read."""
     spark = df.sparkSession
-    rows = df.withColumn("sha", F.sha2(F.col(content).cast("binary"), 256)).dropDuplicates(["sha"])
+    rows = df.withColumn("sha", F.sha2(F.col(content).cast("binary"), 256)).withColumn("bucket", F.concat(F.lit("b"), F.left("sha", F.lit(2)))).dropDuplicates(["sha"])
+    buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # 256 at most
     try:
-        there = spark.read.parquet(path).select("sha", F.col(content).alias("stored"))
+        there = spark.read.parquet(path).where(F.col("bucket").isin(buckets)).select("sha", F.col(content).alias("stored"))
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         there = spark.createDataFrame([], "sha string, stored string")
-    rows.join(there, "sha", "left_anti").write.partitionBy("sha").mode("append").parquet(path)
+    rows.join(there, "sha", "left_anti").write.partitionBy("bucket").mode("append").parquet(path)
     return rows.join(there, "sha").where(~F.col(content).eqNullSafe(F.col("stored"))).select("sha", F.lit("content").alias("code"))
 
 

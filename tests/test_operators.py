@@ -198,3 +198,16 @@ def test_small_text_functions(spark):
     forms = {'{"b":1.0,"a":[true,null,"\\u00e9"]}': '{"a":[true,null,"é"],"b":1}', '{"x":1e-7,"y":-0.5,"\\ud83d\\ude00":0}': '{"x":1e-07,"y":-0.5,"😀":0}', "nope": None}
     df = spark.createDataFrame([(k,) for k in forms], "s string")
     assert {x.s: x.j for x in df.select("s", text.canonical_json("s").alias("j")).collect()} == {**forms, '{"x":1e-7,"y":-0.5,"\\ud83d\\ude00":0}': '{"x":1e-7,"y":-0.5,"😀":0}'}
+
+
+def test_outcomes_of_learners(spark):
+    said = {
+        "Students solved the problem.": True, "The class understood it at once": True, "Learners can now solve it": True, "Pupils responded correctly": True,
+        "Ask the students to solve it.": False, "If students understand, go on": False, "Help learners improve": False, "Students should reach better accuracy": False, "Students should practice; accuracy rises": True,
+        "The class may improve later.": False, "Ask the students to try; then they answered correctly": True, "The board is complete": False, "": False,
+        "学生已经掌握了方法": True, "大家都听懂了": True, "引导学生理解图像": False, "如果学生理解": False, "学生将理解": False, "老师答对了": False, "小明答对了": True, "𠀀𠀁做对了": True, "板书完成": False,
+    }
+    df = spark.createDataFrame([(k,) for k in said] + [(None,)], "s string")
+    got = {x.s: x.flag for x in retrieval.outcome_flags(df, "s", "flag").collect()}
+    assert got == {**said, None: None}
+    assert got == {x.s: x.flag for x in df.select("s", retrieval.fabricated_outcome("s").alias("flag")).collect()}
