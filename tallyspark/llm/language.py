@@ -92,18 +92,22 @@ def train(labelled: DataFrame, buckets: int = 1 << 15, max_languages: int = 1024
     return LanguageModel(names, np.log(total / total.sum(1, keepdims=True)).astype(np.float32), buckets)
 
 
-def mixture(p: np.ndarray, n: np.ndarray, rounds: int = 60, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
-    """EM for one document: p is features x languages, n the features' counts; proportions and log-likelihood."""
+def mixture(p: np.ndarray, n: np.ndarray, rounds: int = 60, tolerance: float = 1e-4, enough: float = -np.inf) -> tuple[np.ndarray, float, float]:
+    """EM for one document: p is features x languages, n the features' counts; proportions, log-likelihood, and a bound of the highest one.
+
+    The likelihood is concave in the proportions, so each round's slopes bound what any proportions reach; once that is no more than ``enough``, it ends."""
     weight = np.full(p.shape[1], 1.0 / p.shape[1])
-    total, last = n.sum(), -np.inf
+    total, last, bound = n.sum(), -np.inf, np.inf
     for _ in range(rounds):
         joint = p @ weight
         value = float(n @ np.log(joint))
-        if value - last < tolerance * max(1.0, abs(value)) * 1e-3:
+        slope = ((n / joint) @ p) / total
+        bound = min(bound, value + float(total * np.log(slope.max())))
+        if bound <= enough or value - last < tolerance * max(1.0, abs(value)) * 1e-3:
             break
         last = value
-        weight = weight * ((n / joint) @ p) / total
-    return weight, value
+        weight = weight * slope
+    return weight, value, bound
 
 
 def most_gained(p: np.ndarray, n: np.ndarray, weight: np.ndarray, chosen: list[int]) -> np.ndarray:
@@ -120,11 +124,9 @@ def choose(p: np.ndarray, n: np.ndarray, best: int, alone: float, cost: float) -
     ``best`` is the likeliest single one and ``alone`` its value. Where no mixture can pay for a second one, it stays. Else nested sets
     in the order of the proportions of all are tried, then changes of the best one till none helps: a language more or less, or one in
     place of one or two. Sets that cannot win are left out by exact bounds."""
-    every = list(range(p.shape[1]))
-    whole, value = mixture(p, n)
-    bound = value + float(most_gained(p, n, whole, every).max())
     chosen, weight, worth = [best], np.ones(1), alone
-    if bound - cost <= worth:
+    whole, _, bound = mixture(p, n, enough=alone + cost)
+    if bound <= alone + cost:
         return chosen, weight
 
     tried = {frozenset(chosen)}
@@ -135,7 +137,7 @@ def choose(p: np.ndarray, n: np.ndarray, best: int, alone: float, cost: float) -
         if not key or key in tried or bound - cost * (len(key) - 1) <= worth:
             return False
         tried.add(key)
-        w, v = mixture(p[:, languages], n)
+        w, v, _ = mixture(p[:, languages], n, enough=worth + cost * (len(languages) - 1))
         if (v := v - cost * (len(languages) - 1)) <= worth + 1e-9 * abs(worth):
             return False
         chosen, weight, worth = languages, w, v
@@ -156,7 +158,7 @@ def choose(p: np.ndarray, n: np.ndarray, best: int, alone: float, cost: float) -
             rest = [k for k in now if k not in gone]
             if not rest:
                 continue
-            w, v = mixture(p[:, rest], n)
+            w, v, _ = mixture(p[:, rest], n)
             reach = most_gained(p, n, w, rest)
             for k in [k for k in order if k not in now and v + reach[k] - cost * len(rest) > worth]:
                 better = attempt([*rest, k]) or better

@@ -43,10 +43,11 @@ def test_em_reaches_the_best_proportion_of_a_grid():
     r = np.random.default_rng(1)
     p = r.random((40, 2))
     n = r.integers(1, 9, 40)
-    weight, value = language.mixture(p, n)
+    weight, value, bound = language.mixture(p, n)
     grid = np.linspace(0, 1, 2001)
     best = max(float(n @ np.log(p @ np.array([g, 1 - g]))) for g in grid)
-    assert value >= best - 1e-2
+    assert value >= best - 1e-2 and bound >= best - 1e-9 and bound - value < 0.5
+    assert language.mixture(p, n, enough=best + 5.0)[2] >= best - 1e-9
 
 
 def test_language_sets_are_the_best_of_all_sets(spark):
