@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import derivations, feeds, ledgers, reviews, scores, texts, times
+from tallyspark.plans import bundles, derivations, feeds, ledgers, reviews, scores, texts, times
 
 FLAGSHIP = "macro_mean_nested"
-MODULES = (scores, times, ledgers, texts, feeds, derivations, reviews)
+MODULES = (scores, times, ledgers, texts, feeds, derivations, reviews, bundles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
