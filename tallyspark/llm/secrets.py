@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -77,35 +77,40 @@ def file_features(codes: np.ndarray, plain: np.ndarray, keyed: bool) -> tuple[st
 class Field:
     """weights: (role, feature) -> scores of O, B and I; role is one of ROLES or file. step: transition scores.
 
-    Features without weights are dropped, so tokens fall into classes whose number depends on the trained features alone."""
+    What a token adds to each role is remembered while tokens are few; features without weights add nothing."""
 
     weights: dict[tuple[str, str], np.ndarray]
     step: np.ndarray
-    cache: dict[str, int] = field(default_factory=dict)
-    classes: dict[tuple[str, ...], int] = field(default_factory=dict)
+    most: int = 200_000
 
     def __post_init__(self):
-        self.known = {f for _, f in self.weights} | {"word"}
+        self.of_feature: dict[str, np.ndarray] = {}
+        for (role, f), w in self.weights.items():
+            if role != "file":
+                self.of_feature.setdefault(f, np.zeros((len(ROLES), 3)))[list(ROLES).index(role)] = w
+        self.forget()
+
+    def forget(self) -> None:
+        self.cache: dict[str, int] = {}
         self.table, self.plain, self.keyed = np.zeros((1024, len(ROLES), 3)), np.zeros(1024, bool), np.zeros(1024, bool)
 
     def __reduce__(self):
         return Field, (self.weights, self.step)
 
     def code(self, token: str) -> int:
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        found = tuple(f for f in token_features(token) if f in self.known or f.startswith("key="))
-        if (c := self.classes.get(found)) is None:
-            c = self.classes[found] = len(self.classes)
-            if c == len(self.table):
-                self.table, self.plain, self.keyed = (np.concatenate((x, np.zeros_like(x))) for x in (self.table, self.plain, self.keyed))
-            for i, role in enumerate(ROLES):
-                self.table[c, i] = sum((w for f in found if (w := self.weights.get((role, f))) is not None), np.zeros(3))
-            self.plain[c], self.keyed[c] = found[:1] == ("word",), any(f.startswith("key=") for f in found)
-        self.cache[token] = c
+        c = self.cache[token] = len(self.cache)
+        if c == len(self.table):
+            self.table, self.plain, self.keyed = (np.concatenate((x, np.zeros_like(x))) for x in (self.table, self.plain, self.keyed))
+        found = token_features(token)
+        for f in found:
+            if (w := self.of_feature.get(f)) is not None:
+                self.table[c] += w
+        self.plain[c], self.keyed[c] = found[0] == "word", found[0] == "word" and len(found) > 1 and found[1].startswith("key=")
         return c
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
+        if len(self.cache) > self.most:
+            self.forget()
         get = self.cache.get
         codes = np.fromiter((c if (c := get(t)) is not None else self.code(t) for t in tokens), np.int64, len(tokens))
         out = self.table[codes, 0]
