@@ -46,12 +46,12 @@ def feed_issues(events: DataFrame, key: str = "run_id", order: str = "seq") -> D
     return rows.select(key, order, F.explode(codes).alias("code"))
 
 
-def transition_stream(events: DataFrame, allowed: Mapping[str, Sequence[str]], state: str = "status", idle_hours: int = 7 * 24) -> DataFrame:
+def transition_stream(events: DataFrame, allowed: Mapping[str, Sequence[str]], state: str = "status", idle_hours: int | None = None) -> DataFrame:
     """(run_id, seq, code) as a stream: gap, repeated or transition, each run's last number and state kept between batches.
 
     Within a batch events go by number; one that comes after a later number's batch is ``repeated``
-    if its number is not above the last. State is one number and one name a run, and goes once a run has been silent for
-    ``idle_hours``: what comes then begins anew."""
+    if its number is not above the last. State is one number and one name a run. A stream that never ends takes ``idle_hours``: the state
+    of a run that has been silent for so long goes, and what comes then begins anew. (With it, a query over what is available now waits for timeouts and does not end.)"""
     follow = {k: frozenset(v) for k, v in allowed.items()}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,8 +71,9 @@ def transition_stream(events: DataFrame, allowed: Mapping[str, Sequence[str]], s
                 issues.append((key[0], seq, "transition"))
             last, now = seq, name
         held.update((last, now))
-        held.setTimeoutDuration(idle_hours * 3_600_000)
+        if idle_hours:
+            held.setTimeoutDuration(idle_hours * 3_600_000)
         yield pd.DataFrame(issues, columns=["run_id", "seq", "code"])
 
     rows = events.select("run_id", "seq", F.col(state)).where(F.col("seq").isNotNull())
-    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, seq long, code string", "seq long, state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, seq long, code string", "seq long, state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_hours else GroupStateTimeout.NoTimeout)
