@@ -44,7 +44,7 @@ def postings(ids: np.ndarray, vectors: pa.ChunkedArray) -> tuple[np.ndarray, dic
     term = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     some = flat != 0
     flat, row, term = flat[some], row[some], term[some]
-    by_term = np.argsort(term, kind="stable")
+    by_term = np.lexsort((row, term))  # a term's places in order: one that every row has is added as a whole
     flat, row, term = flat[by_term], row[by_term], term[by_term]
     cut = np.flatnonzero(np.diff(term)) + 1
     starts = np.concatenate(([0], cut)) if len(term) else np.zeros(0, np.int64)

@@ -41,6 +41,15 @@ def test_search_is_exact_in_any_blocks(spark, block, query_block):
     assert sorted(map(tuple, found.collect())) == plain(rows)
 
 
+def test_dense_vectors_in_any_order(spark):
+    """Terms that every row has, rows dealt in no order."""
+    r = random.Random(12)
+    rows = [(i, [r.random() + 0.1 for _ in range(8)], 0) for i in range(300)]
+    r.shuffle(rows)
+    vectors = topk.quantise(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert sorted(map(tuple, topk.search(vectors.where("vec_id % 100 = 0"), vectors, block=64).collect())) == plain(rows)
+
+
 def test_repeated_rows_count_once_and_few_candidates_are_all_returned(spark):
     rows = [(i, [float(i % 3), 1.0], 0) for i in (0, 100, 3, 4)]
     vectors = topk.quantise(spark.createDataFrame(rows + rows, SCHEMA).selectExpr("*", "1 AS score", "2 AS v"))
