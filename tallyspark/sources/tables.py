@@ -12,9 +12,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet below ``spark.checkpoint.dir`` (or else the warehouse) and reads it again, without its lineage."""
+    """Writes ``df`` as Parquet below ``spark.checkpoint.dir`` and reads it again, without its lineage.
+
+    Where that is unset, a local session writes below its warehouse; on a cluster it is an error: executors could not share the folder."""
     spark = df.sparkSession
-    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
