@@ -239,60 +239,98 @@ def windows(labelled: DataFrame, documents: int = 20_000, keep: int = 2_000, rea
 
 @dataclass
 class Sequences:
-    """Tagged windows, their tokens one after another. at, feature: which token has which feature; tag: of each token;
-    groups: windows of about one length as rows of token numbers, filled up with ``len(tag)``."""
+    """Tagged windows, their tokens one after another. names: (role, feature) of each weight, the features of ROLES in turn, then those of
+    files. of: the number of each token's text; text, feature: which text has which feature; window, tag: of each token; files: which
+    window has which file feature; groups: windows of about one length as rows of token numbers, filled up with ``len(tag)``."""
 
     names: list[tuple[str, str]]
-    at: np.ndarray
+    n_features: int
+    of: np.ndarray
+    text: np.ndarray
     feature: np.ndarray
+    window: np.ndarray
     tag: np.ndarray
+    files: tuple[np.ndarray, np.ndarray]
     groups: list[np.ndarray]
     n: int
 
+    def near(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that have one at distance ``d`` in their window, and those."""
+        at = np.arange(max(0, -d), len(self.tag) - max(0, d))
+        at = at[self.window[at] == self.window[at + d]]
+        return at, at + d
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """Scores of O, B and I of each token, and a row of zeros."""
+        n, texts = len(self.tag), int(self.of.max()) + 1
+        out = np.zeros((n + 1, 3))
+        for r, d in enumerate(ROLES.values()):
+            own = w[r * self.n_features : (r + 1) * self.n_features]
+            of_text = np.stack([np.bincount(self.text, own[self.feature, c], texts) for c in range(3)], 1)
+            at, other = self.near(d)
+            out[at] += of_text[self.of[other]]
+        file = w[len(ROLES) * self.n_features :]
+        of_window = np.stack([np.bincount(self.files[0], file[self.files[1], c], self.n) for c in range(3)], 1)
+        out[:n] += of_window[self.window]
+        return out
+
+    def gradient(self, d_e: np.ndarray) -> np.ndarray:
+        """The gradient by the weights of one by the scores."""
+        n, texts = len(self.tag), int(self.of.max()) + 1
+        out = np.zeros((len(self.names), 3))
+        for r, d in enumerate(ROLES.values()):
+            at, other = self.near(d)
+            for c in range(3):
+                of_text = np.bincount(self.of[other], d_e[at, c], texts)
+                out[r * self.n_features : (r + 1) * self.n_features, c] = np.bincount(self.feature, of_text[self.text], self.n_features)
+        for c in range(3):
+            of_window = np.bincount(self.window, d_e[:n, c], self.n)
+            out[len(ROLES) * self.n_features :, c] = np.bincount(self.files[1], of_window[self.files[0]], len(self.names) - len(ROLES) * self.n_features)
+        return out
+
 
 def sequences(texts: list[str], seldom: int) -> Sequences:
-    data = []
-    often: dict[str, int] = {}
-    for text in texts:
-        values = [(s[3], s[4]) for s in base_spans(text)]
-        tokens = [(m.group(), *m.span()) for m in TOKEN.finditer(text)]
-        tags, last = [], None
-        for _, a, b in tokens:
-            inside = next((v for v in values if a < v[1] and b > v[0]), None)
-            tags.append(O if inside is None else I if inside == last else B)
+    numbers: dict[str, int] = {}
+    kinds: list[tuple[str, ...]] = []
+    of, window, tag, by_size, file_of, often = [], [], [], {}, [], {}
+    for body in texts:
+        values = [(s[3], s[4]) for s in base_spans(body)]
+        first, last, seen = len(tag), None, set()
+        for m in TOKEN.finditer(body):
+            inside = next((v for v in values if m.start() < v[1] and m.end() > v[0]), None)
+            tag.append(O if inside is None else I if inside == last else B)
             last = inside
-        if tokens:
-            kinds = [token_features(t[0]) for t in tokens]
-            data.append((kinds, tags))
-            for f in {f for k in kinds for f in k}:
+            if (i := numbers.setdefault(m.group(), len(numbers))) == len(kinds):
+                kinds.append(token_features(m.group()))
+            of.append(i)
+            window.append(len(file_of))
+            seen.update(kinds[i])
+        if size := len(tag) - first:
+            by_size.setdefault(max(16, 1 << (size - 1).bit_length()), []).append(range(first, len(tag)))
+            plain = np.array([kinds[i][0] == "word" for i in of[first:]])
+            file_of.append(file_features(plain, plain, any(f.startswith("key=") for f in seen)))
+            for f in seen:
                 often[f] = often.get(f, 0) + 1
-    names: dict[tuple[str, str], int] = {}
-    at, feature, tag, by_size = [], [], [], {}
-    for kinds, tags in data:
-        first = len(tag)
-        by_size.setdefault(max(16, 1 << (len(tags) - 1).bit_length()), []).append(range(first, first + len(tags)))
-        plain = np.array([k[0] == "word" for k in kinds])
-        whole = file_features(plain, plain, any(f.startswith("key=") for k in kinds for f in k))
-        kept = [[f for f in k if f[:2] not in ("w=", "p=", "s=") or often[f] >= seldom] for k in kinds]
-        for j in range(len(kept)):
-            near = [("file", f) for f in whole] + [(role, f) for role, d in ROLES.items() if 0 <= j + d < len(kept) for f in kept[j + d]]
-            for x in near:
-                at.append(first + j)
-                feature.append(names.setdefault(x, len(names)))
-        tag += tags
+    features = {f: i for i, f in enumerate(f for f in often if f[:2] not in ("w=", "p=", "s=") or often[f] >= seldom)}
+    pairs = [(i, features[f]) for i, kind in enumerate(kinds) for f in kind if f in features]
+    files = {f: i for i, f in enumerate(sorted({f for x in file_of for f in x}))}
+    file_pairs = [(i, files[f]) for i, x in enumerate(file_of) for f in x]
     groups = []
     for rows in by_size.values():
         group = np.full((len(rows), max(map(len, rows))), len(tag))
         for i, row in enumerate(rows):
             group[i, : len(row)] = row
         groups.append(group)
-    return Sequences(list(names), np.array(at, np.int64), np.array(feature, np.int64), np.array(tag, np.int64), groups, len(data))
+    array = lambda x: np.array(x, np.int64)
+    columns = lambda x: tuple(array(x).reshape(-1, 2).T)
+    names = [(role, f) for role in ROLES for f in features] + [("file", f) for f in files]
+    return Sequences(names, len(features), array(of), *columns(pairs), array(window), array(tag), columns(file_pairs), groups, len(file_of))
 
 
 def likelihood(s: Sequences, w: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood of the tags, and its gradients by ``w`` and ``step``, from forward and backward sums; a window follows an outside token."""
     n = len(s.tag)
-    e = np.stack([np.bincount(s.at, w[s.feature, c], n + 1) for c in range(3)], 1)
+    e = s.scores(w)
     gold = np.zeros((n + 1, 3))
     gold[np.arange(n), s.tag] = 1.0
     value, d_e, d_step, p_step = float((e * gold).sum()), gold, np.zeros((3, 3)), np.exp(step)
@@ -318,8 +356,7 @@ def likelihood(s: Sequences, w: np.ndarray, step: np.ndarray) -> tuple[float, np
         d_step += seen - x.sum((0, 1))
         d_step[O] -= g[:, 0].sum(0)
         d_e[group[real]] -= g[real]
-    d_w = np.stack([np.bincount(s.feature, d_e[s.at, c], len(s.names)) for c in range(3)], 1)
-    return value, d_w, d_step
+    return value, s.gradient(d_e), d_step
 
 
 def fit(texts: list[str], rounds: int = 120, rate: float = 0.15, ridge: float = 2e-4, seldom: int = 3) -> Field | None:
