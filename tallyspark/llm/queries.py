@@ -77,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repetition_coverage": OP2, "op4_exact_topk": OP4, "op5_chat_parts": OP5, "op10_tensored_minhash": OP10}
+    return {"op2_repetition_coverage": OP2, "op4_exact_topk": OP4, "op5_chat_parts": OP5, "op10_tensored_minhash": OP10, "op13_importance_resample": OP13}
 
 
 # The limits are those of RepetitionRules.
@@ -173,3 +173,36 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length('<|role|>') + length('<|text|>') + length('<|end|>') + length(role) + length(text) + extra) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+# crc32 is folded over the bytes of each distinct feature, with the table of its polynomial.
+OP13 = r"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), every AS (
+  SELECT 0 AS kind, doc_id, text, row_number() OVER () AS r FROM documents UNION ALL SELECT 1, item_id, text, row_number() OVER () FROM benchmark
+), words AS (
+  SELECT kind, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM every
+), runs AS (
+  SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM words
+), counted AS (
+  SELECT kind, r, g, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT g, xor(list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: CAST('0x' || h[2 * i - 1 : 2 * i] AS BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT g, hex(encode(g)) AS h FROM counted), crc
+), buckets AS (
+  SELECT b, coalesce(sum(n) FILTER (kind = 0), 0) AS s, coalesce(sum(n) FILTER (kind = 1), 0) AS t FROM counted JOIN hashed USING (g) GROUP BY b
+), gains AS (
+  SELECT b, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM buckets
+), weighed AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM counted JOIN hashed USING (g) JOIN gains USING (b) WHERE kind = 0 GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weighed USING (r) WHERE kind = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, 5 * count(*) FILTER (able) OVER () // 100 AS most FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= most THEN place END AS rank FROM ranked
+"""

@@ -16,7 +16,7 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     round_ = lambda v: round(v, 12) if isinstance(v, float) else v
     got = sorted((tuple(map(round_, r)) for r in df.select(*columns).collect()), key=repr)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in found.description]
