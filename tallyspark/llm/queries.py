@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, ctw, language, licenses, mixing, neardup, packing, rans, resample, secrets, topk
+from tallyspark.llm import align, chat, ctw, language, licenses, mixing, neardup, packing, rans, resample, secrets, topk
 from tallyspark.llm.common import arm, table
 from tallyspark.llm.quality import score_repetition
 
@@ -62,6 +62,10 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Banding(words=3, percent=85))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 def op12_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rans.read_tokens(spark, rans.store(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -73,7 +77,7 @@ def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op3_license_dice, op4_exact_topk, op5_chat_parts, op6_best_fit_pack, op7_secret_crf, op8_mix_sources, op9_context_tree, op10_tensored_minhash, op12_rans_tokens, op13_importance_resample)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_repetition_coverage, op3_license_dice, op4_exact_topk, op5_chat_parts, op6_best_fit_pack, op7_secret_crf, op8_mix_sources, op9_context_tree, op10_tensored_minhash, op11_token_alignment, op12_rans_tokens, op13_importance_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
