@@ -80,14 +80,14 @@ def own_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", **options) -> DataFrame:
     """Writes ``df`` as Parquet in the shared checkpoint folder and reads it again.
 
     The result does not depend on executors that computed it, its rows keep their places,
-    and Python or shuffle work above it is done once. ``discard`` removes one such table, ``clean`` all of a session."""
+    and Python or shuffle work above it is done once. ``options`` go to the writer. ``discard`` removes one such table, ``clean`` all of a session."""
     spark = df.sparkSession
     at = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

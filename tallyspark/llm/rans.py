@@ -14,6 +14,7 @@ with the most frequent id."""
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import map_batches, map_stream, materialise, own_dir
+from tallyspark.llm.common import discard, map_batches, map_stream, materialise, own_dir
 from tallyspark.llm.packing import Vocabulary, default_vocabulary, encoder
 
 MAGIC, VERSION = b"RANS", 1
@@ -39,8 +40,8 @@ HEAD, BLOCK_HEAD = struct.Struct("<4sBBHIII"), struct.Struct("<IIIII")
 class Shape:
     """Sizes of the format: ids of a segment and of a block, lanes, steps between checkpoints, ids of a file."""
 
-    block: int = 1 << 18
-    lanes: int = 256
+    block: int = 1 << 20
+    lanes: int = 1024
     steps: int = 256
     file: int = 64 << 20
     least_file: int = 2 << 20
@@ -211,42 +212,55 @@ def decode_segment(data: bytes, table: Table, first: int = 0, end: int | None =
     return lengths, np.concatenate(parts)
 
 
-def token_ids(docs: DataFrame, end_id: int = 2, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """(doc_id, row, ids): each row of ``docs`` (doc_id, text) as little-endian unsigned 32-bit ids, ``end_id`` last; a null text is empty. No shuffle."""
+def token_ids(docs: DataFrame, end_id: int = 2, vocabulary: Vocabulary | None = None, narrow: bool = True) -> DataFrame:
+    """(doc_id, row, ids, counts): each row of ``docs`` (doc_id, text) as little-endian unsigned ids, ``end_id`` last; a null text is empty. No shuffle.
+
+    Ids have 16 bits, or 32 unless ``narrow``; 16 must hold the vocabulary. Each task adds one row, without row number, whose counts are
+    those of its ids: as many as the vocabulary at most."""
     vocabulary = vocabulary or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = end_id.to_bytes(4, "little")
+    end, dtype = end_id.to_bytes(4, "little"), "<u2" if narrow else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own, total, types = encoder(vocabulary), np.zeros(0, np.int64), [pa.null(), pa.int64(), pa.binary(), counts_type()]
         for batch in batches:
-            if batch.num_rows:
-                ids = [own.ids(text or "") + end for text in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary())], ["doc_id", "row", "ids"])
+            types[0] = batch.schema.field("doc_id").type
+            out = []
+            for text in batch.column("text").to_pylist():
+                ids = np.frombuffer(own.ids(text or "") + end, "<u4")
+                if narrow and ids.max() > 0xFFFF:
+                    raise ValueError("an id does not fit 16 bits")
+                out.append(ids)
+            if out:
+                found = np.bincount(np.concatenate(out))
+                if len(found) > len(total):
+                    total, found = found.astype(np.int64), total
+                total[: len(found)] += found
+                columns = [batch.column("doc_id"), batch.column("row"), pa.array([x.astype(dtype).tobytes() for x in out], types[2]), pa.nulls(len(out), types[3])]
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
+        if len(total):
+            some = np.flatnonzero(total)
+            counts = [{"id": i, "n": n} for i, n in zip(some.tolist(), total[some].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, types[0]), pa.nulls(1, types[1]), pa.nulls(1, types[2]), pa.array([counts], types[3])], NAMES)
 
-    return map_stream(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), run, f"doc_id {kind}, row long, ids binary")
+    return map_stream(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), run, f"doc_id {kind}, row long, ids binary, counts array<struct<id: long, n: long>>")
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
-    """How often each id occurs in all rows. A task sends a row for each of its ids, so what reaches the driver is bounded by the vocabulary."""
+NAMES = ["doc_id", "row", "ids", "counts"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch.column("ids"):
-                found = np.bincount(np.frombuffer(ids.as_buffer() or b"", "<u4"))
-                if len(found) > len(total):
-                    total, found = found.astype(np.int64), total
-                total[: len(found)] += found
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
 
-    counted = map_stream(tokens.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def counts_type() -> pa.DataType:
+    return pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+
+
+def id_counts(tokens: DataFrame) -> dict[int, int]:
+    """How often each id occurs in all rows: the sums of the tasks' counts, as many as the vocabulary at most. Ids themselves are not read."""
+    counted = tokens.where("counts IS NOT NULL").select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in counted.collect()}
 
 
-def write_tokens(tokens: DataFrame, path: str, precision: int = 20, shape: Shape = Shape()) -> None:
-    """Writes ``tokens`` (doc_id, row, ids; a table, since it is read three times) as files below ``path``: the table of frequencies and the segments.
+def write_tokens(tokens: DataFrame, path: str, precision: int = 20, shape: Shape = Shape(), narrow: bool = True) -> None:
+    """Writes ``tokens`` (as ``token_ids`` gives them, in a table, since it is read three times) as files below ``path``: the table of frequencies and the segments.
 
     Files follow one another in ascending doc_id (nulls first, then row). One shuffle, by ranges of doc_id and row, so that rows of one
     id, or without id, are dealt over many tasks. A task holds a segment: ``shape.block`` ids, or one longer document."""
@@ -262,10 +276,10 @@ def write_tokens(tokens: DataFrame, path: str, precision: int = 20, shape: Shape
         docs: list = []
         rows: list[int] = []
         held: list[bytes] = []
-        size = 0
+        size, width = 0, 2 if narrow else 4
 
         def segment() -> pa.RecordBatch:
-            data = encode_segment([len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4"), table, shape)
+            data = encode_segment([len(x) // width for x in held], np.frombuffer(b"".join(held), f"<u{width}"), table, shape)
             columns = [[part], [seq], [before], [size], [docs], [rows], [data]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()))], ["part", "seq", "before", "n_tokens", "doc_ids", "rows", "data"])
 
@@ -276,7 +290,7 @@ def write_tokens(tokens: DataFrame, path: str, precision: int = 20, shape: Shape
                 docs.append(doc)
                 rows.append(row)
                 held.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // width
                 if size >= shape.block:
                     yield segment()
                     seq, before, size = seq + 1, before + size, 0
@@ -285,7 +299,7 @@ def write_tokens(tokens: DataFrame, path: str, precision: int = 20, shape: Shape
             yield segment()
 
     schema = f"part int, seq long, before long, n_tokens long, doc_ids array<{kind}>, rows array<long>, data binary"
-    ordered = tokens.select("doc_id", "row", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
+    ordered = tokens.where("counts IS NULL").select("doc_id", "row", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
     map_stream(ordered, run, schema).write.option("compression", "uncompressed").parquet(f"{path}/segments")
 
 
@@ -348,10 +362,10 @@ def document_ids(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
     return map_batches(some, run, f"doc_id {kind}, row long, ids binary")
 
 
-def store(docs: DataFrame, path: str | None = None, **options) -> str:
-    """Encodes ``docs`` (doc_id, text) into files; their path, one in the shared checkpoint folder unless given."""
-    import uuid
-
+def store(docs: DataFrame, path: str | None = None, narrow: bool = True, **options) -> str:
+    """Encodes ``docs`` (doc_id, text) into files; their path, one in the shared checkpoint folder unless given. The table of ids between is removed."""
     path = path or f"{own_dir(docs.sparkSession)}/rans-{uuid.uuid4().hex}"
-    write_tokens(materialise(token_ids(docs), "ids"), path, **options)
+    tokens = materialise(token_ids(docs, narrow=narrow), "ids", compression="zstd")
+    write_tokens(tokens, path, narrow=narrow, **options)
+    discard(tokens)
     return path
