@@ -20,14 +20,15 @@ ROLL = np.uint64(0x9E3779B97F4A7C15)
 class RepetitionRules:
     """Shares of a text's word characters (code points in words) above which a text is rejected.
 
-    ngram_limits: n words, 3 at least -> share inside n-grams that occur twice or more (each character once).
+    ngram_limits: n words, 3 at least -> share inside n-grams that occurred before (each character once). What occurs first does
+    not count, so a line that is said twice in a long text costs its own length once.
     line_limit: share inside lines that repeat an earlier line.
-    symbol_limit: symbols ``#*$%&|<>`` a word.
+    symbol_limit: symbols ``#*$%&|<>`` a word; no part of the verdict unless given.
     min_words, repeat_percent: the base rule."""
 
-    ngram_limits: dict[int, float] = field(default_factory=lambda: {5: 0.45, 6: 0.43, 7: 0.41, 8: 0.39, 9: 0.37, 10: 0.35})
-    line_limit: float = 0.30
-    symbol_limit: float = 0.3
+    ngram_limits: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
+    line_limit: float = 0.15
+    symbol_limit: float | None = None
     min_words: int = 50
     repeat_percent: int = 50
 
@@ -48,6 +49,15 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return np.isin(keys, twice) if len(twice) else np.zeros(len(keys), bool)
 
 
+def again(keys: np.ndarray) -> np.ndarray:
+    """True where a key occurred before."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    return out
+
+
 def covered(hits: np.ndarray, n: int, size: int) -> np.ndarray:
     """Words that lie in a marked window of n words."""
     edge = np.zeros(size + 1, np.int64)
@@ -96,14 +106,14 @@ def measure(text: bytes | None, rules: RepetitionRules) -> tuple:
                     length += 1
                 if length < want:
                     break
-                hits = repeated(rolled)
+                hits = again(rolled)
                 if not hits.any():  # longer n-grams repeat only where shorter ones do
                     break
                 shares[want] = int(lengths[covered(hits, want, n)].sum()) / chars
     base_failed = n < rules.min_words or 100 * repeat_words > rules.repeat_percent * n
     line_share = dup_chars / chars if chars else 0.0
     symbol_share = symbols / n if n else 0.0
-    good = line_share <= rules.line_limit and symbol_share <= rules.symbol_limit and all(s <= rules.ngram_limits[k] for k, s in shares.items())
+    good = line_share <= rules.line_limit and (rules.symbol_limit is None or symbol_share <= rules.symbol_limit) and all(s <= rules.ngram_limits[k] for k, s in shares.items())
     return n, chars, symbols, dup_lines, repeat_words, base_failed, good and not base_failed, line_share, max(shares.values(), default=0.0), symbol_share
 
 

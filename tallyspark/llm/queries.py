@@ -102,14 +102,14 @@ WITH d AS (
 ), grams AS (
   {GRAMS}
 ), often AS (
-  SELECT doc_id, n, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, n, g) > 1
+  SELECT doc_id, n, i FROM grams QUALIFY CASE WHEN n = 3 THEN count(*) OVER (PARTITION BY doc_id, n, g) ELSE row_number() OVER (PARTITION BY doc_id, n, g ORDER BY i) END > 1
 ), inside AS (
   SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS j FROM often
 ), cover AS (
   SELECT doc_id, n, count(*) AS words, sum(length(w)) AS chars FROM inside JOIN words USING (doc_id, j) GROUP BY ALL
 ), share AS (
   SELECT doc_id, max(CASE WHEN n = 3 THEN words END) AS repeated, max(CASE WHEN n > 3 THEN chars / word_chars END) AS top,
-    bool_or(n > 3 AND chars / word_chars > [0.45, 0.43, 0.41, 0.39, 0.37, 0.35][n - 4]) AS bad FROM cover JOIN base USING (doc_id) GROUP BY doc_id
+    bool_or(n > 3 AND chars / word_chars > [0.15, 0.14, 0.13, 0.12, 0.11, 0.10][n - 4]) AS bad FROM cover JOIN base USING (doc_id) GROUP BY doc_id
 ), every AS (
   SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeat_words,
     coalesce(dup_chars / nullif(word_chars, 0), 0.0) AS line_share, coalesce(top, 0.0) AS ngram_share, coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbol_share, coalesce(bad, false) AS bad
@@ -118,7 +118,7 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM every
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT bad AND line_share <= 0.30 AND symbol_share <= 0.3 AS kept, line_share, ngram_share, symbol_share FROM judged
+  NOT base_failed AND NOT bad AND line_share <= 0.15 AS kept, line_share, ngram_share, symbol_share FROM judged
 """.replace("{LEADS}", ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, 10))).replace(
     "{GRAMS}", "\n  UNION ALL ".join(f"SELECT doc_id, {n} AS n, j AS i, concat_ws(' ', w, {', '.join(f'w{k}' for k in range(1, n))}) AS g FROM near WHERE w{n - 1} IS NOT NULL" for n in (3, 5, 6, 7, 8, 9, 10))
 )
