@@ -10,8 +10,8 @@ from tallyspark.llm.common import materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or the repetition limits go."""
-    return quality.keep_good(docs)
+    """Documents that fail the base rule or the repetition limits go, and those of more than one symbol in two words."""
+    return quality.keep_good(docs, quality.RepetitionRules(symbol_limit=0.5))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret values are replaced by a mark."""
-    return secrets.redact(docs, secrets.fit(secrets.windows(docs)))
+    return secrets.redact(docs, secrets.learn(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

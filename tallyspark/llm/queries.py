@@ -43,7 +43,7 @@ def op6_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = secrets.fit(secrets.windows(docs))
+    model = secrets.learn(docs)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return secrets.scan(docs, model).withColumn("spans", spans)
 

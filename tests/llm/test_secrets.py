@@ -165,3 +165,11 @@ def test_table(spark):
     assert told(secrets.redact(docs, None)) == told(docs)
     assert secrets.fit([]) is None and secrets.windows(empty(spark)) == []
     assert secrets.scan(empty(spark), None).count() == secrets.redact(empty(spark), None).count() == 0
+
+
+def test_learning_in_a_task_gives_the_same_field(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    here, there = secrets.fit(secrets.windows(docs)), secrets.learn(docs)
+    assert list(here.weights) == list(there.weights) and (here.step == there.step).all()
+    assert all((here.weights[k] == there.weights[k]).all() for k in here.weights)
+    assert secrets.learn(empty(spark)) is None
