@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tallyspark.functions.text import search_tokens
+from tallyspark.operators import matching
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
@@ -27,10 +29,19 @@ BROADCAST_HEADS = 500_000
 def substring_pairs(hays: DataFrame, needles: DataFrame, gram: int = 12) -> DataFrame:
     """Distinct (hay_id, needle_id) where a needle (needle_id, needle) lies inside a hay (hay_id, hay); empty needles do not count.
 
-    Needles are keyed by their first ``gram`` (or all their) characters. Hays are cut into the pieces of the lengths that occur; pieces
+    Needles that are few enough go to every task, which looks for all of them at once (``matching``). Beyond that they are joined:
+    they are keyed by their first ``gram`` (or all their) characters. Hays are cut into the pieces of the lengths that occur; pieces
     that begin some needle give candidate pairs of ids, an equality join without the texts. Then texts meet their candidates and whole
     needles are compared."""
-    needles = needles.where("needle <> ''").withColumn("n", F.least(F.length("needle"), F.lit(gram))).withColumn("head", F.left("needle", F.col("n")))
+    needles = needles.where("needle <> ''")
+    if matching.fits(needles):
+        return matching.match_all(hays, needles, gram).distinct()
+    return joined_pairs(hays, needles, gram)
+
+
+def joined_pairs(hays: DataFrame, needles: DataFrame, gram: int = 12) -> DataFrame:
+    """``substring_pairs`` for needles of any number: equality joins on their heads."""
+    needles = needles.withColumn("n", F.least(F.length("needle"), F.lit(gram))).withColumn("head", F.left("needle", F.col("n")))
     heads = needles.select("n", "head").distinct()
     found = heads.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()  # at most ``gram`` rows
     hays = hays.where("hay is not null")
@@ -107,13 +118,23 @@ def rank(questions: DataFrame, records: DataFrame, k: int) -> DataFrame:
     return best(scored(pairs)).select("question_id", "record_id", F.round("raw", 4).alias("score"), "place")
 
 
-ZERO_WIDTH = re.compile(r"[\s​-‍⁠﻿_.:/-]+")
+#: Characters that do not count besides white space, zero-width ones first.
+UNSEEN = ("\u200b", "\u200c", "\u200d", "\u2060", "\ufeff", "_", ".", ":", "/", "-")
 
 
 @pandas_udf(T.StringType())
 def leak_normal(text: pd.Series) -> pd.Series:
     """Compatibility form, lower case, without blanks, zero-width characters and _ . : / -"""
-    return text.str.normalize("NFKC").str.replace(ZERO_WIDTH, "", regex=True).str.lower()
+
+    def form(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = "".join((t if t.isascii() else unicodedata.normalize("NFKC", t)).split())
+        for c in UNSEEN:
+            t = t.replace(c, "")
+        return t.lower()
+
+    return text.map(form)
 
 
 def leaks(public: DataFrame, private: DataFrame, text: str, value: str, least: int = 4) -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyspark.sources.tables import materialise
 
 # Fixed values.
 UNKNOWN, UNWRITTEN = "unknown", "未转写"
@@ -108,13 +111,18 @@ def missing_fields(row: Sequence[str], lists: Sequence[str], first: str = "") ->
     return F.array_compact(F.array(*blank, *(F.when(F.coalesce(F.size(c), F.lit(0)) < 1, F.lit(c)) for c in lists)))
 
 
-def assessment_issues(assessments: DataFrame, cards: DataFrame) -> DataFrame:
+def assessment_issues(assessments: DataFrame, cards: DataFrame, most: int = 10_000) -> DataFrame:
     """(reviewer, card, code): each reviewer answers every card once and in order (card.missing, card.unknown, card.repeated, card.ordinal),
     accepts with events (accept.events) and does nothing else with them (other.events).
 
-    assessments: reviewer, card, ordinal, disposition, events (count); cards: card, ordinal."""
+    assessments: reviewer, card, ordinal, disposition, events (count); cards: card, ordinal. The answers wanted are reviewers times cards by
+    contract: the reviewers, ``most`` at most (else an error), are set beside each card; cards are not broadcast."""
     seen = assessments.groupBy("reviewer", "card").agg(F.count(F.lit(1)).alias("times"), F.min("ordinal").alias("at"), F.min("disposition").alias("disposition"), F.min("events").alias("events"))
-    wanted = assessments.select("reviewer").distinct().join(F.broadcast(cards.select("card", F.col("ordinal").alias("want"))))  # reviewers are few by contract
+    reviewers = assessments.select("reviewer").distinct().limit(most + 1).collect()
+    if len(reviewers) > most:
+        raise ValueError(f"more than {most} reviewers")
+    names = F.array(*[F.lit(r["reviewer"]) for r in reviewers]).cast(T.ArrayType(assessments.schema["reviewer"].dataType))
+    wanted = cards.select(F.explode(names).alias("reviewer"), "card", F.col("ordinal").alias("want"))
     both = seen.join(wanted, ["reviewer", "card"], "full")
     accept = F.col("disposition") == "accept"
     codes = F.array_compact(
@@ -135,8 +143,10 @@ def suite_issues(capabilities: DataFrame, actions: DataFrame, sources: DataFrame
 
     capabilities: cap, transitions, evidence; actions: cap, action, origin, transitions, deltas, evidence; sources: transition, deltas,
     evidence (accepted transitions); visuals: transition, delta, evidence (exact pictures of a change); submitted: evidence (shown to the model).
-    All references are arrays of longs or strings of one kind. Each rule is an anti or left join on exploded references."""
+    All references are arrays of longs or strings of one kind. Each rule is an anti or left join on exploded references; the tables that
+    many rules read are written once."""
     key = ["cap", "action"]
+    capabilities, actions, sources = (materialise(rows, f"suite-{name}") for rows, name in ((capabilities, "capabilities"), (actions, "actions"), (sources, "sources")))
     each = lambda rows, c, name: rows.select(*key, F.explode(F.array_distinct(c)).alias(name))
     whole = capabilities.withColumn("action", F.lit(None).cast(actions.schema["action"].dataType)).select(*key, "transitions", "evidence")
     both = actions.select(*key, "transitions", "evidence").unionByName(whole)
@@ -144,13 +154,21 @@ def suite_issues(capabilities: DataFrame, actions: DataFrame, sources: DataFrame
     say = lambda rows, ref, code: rows.select(*key, F.col(ref).cast("string").alias("ref"), F.lit(code).alias("code"))
 
     used, cited, changed = each(both, "transitions", "transition"), each(both, "evidence", "evidence"), each(actions, "deltas", "delta")
-    # A capability's rows have no action, so keys are compared null-safe.
-    within = lambda rows, permitted, name: rows.join(permitted.select(F.col("cap").alias("_c"), F.col("action").alias("_a"), F.col(name).alias("_r")).distinct(), (F.col("cap") == F.col("_c")) & F.col("action").eqNullSafe(F.col("_a")) & (F.col(name) == F.col("_r")), "left_anti")
+    # A capability's rows have no action, so their key is its text and whether there is one.
+    keyed = lambda rows, name: rows.select("cap", F.col("action").isNull().alias("_whole"), F.coalesce(F.col("action").cast("string"), F.lit("")).alias("_act"), *key[1:], name)
+    exact = ["cap", "_whole", "_act"]
+
+    def within(rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """References of ``rows`` that no used transition has. Each meets its row's own transitions only; those pairs are then looked up among ``pairs``."""
+        rows = keyed(rows, name)
+        asked = rows.drop("action").join(keyed(used, "transition").drop("action"), exact)
+        return rows.join(asked.join(pairs, ["transition", name], "left_semi").select(*exact, name), [*exact, name], "left_anti")
+
     listed = lambda c, name: capabilities.select("cap", F.explode(c).alias(name)).distinct()
     known = of("evidence", "evidence").select("evidence").distinct()
     own = used.where("action is not null")
     replays = changed.join(actions.where(F.col("origin").isin(*REPLAYS)).select(*key), key, "left_semi")
-    pictures = own.join(visuals, "transition").select(*key, "delta", "evidence").distinct()
+    pictures = replays.join(own, key).join(visuals, ["transition", "delta"]).select(*key, "delta", "evidence").distinct()
     shown = pictures.join(submitted.select("evidence", F.lit(True).alias("_sent")), "evidence", "left").join(cited.withColumn("_cited", F.lit(True)), [*key, "evidence"], "left")
     shown = shown.groupBy(*key, "delta").agg(F.max(F.coalesce("_cited", F.lit(False))).alias("_cited"), F.max(F.coalesce("_sent", F.lit(False))).alias("_sent"))
     seen = replays.join(shown, [*key, "delta"], "left")
@@ -160,8 +178,8 @@ def suite_issues(capabilities: DataFrame, actions: DataFrame, sources: DataFrame
         say(own.join(listed("transitions", "transition"), ["cap", "transition"], "left_anti"), "transition", "action.capability_transition"),
         say(cited.where("action is not null").join(listed("evidence", "evidence"), ["cap", "evidence"], "left_anti"), "evidence", "action.capability_evidence"),
         say(cited.join(known, "evidence", "left_anti"), "evidence", "source.evidence_ref"),
-        say(within(cited.join(known, "evidence", "left_semi"), used.join(of("evidence", "evidence"), "transition"), "evidence"), "evidence", "source.evidence_scope"),
-        say(within(changed, used.join(of("deltas", "delta"), "transition"), "delta"), "delta", "source.delta_ref"),
+        say(within(cited.join(known, "evidence", "left_semi"), of("evidence", "evidence"), "evidence"), "evidence", "source.evidence_scope"),
+        say(within(changed, of("deltas", "delta"), "delta"), "delta", "source.delta_ref"),
         say(actions.where(F.col("origin").isin(*REPLAYS) & (F.size("deltas") < 1)).withColumn("none", F.lit(None).cast("string")), "none", "action.replay_delta"),
         say(used.where("action is null").join(own.select("cap", "transition").distinct(), ["cap", "transition"], "left_anti"), "transition", "capability.unused_transition"),
         seen.withColumn("code", code).where("code is not null").select(*key, F.col("delta").cast("string").alias("ref"), "code"),
