@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,8 +209,8 @@ def find_spans(text: str | None, model: Field | None) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def window_table(labelled: DataFrame, documents: int = 20_000, keep: int = 2_000, reach: int = 240) -> DataFrame:
-    """(hit, part, h): at most ``keep`` windows of text, half around base spans and half away from them, from about
+def windows(labelled: DataFrame, documents: int = 20_000, keep: int = 2_000, reach: int = 240) -> list[str]:
+    """At most ``keep`` windows of text, half around base spans and half away from them, from about
     ``documents`` rows chosen by a hash of their ids. Only this sample is bounded; scans cover every row.
 
     A window reaches ``reach`` characters, and on to the next blanks, but no further than twice that, before and behind a
@@ -233,33 +232,9 @@ def window_table(labelled: DataFrame, documents: int = 20_000, keep: int = 2_000
         return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(parts, pa.string()), pa.array(keys, pa.int64())], ["hit", "part", "h"])
 
     found = materialise(map_batches(rows.where(F.pmod("h", F.lit(part)) == 0), cut, "hit boolean, part string, h long"), "windows")
-    some = [found.where(F.col("hit") == hit).orderBy("h", "part").limit(keep // 2) for hit in (True, False)]
-    return some[0].unionByName(some[1])
-
-
-def windows(labelled: DataFrame, **sizes) -> list[str]:
-    """The windows of ``window_table``."""
-    return [r.part for r in sorted(window_table(labelled, **sizes).collect(), key=lambda r: (not r.hit, r.h, r.part))]
-
-
-def learn(labelled: DataFrame, **sizes) -> Field | None:
-    """``fit`` on the windows of ``window_table``, in one task of the cluster: only the weights come to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(batch.column("hit").to_pylist(), batch.column("h").to_pylist(), batch.column("part").to_pylist())]
-        model = fit([part for *_, part in sorted(rows, key=lambda r: (not r[0], *r[1:]))])
-        if model is not None:
-            roles, features = zip(*model.weights) if model.weights else ((), ())
-            scores = np.array(list(model.weights.values())).astype("<f8").tobytes()
-            columns = [pa.array([list(roles)], pa.list_(pa.string())), pa.array([list(features)], pa.list_(pa.string())), pa.array([scores]), pa.array([model.step.astype("<f8").tobytes()])]
-            yield pa.RecordBatch.from_arrays(columns, ["roles", "features", "scores", "step"])
-
-    table = window_table(labelled, **sizes)
-    found = table.coalesce(1).mapInArrow(run, "roles array<string>, features array<string>, scores binary, step binary").first()
-    discard(table)
-    if found is None:
-        return None
-    return Field(dict(zip(zip(found.roles, found.features), np.frombuffer(bytes(found.scores), "<f8").reshape(-1, 3))), np.frombuffer(bytes(found.step), "<f8").reshape(3, 3))
+    out = [r.part for hit in (True, False) for r in found.where(F.col("hit") == hit).orderBy("h", "part").limit(keep // 2).collect()]
+    discard(found)
+    return out
 
 
 @dataclass
@@ -314,6 +289,10 @@ class Sequences:
         return out
 
 
+#: Windows of about one length whose sums are made at once: a few MB.
+TOGETHER = 64
+
+
 def sequences(texts: list[str], seldom: int) -> Sequences:
     numbers: dict[str, int] = {}
     kinds: list[tuple[str, ...]] = []
@@ -341,7 +320,8 @@ def sequences(texts: list[str], seldom: int) -> Sequences:
     files = {f: i for i, f in enumerate(sorted({f for x in file_of for f in x}))}
     file_pairs = [(i, files[f]) for i, x in enumerate(file_of) for f in x]
     groups = []
-    for rows in by_size.values():
+    parts = [rows[a : a + TOGETHER] for rows in by_size.values() for a in range(0, len(rows), TOGETHER)]
+    for rows in parts:
         group = np.full((len(rows), max(map(len, rows))), len(tag))
         for i, row in enumerate(rows):
             group[i, : len(row)] = row
