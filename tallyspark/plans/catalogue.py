@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import answers, bundles, derivations, feeds, gold, ledgers, reviews, scores, texts, times
+from tallyspark.plans import answers, bundles, closures, derivations, feeds, gold, ledgers, reviews, scores, texts, times
 
 FLAGSHIP = "macro_mean_nested"
-MODULES = (scores, times, ledgers, texts, feeds, derivations, reviews, bundles, gold, answers)
+MODULES = (scores, times, ledgers, texts, feeds, derivations, reviews, bundles, gold, answers, closures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
