@@ -86,7 +86,7 @@ def js_number(n: Column) -> Column:
 
 def js_string(text: Column) -> Column:
     """A quoted JSON string, other than ASCII kept; null as null."""
-    return F.coalesce(F.regexp_replace(F.to_json(F.struct(text.alias("t"))), r'^\{"t":|\}$', ""), F.lit("null")) if text is not None else F.lit("null")
+    return F.when(text.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.struct(text.alias("t"))), r'^\{"t":|\}$', ""))
 
 
 def canonical_object(**fields: Column) -> Column:
@@ -203,7 +203,9 @@ def _no_constant(name: str):
 
 
 def first_object(text: str | None) -> str | None:
-    """The JSON of a model's answer: the whole text without its fence if that is JSON, else the first place where an object stands; null without one."""
+    """The JSON of a model's answer: the whole text without its fence if that is JSON, else the first place where an object stands; null without one.
+
+    A value that nests too deep to be read is none, and ends the search: what stands inside it is no answer of its own."""
     if text is None:
         return None
     read = json.JSONDecoder(parse_constant=_no_constant)
@@ -211,12 +213,16 @@ def first_object(text: str | None) -> str | None:
     try:
         json.loads(body, parse_constant=_no_constant)
         return body
+    except RecursionError:
+        return None
     except ValueError:
         pass
     at = body.find("{")
     while at >= 0:
         try:
             return body[at : read.raw_decode(body, at)[1]]
+        except RecursionError:
+            return None
         except ValueError:
             at = body.find("{", at + 1)
     return None
@@ -250,12 +256,12 @@ def one_form(value) -> str:
 
 @pandas_udf(T.StringType())
 def canonical_json(values: pd.Series) -> pd.Series:
-    """Nested JSON in its one form; null for null and for what is no JSON."""
+    """Nested JSON in its one form; null for null, for what is no JSON, and for what nests too deep to be read."""
 
     def form(text: str | None) -> str | None:
         try:
             return None if text is None else one_form(json.loads(text, parse_constant=_no_constant))
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     return values.map(form)

@@ -153,8 +153,10 @@ def card_manifest(groups: DataFrame, evidence: DataFrame, candidates: DataFrame,
 
 
 def natural(text: Column) -> Column:
-    """A sort key by which numbers inside a text go by their value: each is padded to twelve digits."""
-    return F.regexp_replace(F.regexp_replace(text, r"(\d+)", "000000000000$1"), r"0*(\d{12})(?!\d)", "$1")
+    """A sort key by which numbers inside a text go by their value, however many digits they have: each follows its own length, without leading zeros."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    plain = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(plain(p)).cast("string"), 10, "0"), plain(p))).otherwise(p)), "")
 
 
 def packet_issues(template: DataFrame, cards: DataFrame, key: str, ordinal: str) -> DataFrame:

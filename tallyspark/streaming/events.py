@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "run_id string, seq long, ts timestamp, kind string, stage string, progress double, status string"
 TERMINAL = ("complete", "error")
@@ -77,3 +78,61 @@ def transition_stream(events: DataFrame, allowed: Mapping[str, Sequence[str]], s
 
     rows = events.select("run_id", "seq", F.col(state)).where(F.col("seq").isNotNull())
     return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, seq long, code string", "seq long, state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_hours else GroupStateTimeout.NoTimeout)
+
+
+class RunStates(StatefulProcessor):
+    """Follows each run by its last number and state, which go at a terminal event or when the run has been silent for too long."""
+
+    def __init__(self, allowed: Mapping[str, Sequence[str]], terminal: Sequence[str], idle_ms: int | None):
+        self.allowed, self.terminal, self.idle_ms = {k: frozenset(v) for k, v in allowed.items()}, frozenset(terminal), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq long, state string, alarm long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last, now, alarm = self.last.get() if self.last.exists() else (None, None, None)
+        began = last
+        for row in sorted(rows, key=lambda r: r.seq):
+            if last is not None and row.seq <= last:
+                yield Row(run_id=key[0], seq=row.seq, code="repeated")
+                continue
+            if last is not None and row.seq > last + 1:
+                yield Row(run_id=key[0], seq=row.seq, code="gap")
+            if now is not None and row.state not in self.allowed.get(now, ()):
+                yield Row(run_id=key[0], seq=row.seq, code="transition")
+            last, now = row.seq, row.state
+            if row.kind in self.terminal:
+                last = now = None
+        if last is None:
+            if began is not None:
+                self.last.clear()
+                if alarm is not None:
+                    self.handle.deleteTimer(alarm)
+        else:
+            if self.idle_ms and last != began:
+                if alarm is not None:
+                    self.handle.deleteTimer(alarm)
+                alarm = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+                self.handle.registerTimer(alarm)
+            self.last.update((last, now, alarm))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last = self.last.get() if self.last.exists() else None
+        if last is not None and last[2] is not None and last[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+            yield Row(run_id=key[0], seq=last[0], code="silent")
+
+    def close(self) -> None:
+        pass
+
+
+def run_states(events: DataFrame, allowed: Mapping[str, Sequence[str]], state: str = "status", terminal: Sequence[str] = TERMINAL, idle_hours: float | None = None) -> DataFrame:
+    """(run_id, seq, code) as a stream: gap, repeated or transition, and silent where ``idle_hours`` are given and a run has not been heard of for so long.
+
+    One value a run is kept between batches. It goes with the run's terminal event, so state is as large as the runs that are still
+    open; an event after that begins a run anew. The timer of a silent run is moved by each of its events. The session needs the RocksDB state
+    store (``spark.sql.streaming.stateStore.providerClass``). A query over what is available now ends, with or without timers."""
+    rows = events.where(F.col("seq").isNotNull() & F.col("run_id").isNotNull()).select("run_id", "seq", "kind", F.col(state).alias("state"))
+    processor = RunStates(allowed, terminal, int(idle_hours * 3_600_000) if idle_hours else None)
+    return rows.groupBy("run_id").transformWithState(processor, "run_id string, seq long, code string", "Append", "ProcessingTime" if idle_hours else "None")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 
+import pytest
 from tallyspark.streaming import events as feed
 
 
@@ -60,3 +62,43 @@ def test_latest_and_issues(spark, tmp_path):
     assert issues == [("a", 2, "repeated"), ("a", 4, "gap"), ("b", 3, "repeated")]
     late = batch.unionByName(spark.createDataFrame([("b", 4, None, "progress", "s", 1.0, "x")], feed.EVENT))
     assert ("b", 4, "after_end") in set(map(tuple, feed.feed_issues(late).collect()))
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_run_states_over_restarts_with_bounded_state(rocks, tmp_path):
+    """Each batch is a query of its own on one checkpoint; state is left for open runs alone."""
+    source, at = tmp_path / "in", tmp_path / "c4"
+    ended = [event(f"r{i}", k, s, kind) for i in range(30) for k, s, kind in ((1, "queued", "progress"), (2, "running", "progress"), (3, "done", "complete"))]
+    found: list[set] = [set()]
+    for n, rows in enumerate((FIRST + [e for e in ended if e[1] < 3], SECOND + [e for e in ended if e[1] == 3], [event("a", 6, "running"), event("b", 4, "queued")])):
+        put(source, f"{n}.json", rows)
+        query = feed.write_events(feed.run_states(feed.read_events(rocks, str(source)), ALLOWED), str(tmp_path / "out"), str(at))
+        assert query.awaitTermination(120) and query.exception() is None
+        found.append({tuple(r) for r in rocks.read.schema("run_id string, seq long, code string").json(str(tmp_path / "out")).collect() if r.run_id[0] != "r"})
+        left = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress if p["numInputRows"]]
+    assert found[1] == {("a", 2, "repeated")}
+    assert found[2] - found[1] == {("a", 4, "gap"), ("a", 5, "transition"), ("c", 6, "transition")}
+    assert found[3] == found[2]
+    assert left == [3]  # a and c, which are open, and b, which began anew: none of the thirty that ended
+
+
+def test_silent_runs_are_told_and_forgotten(rocks, tmp_path):
+    source = tmp_path / "in"
+    put(source, "0.json", [event("q", 1, "queued"), event("done", 1, "done", "complete")])
+    query = feed.run_states(feed.read_events(rocks, str(source)), ALLOWED, idle_hours=1 / 3600).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "c5")).trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and not rocks.table("silent").count():
+            time.sleep(1)
+        assert [tuple(r) for r in rocks.table("silent").collect()] == [("q", 1, "silent")]
+    finally:
+        query.stop()
