@@ -143,6 +143,13 @@ def cycle_check(spark: SparkSession, d: str) -> DataFrame:
     return graph.on_cycles(docs.select(((F.col("doc_id") * 7 + 3) % n).alias("c"), ((F.col("doc_id") * F.col("doc_id") + 1) % n).alias("p")), "c", "p")
 
 
+def cycle_components(spark: SparkSession, d: str) -> DataFrame:
+    """The same parent graph's cycles, each named by its largest node."""
+    docs = load(spark, d, "documents")
+    n = docs.count()
+    return graph.cycle_components(docs.select(((F.col("doc_id") * 7 + 3) % n).alias("c"), ((F.col("doc_id") * F.col("doc_id") + 1) % n).alias("p")), "c", "p")
+
+
 def topo_rank(spark: SparkSession, d: str) -> DataFrame:
     """Each order's lines as a diagram; a line points to the later ones whose number its own divides."""
     li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
@@ -168,7 +175,7 @@ def r7_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select("metric", *(F.round(x, 4).alias(x) for x in ("low95", "low80", "high80", "high95")))
 
 
-QUERIES = {f.__name__: f for f in (history_budget, history_last_n, chunk_pack, evidence_batches, lexical_rank_topk, leak_scan, outcome_guard, support_counts, judge_answers, search_list, soft_delete_antijoin, project_rollup, conversation_summary, run_summary, released_bytes, skill_rollup, schedule_cross, review_tiers, token_totals, delivery_audit, cycle_check, topo_rank, bootstrap_ci, r7_quantiles)}
+QUERIES = {f.__name__: f for f in (history_budget, history_last_n, chunk_pack, evidence_batches, lexical_rank_topk, leak_scan, outcome_guard, support_counts, judge_answers, search_list, soft_delete_antijoin, project_rollup, conversation_summary, run_summary, released_bytes, skill_rollup, schedule_cross, review_tiers, token_totals, delivery_audit, cycle_check, cycle_components, topo_rank, bootstrap_ci, r7_quantiles)}
 
 SQL = {
     "history_budget": f"""
@@ -236,5 +243,8 @@ WITH RECURSIVE e AS (SELECT DISTINCT c, p FROM ({PARENTS})),
 up(x, y) AS (SELECT c, p FROM e UNION SELECT up.x, e.p FROM up JOIN e ON e.c = up.y), loops AS (SELECT DISTINCT x FROM up WHERE x = y)
 SELECT DISTINCT n AS node FROM (SELECT c AS n FROM e UNION SELECT p FROM e)
 WHERE (n IN (SELECT x FROM loops) OR n IN (SELECT x FROM up WHERE y IN (SELECT x FROM loops))) AND (n IN (SELECT x FROM loops) OR n IN (SELECT y FROM up WHERE x IN (SELECT x FROM loops)))""",
+    "cycle_components": f"""
+WITH RECURSIVE e AS (SELECT DISTINCT c, p FROM ({PARENTS})), up(x, y) AS (SELECT c, p FROM e UNION SELECT up.x, e.p FROM up JOIN e ON e.c = up.y)
+SELECT a.x AS node, max(a.y) AS component FROM up a JOIN up b ON b.x = a.y AND b.y = a.x GROUP BY a.x""",
     "r7_quantiles": "SELECT 'o_totalprice' AS metric, round(quantile_cont(o_totalprice, 0.025), 4) AS low95, round(quantile_cont(o_totalprice, 0.1), 4) AS low80, round(quantile_cont(o_totalprice, 0.9), 4) AS high80, round(quantile_cont(o_totalprice, 0.975), 4) AS high95 FROM orders",
 }
