@@ -14,8 +14,9 @@ def quantise(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id long, v array<long>): floor(scale * x) of each component as double.
 
     Left out: rows without id or vector, vectors that hold a null or non-finite component, and those
-    whose squared norm passes 9.2e18 (the product of two others always fits a long). An id is one row: of repeated rows of
-    equal id and vector one counts, so no candidate is returned twice."""
+    whose squared norm passes 9.2e18 (the product of two others always fits a long). Of repeated rows of
+    equal id and vector one counts. Ids name one vector each by contract: rows of one id with different vectors are candidates of
+    their own, and as queries share one list."""
     x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double"))
     kept = (
         vectors.where("vec_id is not null and embedding is not null")

@@ -26,9 +26,9 @@ def test_stages_keep_columns_and_bear_empty_tables(spark):
 
 def test_run_packs_what_the_stages_keep(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = {r.doc_id: r.text for r in quality.keep_good(docs).collect()}
-    assert all(quality.measure(t.encode(), quality.RepetitionRules())[6] for t in good.values())
-    kept = quality.keep_good(docs)
+    rules = quality.RepetitionRules(symbol_limit=0.5)  # the stage asks for few symbols besides
+    kept = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if quality.measure((r.text or "").encode(), rules)[6]}
     one = neardup.keep_one(kept)
     sets = {r.doc_id: set(neardup.shingles(r.text.encode(), 5, neardup.Words()).tolist()) for r in one.collect()}
     ids = sorted(sets)
@@ -59,12 +59,15 @@ def test_every_query_is_registered_with_its_columns(spark):
         "op5": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
         "op7": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
         "op8": {"doc_id", "size", "source_size", "target", "taken"},
+        "op11": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+        "op12": {"doc_id", "start", "n_tokens", "ids_crc32"},
+        "op13": {"doc_id", "n_features", "weight", "score", "rank"},
     }
     for op, columns in want.items():
         (name,) = [n for n in named if n.startswith(op + "_")]
         found = named[name](spark, SF)
         assert columns <= set(found.columns)
-    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in named} and "pipeline" in named
+    assert {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in named} and "pipeline" in named
 
 
 def test_packing_takes_all_rows_of_its_stage(spark):
