@@ -134,8 +134,8 @@ def coverage_profile(rows: DataFrame, least: int = 30, most: int = 50, teachers:
     return whole.join(windows).withColumn("ready", ready)
 
 
-def value_gate(metrics: DataFrame, blocked: Column | None = None, gain: float = 0.05, must_gain: Sequence[str] = ("evidence_f1", "temporal_fidelity", "edit_coverage"), must_not_rise: str = "unsupported_claim_rate") -> DataFrame:
-    """BLOCKED, GO or STOP from rows (metric, difference, low80): GO if each metric of ``must_gain`` has a difference of at least
+def value_gate(metrics: DataFrame, blocked: Column | None = None, gain: float = 0.05, must_gain: Sequence[str] = ("evidence_f1", "temporal_fidelity", "edit_coverage"), must_not_rise: str = "unsupported_claim_rate", by: Sequence[str] = ()) -> DataFrame:
+    """BLOCKED, GO or STOP, one decision for each value of ``by``, from rows (metric, difference, low80): BLOCKED if any row is ``blocked``, GO if each metric of ``must_gain`` has a difference of at least
     ``gain`` with its low bound above 0, and ``must_not_rise`` does not rise."""
     good = F.col("metric").isin(*must_gain) & (F.col("difference") >= gain) & (F.col("low80") > 0)
     calm = (F.col("metric") == must_not_rise) & (F.col("difference") <= 0)
@@ -143,7 +143,7 @@ def value_gate(metrics: DataFrame, blocked: Column | None = None, gain: float =
     out = F.when(go, "GO").otherwise("STOP")
     if blocked is not None:
         out = F.when(F.coalesce(F.max(blocked.cast("int")), F.lit(0)) == 1, "BLOCKED").otherwise(out)
-    return metrics.agg(out.alias("decision"))
+    return metrics.groupBy(*by).agg(out.alias("decision"))
 
 
 def development_gate(f1: Column, base_f1: Column, coverage: Column, base_coverage: Column, unsupported: Column, base_unsupported: Column, positive_cases: Column, positive_pairs: Column, failures: Column, cases: int = 2, pairs: int = 4) -> Column:

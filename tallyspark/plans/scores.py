@@ -197,7 +197,17 @@ def value_gate(spark: SparkSession, d: str) -> DataFrame:
     return scoring.value_gate(long)
 
 
-QUERIES = {f.__name__: f for f in (macro_mean_nested, baseline_argmax, paired_arm_diff, case_delta_counts, arm_summary, item_metrics_f1, rater_means, rating_recheck, matrix_completeness, denominator_drift, coverage_profile, gates, kappa_labels, kappa_operations, confusion_matrix, label_counts_domain, summary_stats, agreement_by_package, reliability_gate, reviewer_join, boundary_deltas, value_gate)}
+def value_gates(spark: SparkSession, d: str) -> DataFrame:
+    """The gate of each customer: its orders' shares as metrics; one of fewer than five orders is blocked."""
+    o = load(spark, d, "orders")
+    share = lambda c: F.avg(c.cast("double"))
+    rows = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), share(F.col("o_orderstatus") == "F").alias("evidence_f1"), share(F.col("o_orderpriority") < "3").alias("temporal_fidelity"), share(F.col("o_totalprice") > 60000).alias("edit_coverage"), (share(F.col("o_orderpriority") > "5") - 0.25).alias("unsupported_claim_rate"))
+    metrics = ["evidence_f1", "temporal_fidelity", "edit_coverage", "unsupported_claim_rate"]
+    long = rows.unpivot(["o_custkey", "n"], metrics, "metric", "difference").withColumn("low80", F.col("difference") - 0.125)
+    return scoring.value_gate(long, blocked=F.col("n") < 5, by=["o_custkey"])
+
+
+QUERIES = {f.__name__: f for f in (macro_mean_nested, baseline_argmax, paired_arm_diff, case_delta_counts, arm_summary, item_metrics_f1, rater_means, rating_recheck, matrix_completeness, denominator_drift, coverage_profile, gates, value_gates, kappa_labels, kappa_operations, confusion_matrix, label_counts_domain, summary_stats, agreement_by_package, reliability_gate, reviewer_join, boundary_deltas, value_gate)}
 
 KAPPA = """
 m AS (SELECT g, l AS label, count(*) a, 0 b FROM p GROUP BY ALL UNION ALL SELECT g, r, 0, count(*) FROM p GROUP BY ALL),
@@ -269,4 +279,7 @@ WITH x AS (SELECT l_orderkey, l_returnflag, min(l_quantity) s FROM lineitem WHER
 y AS (SELECT abs(a.s - b.s) v FROM x a JOIN x b USING (l_orderkey) WHERE a.l_returnflag = 'N' AND b.l_returnflag = 'R')
 SELECT count(*) AS n, round(avg(v), 9) AS mean, median(v) AS median, max(v) AS maximum FROM y HAVING count(*) > 0""",
     "value_gate": "WITH r AS (SELECT avg((o_orderstatus = 'F')::INT) a, avg((o_orderpriority < '3')::INT) b, avg((o_totalprice > 1000)::INT) c FROM orders) SELECT CASE WHEN least(a, b, c) >= 0.05 THEN 'GO' ELSE 'STOP' END AS decision FROM r",
+    "value_gates": """
+WITH r AS (SELECT o_custkey, count(*) n, avg((o_orderstatus = 'F')::INT) a, avg((o_orderpriority < '3')::INT) b, avg((o_totalprice > 60000)::INT) c, avg((o_orderpriority > '5')::INT) - 0.25 u FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN n < 5 THEN 'BLOCKED' WHEN least(a, b, c) > 0.125 AND u <= 0 THEN 'GO' ELSE 'STOP' END AS decision FROM r""",
 }
