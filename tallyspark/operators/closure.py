@@ -59,6 +59,39 @@ def rating_report(plans: DataFrame, assignments: DataFrame, ledger: DataFrame, r
     return out.withColumn("closed", (F.col("assigned") > 0) & (F.col("issues") == 0))
 
 
+# The arms of an item.
+ARMS = ("transcript_only", "static_final_board", "uniform_frame", "oracle_delta")
+
+
+def projection(units: DataFrame) -> DataFrame:
+    """(item, arm, n_units, sha): the hash over an arm's units (item, arm, place, sha) in their order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "sha"))), lambda x: x["sha"])
+    return units.groupBy("item", "arm").agg(F.count(F.lit(1)).alias("n_units"), F.sha2(F.array_join(ordered, "\n"), 256).alias("sha"))
+
+
+def public_issues(private: DataFrame, public: DataFrame, arms: Sequence[str] = ARMS) -> DataFrame:
+    """(item, arm, code) where what is published is not what the private derivation gives.
+
+    private: item, arm, place, sha (units); public: item, arm, n_units, sha. An item publishes each of ``arms`` once and no other, and each with
+    the hash of its own units in their order: a unit that is missing, added, changed or moved is seen by the hash alone."""
+    told = projection(private).select("item", "arm", F.col("n_units").alias("_n"), F.col("sha").alias("_sha"))
+    shown = public.groupBy("item", "arm").agg(F.count(F.lit(1)).alias("times"), F.min("n_units").alias("n_units"), F.min("sha").alias("sha"))
+    both = told.join(shown, ["item", "arm"], "full")
+    known = F.col("arm").isin(*arms)
+    rules = {
+        "arm.unknown": ~F.coalesce(known, F.lit(False)),
+        "public.missing": F.col("times").isNull(),
+        "public.foreign": F.col("_n").isNull(),
+        "public.repeated": F.col("times") > 1,
+        "units.count": F.col("n_units") != F.col("_n"),
+        "projection.sha": ~F.col("sha").eqNullSafe(F.col("_sha")) & F.col("times").isNotNull() & F.col("_n").isNotNull(),
+    }
+    codes = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in rules.items())))
+    held = both.groupBy("item").agg(F.collect_set(F.when(known, F.col("arm"))).alias("_held"))
+    lacking = held.select("item", F.explode(F.array_except(F.array(*map(F.lit, arms)), "_held")).alias("arm"), F.lit("arm.missing").alias("code"))
+    return both.select("item", "arm", F.explode(codes).alias("code")).unionByName(lacking)
+
+
 def entry_digest(request: Column, state: Column, sha: Column) -> Column:
     """The first 48 bits of an entry's hash as a number. A snapshot's digest is their sum: it needs no order, and entries can be taken out of it again."""
     text = F.concat_ws("|", request.cast("string"), state, F.coalesce(sha, F.lit("")))

@@ -63,7 +63,18 @@ def entry_issues(spark: SparkSession, d: str) -> DataFrame:
     return ledger.entry_issues(rows).groupBy("run_id", "request_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (rating_closure, rating_report, checkpoint_replay, checkpoint_issues, entry_issues)}
+def public_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as items, their lines as units of four arms; some orders publish too little, twice, or in another order."""
+    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("part"))
+    arm = F.element_at(F.array(*map(F.lit, closure.ARMS)), (F.col("place") % 4 + 1).cast("int"))
+    units = li.select("item", arm.alias("arm"), "place", F.sha2(F.concat_ws("-", "item", "part"), 256).alias("sha"), "part")
+    turned = units.where("item % 13 <> 0 OR place <> 1").withColumn("place", F.when(F.col("item") % 7 == 0, -F.col("place")).otherwise(F.col("place")))
+    named = closure.projection(turned).withColumn("arm", F.when((F.col("item") % 17 == 0) & (F.col("arm") == closure.ARMS[1]), "final").otherwise(F.col("arm")))
+    shown = named.withColumn("_", F.explode(F.sequence(F.lit(1), F.when(F.col("item") % 19 == 0, 2).otherwise(1)))).drop("_")
+    return closure.public_issues(units.drop("part"), shown.where("item % 23 <> 0"))
+
+
+QUERIES = {f.__name__: f for f in (public_evidence, rating_closure, rating_report, checkpoint_replay, checkpoint_issues, entry_issues)}
 
 
 def follows(before: str, after: str, allowed: dict[str, tuple[str, ...]]) -> str:
@@ -109,4 +120,12 @@ SELECT r AS run_id, q AS request_id, code, count(*) AS n FROM (SELECT r, q, unne
   CASE WHEN s0 = 'DISPATCH_INTENT_COMMITTED' AND s IN ('RECEIPT_COMMITTED', 'BLOCKED_AMBIGUOUS', 'FAILED_CLOSED') AND NOT (si AND a IS NOT NULL AND NOT sa AND u = u0 + 1) THEN 'attempt.unbound' END,
   CASE WHEN s0 = 'RECEIPT_COMMITTED' AND s IN ('RETRY_READY', 'SCHEMA_VALIDATED_COMMITTED') AND NOT (si AND sa AND su) THEN 'receipt.provenance' END, CASE WHEN s0 = 'RETRY_READY' AND s = 'DISPATCH_INTENT_COMMITTED' AND (NOT sa OR NOT su OR si) THEN 'retry.provenance' END,
   CASE WHEN s0 = 'PENDING' AND s = 'FAILED_CLOSED' AND (i IS NOT NULL OR a IS NOT NULL OR u <> 0) THEN 'fail_closed.unclean' END, CASE WHEN s = 'FAILED_CLOSED' AND s0 NOT IN ('PENDING', 'DISPATCH_INTENT_COMMITTED') AND NOT (si AND sa AND su) THEN 'fail_closed.provenance' END], lambda x: x IS NOT NULL)) AS code FROM t) GROUP BY ALL""",
+    "public_evidence": f"""
+WITH a AS (SELECT unnest([{', '.join(repr(x) for x in closure.ARMS)}]) AS arm), li AS (SELECT l_orderkey AS o, l_linenumber AS n, [{', '.join(repr(x) for x in closure.ARMS)}][l_linenumber % 4 + 1] AS arm, sha256(l_orderkey || '-' || l_partkey) AS h FROM lineitem),
+p AS (SELECT o, arm, count(*) AS n, string_agg(h, chr(10) ORDER BY li.n, h) AS s FROM li GROUP BY o, arm),
+s AS (SELECT o, CASE WHEN o % 17 = 0 AND arm = '{closure.ARMS[1]}' THEN 'final' ELSE arm END AS arm, count(*) AS n, CASE WHEN o % 7 = 0 THEN string_agg(h, chr(10) ORDER BY li.n DESC, h) ELSE string_agg(h, chr(10) ORDER BY li.n, h) END AS s FROM li WHERE (o % 13 <> 0 OR li.n <> 1) AND o % 23 <> 0 GROUP BY o, li.arm),
+b AS (SELECT coalesce(p.o, s.o) AS o, coalesce(p.arm, s.arm) AS arm, p.n AS pn, s.n AS sn, p.s AS ps, s.s AS ss FROM p FULL JOIN s ON p.o = s.o AND p.arm = s.arm)
+SELECT o AS item, arm, unnest(list_filter([CASE WHEN arm = 'final' THEN 'arm.unknown' END, CASE WHEN sn IS NULL THEN 'public.missing' END, CASE WHEN pn IS NULL THEN 'public.foreign' END, CASE WHEN sn IS NOT NULL AND o % 19 = 0 THEN 'public.repeated' END,
+  CASE WHEN pn <> sn THEN 'units.count' END, CASE WHEN ps <> ss THEN 'projection.sha' END], lambda x: x IS NOT NULL)) AS code FROM b
+UNION ALL SELECT o, arm, 'arm.missing' FROM (SELECT DISTINCT o FROM li), a WHERE (o, arm) NOT IN (SELECT (o, arm) FROM b)""",
 }

@@ -80,3 +80,19 @@ def test_replay_gives_each_snapshot(spark):
     assert closure.replay_issues(e, claimed, STATES).count() == 0
     wrong = claimed.withColumn("on", F.col("on") + F.when((F.col("run_id") == "u") & (F.col("generation") == 3), 1).otherwise(0)).withColumn("digest", F.when(F.col("generation") == 4, F.lit(0)).otherwise(F.col("digest")))
     assert {tuple(x) for x in closure.replay_issues(e, wrong, STATES).where("run_id <> 'none'").collect()} == {("u", 3, "snapshot.on"), ("u", 4, "snapshot.digest"), ("v", 4, "snapshot.digest")}
+
+
+def test_published_arms_against_their_units(spark):
+    units = [(i, arm, n, f"{i}{arm}{n}") for i in (1, 2) for arm in closure.ARMS for n in range(3)]
+    private = spark.createDataFrame(units, "item int, arm string, place int, sha string")
+    public = closure.projection(private)
+    found = lambda p: {tuple(r) for r in closure.public_issues(private, p).collect()}
+    assert found(public) == set()
+    assert found(public.where("item = 1 OR arm <> 'oracle_delta'")) == {(2, "oracle_delta", "public.missing")}
+    assert found(public.unionByName(public.where("item = 2 AND arm = 'uniform_frame'"))) == {(2, "uniform_frame", "public.repeated")}
+    turned = closure.projection(private.withColumn("place", F.when(F.col("item") == 1, -F.col("place")).otherwise(F.col("place"))))
+    assert found(turned) == {(1, arm, "projection.sha") for arm in closure.ARMS}
+    fewer = closure.projection(private.where("item = 2 OR place > 0"))
+    assert found(fewer) == {(1, arm, code) for arm in closure.ARMS for code in ("units.count", "projection.sha")}
+    more = spark.createDataFrame([(3, "other", 1, "x")], "item int, arm string, n_units long, sha string")
+    assert found(public.unionByName(more)) == {(3, "other", "arm.unknown"), (3, "other", "public.foreign")} | {(3, arm, "arm.missing") for arm in closure.ARMS}
