@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.retrieval import fabricated_outcome
+from tallyspark.operators.retrieval import MAY_ASSERT, fabricated_outcome
 
 SAFE = 9_007_199_254_740_991
 
@@ -65,28 +64,40 @@ SHOWN = (f"{ACTION}/*/content", f"{ACTION}/*/region", f"{CLAIM}/*/claim")
 TAUGHT = (f"{CAPABILITY}/name", f"{CAPABILITY}/mechanism", f"{CAPABILITY}/action_program/*")
 
 
-def parsed(text: Column) -> Column:
-    """The one JSON value of a text as a variant; null for what is no JSON, repeats a key, nests too deep or goes on after the value."""
-    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.schema_of_variant(inside).startswith("ARRAY") & F.try_variant_get(inside, "$[1]", "variant").isNull()
-    return F.when(one & ~text.startswith("﻿"), F.try_variant_get(inside, "$[0]", "variant"))
+def parsed(answers: DataFrame) -> DataFrame:
+    """``answers`` with value: the one JSON value of text as a variant; null for what is no JSON, repeats a key, nests too deep or goes on after the value.
 
+    Each step is a column of its own, so that a text is parsed once."""
+    inside = answers.withColumn("_in", F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]"))))
+    one = F.try_variant_get("_in", "$[1]", "variant").isNull() & ~F.col("text").startswith("﻿")
+    return inside.withColumn("value", F.when(one, F.try_variant_get("_in", "$[0]", "variant"))).drop("_in")
 
-def nodes(answers: DataFrame, depth: int) -> DataFrame:
-    """(id, arm, pattern, above, pointer, pos, kind, value) of the nodes down to ``depth`` of ``answers`` (id, arm, text) that are JSON."""
-    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    root = answers.withColumn("value", parsed(F.col("text"))).where("value IS NOT NULL")
-    level = root.select("id", "arm", F.lit("").alias("pattern"), F.lit(None).cast("string").alias("above"), F.lit("").alias("pointer"), F.lit(0).alias("pos"), kind("value").alias("kind"), "value")
-    levels = [level]
+
+def nodes(answers: DataFrame, known: Sequence[str], more: bool = False) -> DataFrame:
+    """(id, arm, pattern, above, pointer, kind, value) of the nodes of ``answers`` (id, arm, text) that stand at ``known`` patterns or above them.
+
+    ``more``: also what else lies directly below such a node. A text that is no JSON is one node without kind. The texts are parsed once and
+    walked in one pass: at each level a node that goes on is taken twice, as itself and to be opened, all others once."""
+    c = F.col
+    ways = sorted({"/".join(steps[:i]) for steps in (p.split("/") for p in known) for i in range(1, len(steps) + 1)})
+    deep = lambda n: [w for w in ways if w.count("/") == n]
+    kind = F.substring_index(F.substring_index(F.schema_of_variant("value"), "<", 1), "(", 1)
+    key = F.replace(F.replace(c("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     tvf = answers.sparkSession.tvf
-    for _ in range(depth):
-        under = level.where(F.col("kind").isin("OBJECT", "ARRAY")).select("id", "arm", F.col("pattern").alias("above"), F.col("pointer").alias("_at"), F.col("value").alias("_v"))
-        each = under.lateralJoin(tvf.variant_explode(F.col("_v").outer()))
-        key = F.replace(F.replace(F.col("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-        step, at = F.when(F.col("key").isNull(), "*").otherwise(key), F.when(F.col("key").isNull(), F.col("pos").cast("string")).otherwise(key)
-        level = each.select("id", "arm", F.concat_ws("/", "above", step).alias("pattern"), "above", F.concat_ws("/", "_at", at).alias("pointer"), "pos", kind("value").alias("kind"), "value")
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    rows = parsed(answers).select("id", "arm", F.lit("").alias("pattern"), F.lit(None).cast("string").alias("above"), F.lit("").alias("pointer"), "value").withColumn("kind", kind)
+    for depth in range(max(w.count("/") for w in ways) + more):
+        below = deep(depth + 1)
+        goes_on = c("kind").isin("OBJECT", "ARRAY") & c("pattern").isin(*(w for w in deep(depth) if more or any(v.startswith(f"{w}/") for v in below)))
+        twice = rows.withColumn("_open", F.explode(F.when(goes_on, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        twice = twice.withColumns({"_v": F.when(c("_open"), c("value")), "_self": F.when(~c("_open"), c("value"))}).drop("value")
+        each = twice.lateralJoin(tvf.variant_explode_outer(c("_v").outer())).where(~c("_open") | c("value").isNotNull())
+        step, at = F.when(c("key").isNull(), "*").otherwise(key), F.when(c("key").isNull(), c("pos").cast("string")).otherwise(key)
+        child = lambda name, x: F.when(c("_open"), x).otherwise(c(name)).alias(name)
+        rows = each.select("id", "arm", child("pattern", F.concat_ws("/", "pattern", step)), child("above", c("pattern")), child("pointer", F.concat_ws("/", "pointer", at)), F.coalesce("_self", "value").alias("value"), F.when(~c("_open"), c("kind")).alias("_kind"))
+        if not more:
+            rows = rows.where(c("pattern").isin(*ways))
+        rows = rows.withColumn("kind", F.coalesce("_kind", kind)).drop("_kind")
+    return rows
 
 
 def schema_issues(answers: DataFrame, schema: Sequence[Node] = RESPONSE) -> DataFrame:
@@ -94,40 +105,37 @@ def schema_issues(answers: DataFrame, schema: Sequence[Node] = RESPONSE) -> Data
 
     json.invalid stands alone: a text that is null, no JSON, or has more behind its value, a key twice or a byte order mark. key.missing is said of the
     object, key.unknown of the key; nothing is said of what stands below a node of the wrong kind or an unknown key. The schema is a few rows that all
-    tasks get; the only shuffle is that of the numbers that must rise."""
+    tasks get; one walk gives all codes but those of the numbers that must rise, which take a walk to them alone and meet by answer."""
     spark = answers.sparkSession
-    known = F.broadcast(spark.createDataFrame([(n.pattern, list(n.kinds), list(n.values), {k: list(v) for k, v in n.arms}, n.filled, n.rising, bool(n.keys)) for n in schema], "pattern string, kinds array<string>, texts array<string>, arms map<string,array<string>>, filled boolean, rising boolean, object boolean"))
-    found = nodes(answers, max(n.pattern.count("/") for n in schema) + 1)
-    rows = found.join(known, "pattern", "left")
+    known = F.broadcast(spark.createDataFrame([(n.pattern, list(n.kinds), list(n.values), {k: list(v) for k, v in n.arms}, n.filled, n.rising, list(n.keys)) for n in schema], "pattern string, kinds array<string>, texts array<string>, arms map<string,array<string>>, filled boolean, rising boolean, asked array<string>"))
     c = F.col
-    text = F.when(c("kind") == "STRING", F.try_variant_get("value", "$", "string"))
     number = F.when(c("kind") == "BIGINT", F.try_variant_get("value", "$", "long"))
+    rows = nodes(answers, [n.pattern for n in schema], more=True).join(known, "pattern", "left")
+    rows = rows.withColumn("_text", F.when(c("kind") == "STRING", F.try_variant_get("value", "$", "string"))).withColumn("_number", number)
     fits = F.array_contains("kinds", c("kind"))
     permitted = F.coalesce(F.try_element_at("arms", c("arm")), c("texts"))
-    blank = F.regexp_replace(text, r"[\s﻿]+", "") == ""
+    blank = F.regexp_replace("_text", r"[\s﻿]+", "") == ""
     empty = (c("kind") == "ARRAY") & F.try_variant_get("value", "$[0]", "variant").isNull()
+    objects = [n.pattern for n in schema if n.keys]
     checks = {
+        "json.invalid": (c("pattern") == "") & c("kind").isNull(),
         "type": ~fits,
-        "number.unsafe": F.abs(number) > SAFE,
-        "value": fits & (F.size("texts") > 0) & ~F.array_contains(permitted, text),
+        "number.unsafe": c("kinds").isNotNull() & (F.abs("_number") > SAFE),
+        "value": fits & (F.size("texts") > 0) & ~F.array_contains(permitted, c("_text")),
         "blank": fits & c("filled") & blank,
         "empty": fits & c("filled") & empty,
+        "key.unknown": c("kinds").isNull() & c("above").isin(*objects) & ~c("pattern").endswith("/*"),
     }
-    codes = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in checks.items())))
-    whole = F.array_compact(F.array(*(F.when((c("pattern") == n.pattern) & (c("kind") == "OBJECT") & F.try_variant_get("value", f"$['{k}']", "variant").isNull(), F.lit(k)) for n in schema for k in n.keys)))
-    objects = [n.pattern for n in schema if n.keys]
+    lacks = F.when((c("kind") == "OBJECT") & (F.size("asked") > 0), F.array_except("asked", F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))))
+    rows = rows.withColumn("_codes", F.array_remove(F.array(*(F.when(bad, F.lit(code)).otherwise(F.lit("")) for code, bad in checks.items())), "")).withColumn("_lacks", lacks)
+    codes = F.when(F.size("_lacks") > 0, F.concat("_codes", F.transform("_lacks", lambda k: F.concat(F.lit("key.missing:"), k)))).otherwise(c("_codes"))
     order = Window.partitionBy("id", "pattern").orderBy(F.expr("CAST(split(pointer, '/')[2] AS INT)"), "pointer")
-    numbers = rows.where(c("rising")).select("id", "pattern", "pointer", number.alias("n")).where("n IS NOT NULL").withColumn("_before", F.lag("n", 1, 0).over(order))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            answers.where(parsed(c("text")).isNull()).select("id", F.lit("").alias("pointer"), F.lit("json.invalid").alias("code")),
-            rows.where("kinds IS NOT NULL").select("id", "pointer", F.explode(codes).alias("code")),
-            found.select("id", "pointer", F.explode(whole).alias("_key")).select("id", "pointer", F.concat(F.lit("key.missing:"), "_key").alias("code")),
-            rows.where(c("kinds").isNull() & c("above").isin(*objects) & ~c("pattern").endswith("/*")).select("id", "pointer", F.lit("key.unknown").alias("code")),
-            numbers.where("n <= _before").select("id", "pointer", F.lit("order").alias("code")),
-        ],
-    )
+    rising = [n.pattern for n in schema if n.rising]
+    found = rows.select("id", "pointer", F.explode(codes).alias("code"))
+    if not rising:
+        return found
+    numbers = nodes(answers, rising).where(c("pattern").isin(*rising)).select("id", "pattern", "pointer", number.alias("n")).where("n IS NOT NULL").withColumn("_before", F.lag("n", 1, 0).over(order))
+    return found.unionByName(numbers.where("n <= _before").select("id", "pointer", F.lit("order").alias("code")))
 
 
 def lint(answers: DataFrame) -> DataFrame:
@@ -135,8 +143,10 @@ def lint(answers: DataFrame) -> DataFrame:
 
     lint.learner: what is shown or claimed names learners; lint.outcome: a text asserts that they achieved something; lint.uncertainty: in an
     uncertainty, a clause from the first that names learners on says nothing of not knowing."""
-    texts = nodes(answers, 3).where((F.col("kind") == "STRING") & F.col("pattern").isin(*SHOWN, *TAUGHT, "/uncertainties/*")).select("id", "pattern", "pointer", F.try_variant_get("value", "$", "string").alias("text"))
+    patterns = (*SHOWN, *TAUGHT, "/uncertainties/*")
+    texts = nodes(answers, patterns).where((F.col("kind") == "STRING") & F.col("pattern").isin(*patterns)).select("id", "pattern", "pointer", F.try_variant_get("value", "$", "string").alias("text"))
     named, shown = F.col("text").rlike(LEARNER) | F.col("text").rlike(PRONOUN), F.col("pattern").isin(*SHOWN)
+    texts = texts.where(named | F.col("text").rlike(MAY_ASSERT))  # no other text can get a code
     clauses = F.filter(F.split("text", BOUNDARY), lambda x: F.trim(x) != "")
     from_first = F.slice(clauses, F.greatest(F.array_position(F.transform(clauses, lambda x: x.rlike(LEARNER)), True), F.lit(1)), F.greatest(F.size(clauses), F.lit(1)))
     unmarked = F.exists(clauses, lambda x: x.rlike(LEARNER)) & F.exists(from_first, lambda x: ~x.rlike(UNSURE))

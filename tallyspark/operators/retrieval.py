@@ -182,6 +182,8 @@ class OutcomeGuard:
 ZH = OutcomeGuard(ZH_SUBJECT, ZH_OUTCOME, ZH_PREFIX, ZH_MODAL, ZH_CLAUSE, 16, 48)
 EN = OutcomeGuard(EN_SUBJECT, EN_OUTCOME, EN_PREFIX, EN_MODAL, EN_CLAUSE, 32, 80)
 NAMED = re.compile(ZH_NAMED)
+#: What every text that asserts an outcome has, as a pattern of SQL.
+MAY_ASSERT = f"(?iu){ZH_SUBJECT}|{EN_SUBJECT}|作答|答对|做对"
 
 
 def asserts_outcome(text: str) -> bool:
@@ -197,7 +199,7 @@ def fabricated_outcome(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def outcome_flags(rows: DataFrame, text: str, flag: str) -> DataFrame:
     """``rows`` with ``fabricated_outcome`` of a text as ``flag``. Only texts that name a subject, or an answer given, are looked at in Python."""
-    may = F.col(text).rlike(f"(?iu){ZH_SUBJECT}|{EN_SUBJECT}|作答|答对|做对")
+    may = F.col(text).rlike(MAY_ASSERT)
     return rows.where(may).withColumn(flag, fabricated_outcome(text)).unionByName(rows.where(F.coalesce(~may, F.lit(True))).withColumn(flag, F.when(F.col(text).isNotNull(), F.lit(False))))
 
 
