@@ -2,7 +2,9 @@
 
 A bundle is one nested row (``schemas.BUNDLE``). Its child arrays become tables keyed by bundle; references are joins
 on (bundle_id, id), membership tests are array functions, and order tests are windows by place. All rules of a table
-are evaluated in one pass over it, so a batch of bundles costs a fixed number of joins however many rules there are."""
+are evaluated in one pass over it, so a batch of bundles costs a fixed number of joins however many rules there are.
+Every join is a merge of two shuffles: all tables grow with the bundles, and shuffled sizes, small when packed, would send
+dozens of them through the driver to be broadcast at once."""
 
 from __future__ import annotations
 
@@ -100,16 +102,16 @@ def report(rows: DataFrame, entity: str, id_: str, rules: dict[str, Column]) ->
 def lookup(rows: DataFrame, table: DataFrame, on: str, id_: str, name: str, *columns: str) -> DataFrame:
     """``rows`` with struct column ``name`` of the row of ``table`` that ``on`` names (null where there is none; of repeated ids the first)."""
     own = table.groupBy("bundle_id", F.col(id_).alias(on)).agg(F.min_by(F.struct(F.col(id_).alias("id"), *columns), "place").alias(name))
-    return rows.join(own, ["bundle_id", on], "left")
+    return rows.join(own.hint("merge"), ["bundle_id", on], "left")
 
 
 def gather(rows: DataFrame, table: DataFrame, refs: str, key: str, id_: str, name: str, *columns: str) -> DataFrame:
     """``rows`` with array column ``name``: for each reference of ``refs``, struct(ref, found, columns...)."""
     targets = table.groupBy("bundle_id", F.col(id_).alias("ref")).agg(F.min_by(F.struct(*columns), "place").alias("_t"))
     asked = rows.select("bundle_id", "place", F.posexplode(refs).alias("_i", "ref"))
-    told = asked.join(targets, ["bundle_id", "ref"], "left").groupBy("bundle_id", "place").agg(F.array_sort(F.collect_list(F.struct("_i", "ref", F.col("_t").isNotNull().alias("found"), F.col("_t").alias("t")))).alias(name))
+    told = asked.join(targets.hint("merge"), ["bundle_id", "ref"], "left").groupBy("bundle_id", "place").agg(F.array_sort(F.collect_list(F.struct("_i", "ref", F.col("_t").isNotNull().alias("found"), F.col("_t").alias("t")))).alias(name))
     shape = told.schema[name].dataType
-    return rows.join(told, ["bundle_id", "place"], "left").withColumn(name, F.coalesce(name, F.array().cast(shape)))
+    return rows.join(told.hint("merge"), ["bundle_id", "place"], "left").withColumn(name, F.coalesce(name, F.array().cast(shape)))
 
 
 def evidence_rules(refs: Column, asked: Column, video: Column, kinds: tuple[str, ...] | None = None, surface: Column | None = None) -> dict[str, Column]:
@@ -141,7 +143,7 @@ def bundle_issues(bundles: DataFrame) -> DataFrame:
     kinds = [(frames, "frame", "frame_id", spot("timestamp"), F.col("surface_id")), (states, "board_state", "state_id", same("stable_during"), F.col("surface_id")), (deltas, "board_delta", "delta_id", same("time"), F.col("surface_id")), (speech, "speech", "speech_id", same("time"), F.lit(None).cast("string"))]
     targets = reduce(DataFrame.unionByName, [df.select("bundle_id", F.lit(kind).alias("kind"), F.col(i).alias("target_id"), time.alias("target_time"), s.alias("target_surface"), "place") for df, kind, i, time, s in kinds])
     targets = targets.groupBy("bundle_id", "kind", "target_id").agg(F.min_by(F.struct("target_time", "target_surface"), "place").alias("_target"))
-    known = evidence.join(targets, ["bundle_id", "kind", "target_id"], "left").withColumns({"has_target": F.col("_target").isNotNull(), "target_time": F.col("_target.target_time"), "target_surface": F.col("_target.target_surface")}).drop("_target")
+    known = evidence.join(targets.hint("merge"), ["bundle_id", "kind", "target_id"], "left").withColumns({"has_target": F.col("_target").isNotNull(), "target_time": F.col("_target.target_time"), "target_surface": F.col("_target.target_surface")}).drop("_target")
     ev = ("kind", "source_video_id", "target_id", "target_surface", "target_time", "evidence_level", "asset")
     with_evidence = lambda df: gather(df, known, "evidence_refs", "place", "evidence_id", "_ev", *ev)
     refs, asked = F.col("_ev"), F.col("evidence_refs")
@@ -327,4 +329,4 @@ def bundle_issues(bundles: DataFrame) -> DataFrame:
 def validity(bundles: DataFrame, issues: DataFrame) -> DataFrame:
     """(bundle_id, n_issues, valid)."""
     n = issues.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n_issues"))
-    return bundles.select("bundle_id").join(n, "bundle_id", "left").select("bundle_id", F.coalesce("n_issues", F.lit(0)).alias("n_issues"), F.col("n_issues").isNull().alias("valid"))
+    return bundles.select("bundle_id").join(n.hint("merge"), "bundle_id", "left").select("bundle_id", F.coalesce("n_issues", F.lit(0)).alias("n_issues"), F.col("n_issues").isNull().alias("valid"))

@@ -15,3 +15,9 @@ def test_each_broken_bundle_gives_its_code(spark):
     assert not wrong
     valid = {r.bundle_id for r in validate.validity(rows, issues).where("valid").collect()}
     assert valid == {n for n, (_, code) in CASES.items() if code is None}
+
+
+def test_no_table_of_a_bundle_goes_through_the_driver(spark):
+    rows = spark.createDataFrame(documents()[:3], "name string, body string").select(F.from_json("body", BUNDLE).alias("b")).select("b.*")
+    plan = validate.bundle_issues(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
