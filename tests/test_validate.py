@@ -17,7 +17,8 @@ def test_each_broken_bundle_gives_its_code(spark):
     assert valid == {n for n, (_, code) in CASES.items() if code is None}
 
 
-def test_no_table_of_a_bundle_goes_through_the_driver(spark):
-    rows = spark.createDataFrame(documents()[:3], "name string, body string").select(F.from_json("body", BUNDLE).alias("b")).select("b.*")
-    plan = validate.bundle_issues(rows)._jdf.queryExecution().executedPlan().toString()
+def test_no_table_of_a_bundle_goes_through_the_driver(spark, tmp_path):
+    at = str(tmp_path / "bundles")
+    spark.createDataFrame(documents()[:3], "name string, body string").select(F.from_json("body", BUNDLE).alias("b")).select("b.*").write.parquet(at)
+    plan = validate.bundle_issues(spark.read.parquet(at))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
