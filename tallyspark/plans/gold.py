@@ -47,7 +47,7 @@ def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def gold_faults(spark: SparkSession, d: str) -> DataFrame:
-    return gold.compile_gold(*inputs(spark, d))[1]
+    return gold.judged(*inputs(spark, d))[2]
 
 
 def gold_bundles(spark: SparkSession, d: str) -> DataFrame:

@@ -110,3 +110,19 @@ def test_no_bundles_and_no_decisions(spark):
     made, faults = run(spark, [drafts()], [])
     assert made.count() == 1 and faults.count() == 0
     assert gold.compile_gold(spark.createDataFrame([], BUNDLE), *[x.limit(0) for x in (spark.createDataFrame([("b", "g", "t", 0.0)], "bundle_id string, adjudication_id string, created_at string, offset double"), spark.createDataFrame([decided("b", 1)], DECISION), spark.createDataFrame([("b", 0, 0.0, 1.0, "t")], "bundle_id string, index int, start double, end double, text string"))])[0].count() == 0
+
+
+def test_documents_are_parsed_once_and_joined_by_merges(spark, monkeypatch):
+    plans = []
+    write = gold.materialise
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(gold, "materialise", seen)
+    from tallyspark.plans import gold as plan
+
+    plan.gold_faults(spark, "/root/testdata/sf0.001").count()
+    assert [name for name, p in plans if "from_json" in p] == ["bundles"]
+    assert not any("BroadcastExchange" in p for _, p in plans)
