@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators import closure, ledger
-from tallyspark.sources.tables import load
+from tallyspark.sources.tables import dealt, load
 
 STATES = ("view", "click", "purchase")
 RUN = ("SEALED_READY", "RUNNING", "INTERRUPTED_SAFE", "BLOCKED_AMBIGUOUS", "FAILED_CLOSED", "EXECUTION_COMPLETE")
@@ -15,7 +15,7 @@ RUN = ("SEALED_READY", "RUNNING", "INTERRUPTED_SAFE", "BLOCKED_AMBIGUOUS", "FAIL
 def rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """A plan a customer, its orders as items: assigned in order, answered with gaps, doubles and swaps, and sealed."""
     o = load(spark, d, "orders").select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("item"), F.datediff("o_orderdate", F.lit("1970-01-01")).alias("day"), F.concat_ws("-", "o_orderstatus", "o_orderpriority").alias("sha"))
-    o = o.withColumn("rater", F.when(F.col("item") % 2 == 0, "A").otherwise("B")).withColumn("n", F.row_number().over(Window.partitionBy("plan", "rater").orderBy("item")))
+    o = dealt(o.withColumn("rater", F.when(F.col("item") % 2 == 0, "A").otherwise("B")), "plan", "rater").withColumn("n", F.row_number().over(Window.partitionBy("plan", "rater").orderBy("item")))
     plans = load(spark, d, "customer").where("c_custkey % 41 <> 0").select(F.col("c_custkey").alias("plan"), F.lit(10_000).alias("sealed_at"))
     assigned = o.where("item % 11 <> 0").select("plan", "rater", "item", F.col("n").alias("place"))
     twice = F.explode(F.sequence(F.lit(1), F.when(F.col("item") % 19 == 0, 2).otherwise(1)))

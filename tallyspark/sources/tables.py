@@ -11,6 +11,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task takes, about.
+ROWS_A_TASK = 100_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` of a stored table, dealt by ``keys`` to as many tasks as its size asks for: no task's share grows with the table.
+
+    What is grouped by these keys, alone or with others, needs no shuffle of its own. The number is given, as packed sizes, by which
+    Spark would join tasks, say little of a task's memory."""
+    return rows.repartition(rows.count() // ROWS_A_TASK + 1, *keys)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet below ``spark.checkpoint.dir`` and reads it again, without its lineage.
 

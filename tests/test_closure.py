@@ -96,3 +96,15 @@ def test_published_arms_against_their_units(spark):
     assert found(fewer) == {(1, arm, code) for arm in closure.ARMS for code in ("units.count", "projection.sha")}
     more = spark.createDataFrame([(3, "other", 1, "x")], "item int, arm string, n_units long, sha string")
     assert found(public.unionByName(more)) == {(3, "other", "arm.unknown"), (3, "other", "public.foreign")} | {(3, arm, "arm.missing") for arm in closure.ARMS}
+
+
+def test_tasks_grow_in_number_with_the_ratings(spark, monkeypatch):
+    from tallyspark.plans import closures, derivations
+    from tallyspark.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    orders = tables.load(spark, "/root/testdata/sf0.001", "orders").count()
+    plan = closures.rating_closure(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert f", {orders // 100 + 1}), REPARTITION_BY_NUM" in plan
+    plan = derivations.lines(spark, "/root/testdata/sf0.001").groupBy("o").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
