@@ -18,7 +18,8 @@ def on_cycles(edges_of: DataFrame, child: str, parent: str) -> DataFrame:
     What stays is exactly the part that no order of the nodes can place. Where no child has two parents, ways are
     doubled, so rounds grow with the logarithm of the longest chain. Else each round drops the edges whose parent
     has no parent left, or whose child no child, until nothing changes, however many rounds that takes. Every round is
-    written to the shared checkpoint folder: no lineage grows and no executor's cache is needed."""
+    written to the shared checkpoint folder: no lineage grows and no executor's cache is needed. Joins are merges: what a round keeps
+    grows with the graph, and its packed size would have it broadcast through the driver in each round."""
     edges = edges_of.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct()
     edges = materialise(edges, "cycle-edges")
     n = edges.count()
@@ -27,7 +28,7 @@ def on_cycles(edges_of: DataFrame, child: str, parent: str) -> DataFrame:
         return edges.select(F.col("c").alias("node"))
     while n:
         up, down = edges.select(F.col("c").alias("p")).distinct(), edges.select(F.col("p").alias("c")).distinct()
-        edges = materialise(edges.join(up, "p", "left_semi").join(down, "c", "left_semi"), "cycle-edges")
+        edges = materialise(edges.join(up.hint("merge"), "p", "left_semi").join(down.hint("merge"), "c", "left_semi"), "cycle-edges")
         left = edges.count()
         if left == n:
             break
@@ -41,9 +42,9 @@ def on_functional_cycles(edges: DataFrame, n: int) -> DataFrame:
     After a way of n steps or more every node that still has an ancestor is at one on a cycle, and every node of a cycle is reached."""
     ways, steps = edges, 1
     while steps < n:
-        ways = materialise(ways.join(ways.select(F.col("c").alias("p"), F.col("p").alias("q")), "p").select("c", F.col("q").alias("p")), "cycle-ways")
+        ways = materialise(ways.join(ways.select(F.col("c").alias("p"), F.col("p").alias("q")).hint("merge"), "p").select("c", F.col("q").alias("p")), "cycle-ways")
         steps *= 2
-    return edges.join(ways.select(F.col("p").alias("c")).distinct(), "c", "left_semi")
+    return edges.join(ways.select(F.col("p").alias("c")).distinct().hint("merge"), "c", "left_semi")
 
 
 def cycle_components(edges_of: DataFrame, child: str, parent: str) -> DataFrame:

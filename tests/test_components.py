@@ -57,3 +57,17 @@ def test_a_long_chain_with_a_second_parent_takes_few_rounds(spark, monkeypatch):
     assert told(spark, chain) == set() and len(rounds) < 30
     rounds.clear()
     assert told(spark, chain | {(5, 2990)}) == {(i, 2990) for i in range(5, 2991)} and len(rounds) < 60
+
+
+def test_rounds_of_the_cycle_check_are_not_broadcast(spark, tmp_path, monkeypatch):
+    at, plans = str(tmp_path / "edges"), []
+    spark.createDataFrame([(1, 2), (2, 1), (1, 3), (4, 1), (5, 4)], "c long, p long").write.parquet(at)
+    write = graph.materialise
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "materialise", seen)
+    assert sorted(r.node for r in graph.on_cycles(spark.read.parquet(at), "c", "p").collect()) == [1, 2]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
