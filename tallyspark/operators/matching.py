@@ -6,7 +6,7 @@ there whole needles are looked up by the text itself. A hash that is hit by chan
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -112,10 +112,10 @@ def fits(needles: DataFrame) -> bool:
     return n <= MOST and chars <= MOST_CHARS
 
 
-def match_all(hays: DataFrame, needles: DataFrame, gram: int) -> DataFrame:
+def match_all(hays: DataFrame, needles: DataFrame, gram: int, form: Callable[[str], str] = str) -> DataFrame:
     """(hay_id, needle_id) for each row of ``hays`` (hay_id, hay) and of ``needles`` (needle_id, needle; not empty) that lies inside it. No shuffle.
 
-    The needles go to every task, so their size must be checked first (``fits``); texts are read once."""
+    The needles go to every task, so their size must be checked first (``fits``); texts are read once, each in its ``form``."""
     spark = hays.sparkSession
     table = needles.select("needle_id", "needle").toArrow()
     sent = spark.sparkContext.broadcast((table["needle_id"].combine_chunks(), table["needle"].to_pylist()))
@@ -128,8 +128,8 @@ def match_all(hays: DataFrame, needles: DataFrame, gram: int) -> DataFrame:
         for batch in batches:
             rows: list[int] = []
             found: list[int] = []
-            for i, text in enumerate(batch.column("hay").to_pylist()):
-                own = made[0].found(text)
+            for i, text in enumerate(batch.column("hay")):  # one text at a time is Python's
+                own = made[0].found(form(text.as_py()))
                 rows += [i] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([batch.column("hay_id").take(pa.array(rows, pa.int64())), ids.take(pa.array(found, pa.int64()))], ["hay_id", "needle_id"])

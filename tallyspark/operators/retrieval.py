@@ -7,10 +7,11 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from tallyspark.functions.text import search_tokens
 from tallyspark.operators import matching
@@ -118,30 +119,39 @@ def rank(questions: DataFrame, records: DataFrame, k: int) -> DataFrame:
     return best(scored(pairs)).select("question_id", "record_id", F.round("raw", 4).alias("score"), "place")
 
 
+#: Texts of a batch that are made Python's at a time.
+FEW = 256
 #: Characters that do not count besides white space, zero-width ones first.
 UNSEEN = ("\u200b", "\u200c", "\u200d", "\u2060", "\ufeff", "_", ".", ":", "/", "-")
 
 
-@pandas_udf(T.StringType())
-def leak_normal(text: pd.Series) -> pd.Series:
-    """Compatibility form, lower case, without blanks, zero-width characters and _ . : / -"""
+def leak_form(t: str | None) -> str | None:
+    if t is None:
+        return None
+    t = "".join((t if t.isascii() else unicodedata.normalize("NFKC", t)).split())
+    for c in UNSEEN:
+        t = t.replace(c, "")
+    return t.lower()
 
-    def form(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = "".join((t if t.isascii() else unicodedata.normalize("NFKC", t)).split())
-        for c in UNSEEN:
-            t = t.replace(c, "")
-        return t.lower()
 
-    return text.map(form)
+@arrow_udf(T.StringType())
+def leak_normal(text: pa.Array) -> pa.Array:
+    """Compatibility form, lower case, without blanks, zero-width characters and _ . : / -
+
+    Few texts of a batch are Python's at a time."""
+    parts = [pa.array([leak_form(t) for t in text.slice(i, FEW).to_pylist()], pa.string()) for i in range(0, len(text), FEW)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def leaks(public: DataFrame, private: DataFrame, text: str, value: str, least: int = 4) -> DataFrame:
     """Distinct (public_id, private_id) where a normalised private value of ``least`` characters or more lies inside a normalised public text."""
-    hays = public.select(F.col("public_id").alias("hay_id"), leak_normal(text).alias("hay"))
-    needles = private.select(F.col("private_id").alias("needle_id"), leak_normal(value).alias("needle")).where(F.length("needle") >= least)
-    return substring_pairs(hays, needles).select(F.col("hay_id").alias("public_id"), F.col("needle_id").alias("private_id"))
+    hays = public.select(F.col("public_id").alias("hay_id"), F.col(text).alias("hay"))
+    needles = private.select(F.col("private_id").alias("needle_id"), leak_normal(value).alias("needle")).where((F.length("needle") >= least) & (F.col("needle") != ""))
+    if matching.fits(needles):  # texts are normalised where they are matched: one Python worker a task
+        found = matching.match_all(hays, needles, 12, leak_form).distinct()
+    else:
+        found = joined_pairs(hays.withColumn("hay", leak_normal("hay")), needles)
+    return found.select(F.col("hay_id").alias("public_id"), F.col("needle_id").alias("private_id"))
 
 
 # Words of the guard against asserted learner outcomes.

@@ -46,3 +46,15 @@ def test_both_ways_give_the_same_pairs(spark, pairs):
 def test_no_needles(spark):
     hays = spark.createDataFrame([(1, "a")], "hay_id long, hay string")
     assert retrieval.substring_pairs(hays, spark.createDataFrame([(1, "")], "needle_id long, needle string")).count() == 0
+
+
+def test_leaks_take_one_python_worker_a_task(spark):
+    from tallyspark.operators import retrieval
+
+    public = spark.createDataFrame([(1, "the se_cret Word"), (2, None), (3, "")], "public_id long, text string")
+    private = spark.createDataFrame([(7, "SECRET-word"), (8, ""), (9, None)], "private_id long, value string")
+    out = retrieval.leaks(public, private, "text", "value")
+    assert [tuple(r) for r in out.collect()] == [(1, 7)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
