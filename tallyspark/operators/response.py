@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +74,13 @@ def parsed(answers: DataFrame) -> DataFrame:
     return inside.withColumn("value", F.when(one, F.try_variant_get("_in", "$[0]", "variant"))).drop("_in")
 
 
+def kind_of(value: Column) -> Column:
+    """OBJECT, ARRAY or the type of a scalar. ``schema_of_variant`` reads all that lies below a node, so only scalars and empty lists are asked for it."""
+    scalar = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    opened = lambda at, kind: F.try_variant_get(value, at, kind).isNotNull()
+    return F.when(opened("$[0]", "variant"), "ARRAY").when(opened("$", "map<string,variant>"), "OBJECT").otherwise(scalar)
+
+
 def nodes(answers: DataFrame, known: Sequence[str], more: bool = False) -> DataFrame:
     """(id, arm, pattern, above, pointer, kind, value) of the nodes of ``answers`` (id, arm, text) that stand at ``known`` patterns or above them.
 
@@ -81,7 +89,7 @@ def nodes(answers: DataFrame, known: Sequence[str], more: bool = False) -> DataF
     c = F.col
     ways = sorted({"/".join(steps[:i]) for steps in (p.split("/") for p in known) for i in range(1, len(steps) + 1)})
     deep = lambda n: [w for w in ways if w.count("/") == n]
-    kind = F.substring_index(F.substring_index(F.schema_of_variant("value"), "<", 1), "(", 1)
+    kind = kind_of(c("value"))
     key = F.replace(F.replace(c("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     tvf = answers.sparkSession.tvf
     rows = parsed(answers).select("id", "arm", F.lit("").alias("pattern"), F.lit(None).cast("string").alias("above"), F.lit("").alias("pointer"), "value").withColumn("kind", kind)
@@ -138,15 +146,36 @@ def schema_issues(answers: DataFrame, schema: Sequence[Node] = RESPONSE) -> Data
     return found.unionByName(numbers.where("n <= _before").select("id", "pointer", F.lit("order").alias("code")))
 
 
+# Of these strings one is, in small letters, in all that LEARNER, PRONOUN or MAY_ASSERT finds. The last three are letters that a pattern may take for s or i.
+HINTS = ("student", "learner", "pupil", "class", "the")
+WIDE_HINTS = ("学生", "学员", "同学", "孩子", "儿童", "班级", "全班", "大家", "人人", "他们", "她们", "其", "作答", "答对", "做对", "ſ", "ı", "i̇")
+
+
+def hinted(text: Column) -> Column:
+    """Whether an answer may hold a text that gets a code; one with a backslash may. Plain searches, as patterns over whole answers cost more than
+    parsing them, in one expression that works the answer out once."""
+    among = lambda t, hints: reduce(Column.__or__, (F.contains(t, F.lit(h)) for h in hints))
+    return F.exists(F.array(F.lower(text)), lambda t: among(t, ("\\", *HINTS)) | ((F.octet_length(t) > F.char_length(t)) & among(t, WIDE_HINTS)))
+
+
+def said(text: Column) -> Column:
+    """Whether a text has words without which no warning is given."""
+    return text.rlike(LEARNER) | text.rlike(PRONOUN) | text.rlike(MAY_ASSERT)
+
+
 def lint(answers: DataFrame) -> DataFrame:
     """(id, pointer, code) of texts that may claim what learners did: advice for readers, which filters nothing.
 
     lint.learner: what is shown or claimed names learners; lint.outcome: a text asserts that they achieved something; lint.uncertainty: in an
-    uncertainty, a clause from the first that names learners on says nothing of not knowing."""
+    uncertainty, a clause from the first that names learners on says nothing of not knowing.
+
+    Only answers that may hold such a text are parsed: one without a backslash has its texts as they stand, between quotes, so words that
+    are not in the answer are in none of them."""
     patterns = (*SHOWN, *TAUGHT, "/uncertainties/*")
+    answers = answers.where(hinted(F.col("text")))
     texts = nodes(answers, patterns).where((F.col("kind") == "STRING") & F.col("pattern").isin(*patterns)).select("id", "pattern", "pointer", F.try_variant_get("value", "$", "string").alias("text"))
     named, shown = F.col("text").rlike(LEARNER) | F.col("text").rlike(PRONOUN), F.col("pattern").isin(*SHOWN)
-    texts = texts.where(named | F.col("text").rlike(MAY_ASSERT))  # no other text can get a code
+    texts = texts.where(said(F.col("text")))  # no other text can get a code
     clauses = F.filter(F.split("text", BOUNDARY), lambda x: F.trim(x) != "")
     from_first = F.slice(clauses, F.greatest(F.array_position(F.transform(clauses, lambda x: x.rlike(LEARNER)), True), F.lit(1)), F.greatest(F.size(clauses), F.lit(1)))
     unmarked = F.exists(clauses, lambda x: x.rlike(LEARNER)) & F.exists(from_first, lambda x: ~x.rlike(UNSURE))

@@ -19,7 +19,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     content = F.when(q == 10, "5").when(q == 13, '"Students solved it"').when(q == 14, "null").otherwise('"x"')
     rest = F.when(q == 11, ',"region":null,"no/te":1').when(q == 12, "").otherwise(',"region":"r"')
     action = F.concat(F.lit('{"sequence_index":'), seq, F.lit(',"operation":"'), op, F.lit('","content":'), content, rest, F.lit("}"))
-    actions = li.groupBy("o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", action.alias("a")))), lambda x: x["a"]), ",").alias("actions"))
+    actions = li.groupBy("o").agg(F.array_join(F.sort_array(F.collect_list(F.struct("n", action.alias("a"))))["a"], ",").alias("actions"))
     case = lambda m, bad, good: F.when(o % m == 0, F.lit(bad)).otherwise(F.lit(good))
     text = F.concat(
         F.lit('{"schema_version":"teacher-evidence-response-'), case(23, "v0", "v1"), F.lit('","observed_board_actions":['), "actions", F.lit('],"generalized_teaching_capability":{"name":"n","mechanism":"m","action_program":'), case(17, "[]", '["a"]'),

@@ -85,3 +85,16 @@ def test_advice_filters_nothing(spark):
         ("sure", "/uncertainties/0", "lint.uncertainty"), ("taught", "/generalized_teaching_capability/name", "lint.outcome"),
     ]
     assert response.schema_issues(df.where("id <> 'broken'")).count() == 0
+
+
+def test_lint_parses_answers_that_may_warn_only_and_misses_none(spark, monkeypatch):
+    quiet, said = [action(content="a box"), action(content="X").replace('"X"', '"图像"')], ["Students solved it", "PUPILS did", "the claſs solved it", "THE PUPİLS did", "pupıls did", "They know", "同学们做对", "其", "小明作答", "stud\\u0065nts did"]
+    texts = [*quiet, None, "", *(action(content="X").replace('"X"', f'"{t}"') for t in said), *(changed(uncertainties=[t]) for t in said)]
+    df = spark.createDataFrame([(str(i), "oracle_delta", t) for i, t in enumerate(texts)], "id string, arm string, text string")
+    taught = GOOD["generalized_teaching_capability"] | {"action_program": ["compare"]}
+    plain = df.withColumn("text", response.F.replace("text", response.F.lit("ask the students to compare"), response.F.lit(taught["action_program"][0])))
+    kept = {r.id for r in plain.where(response.hinted(response.F.col("text"))).collect()}
+    assert kept == {str(i) for i in range(4, len(texts))}
+    found = sorted(map(tuple, response.lint(df).collect()))
+    monkeypatch.setattr(response, "hinted", lambda text: response.F.lit(True))
+    assert found and found == sorted(map(tuple, response.lint(df).collect()))
