@@ -18,8 +18,12 @@ def squeeze(text: Column) -> Column:
 
 
 def slug(value: Column, fallback: str) -> Column:
-    """Lower case, runs of other characters as one dash, no dash at the ends, 63 characters at most."""
-    out = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"[^a-z0-9-]+", "-")
+    """Lower case, runs of other characters as one dash, no dash at the ends, 63 characters at most.
+
+    Only what these come from is looked at: 66 characters that stay (in lower case the two beyond ASCII hold one that does) or runs of others, however long."""
+    stays = r"A-Za-z0-9\x{130}\x{212A}"
+    head = F.regexp_extract(F.coalesce(value, F.lit("")), rf"^(?:[{stays}]|[^{stays}]++){{0,66}}", 0)
+    out = F.regexp_replace(F.lower(head), r"[^a-z0-9-]+", "-")
     out = F.regexp_replace(F.regexp_replace(out, r"-{2,}", "-"), r"^-|-$", "")
     return F.regexp_replace(F.left(F.when(out == "", fallback).otherwise(out), F.lit(63)), r"-$", "")
 
@@ -62,7 +66,8 @@ def parse_timecode(text: Column) -> Column:
 
 
 def auto_title(question: Column, width: int = 28) -> Column:
-    short = squeeze(question)
+    """At most ``width`` characters of a text whose runs of white space are single blanks; what lies behind them is not looked at."""
+    short = squeeze(F.regexp_extract(question, rf"^(?:\S|\s++){{0,{width + 3}}}", 0))
     return F.when(F.length(short) > width, F.concat(F.left(short, F.lit(width)), F.lit("…"))).otherwise(short)
 
 
