@@ -60,7 +60,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     Repeated rows are rows of their own, next to each other in their source. The plan depends on the rows
     and ``seed`` alone, not on their order or partitions.
 
-    Sizes are written once to the shared checkpoint folder, and the texts are not moved. Words before a row
+    Sizes, rows and slots are written once to the shared checkpoint folder: what uses the plan reads three tables, where one query of all its
+    steps took the driver hundreds of MB. The texts are not moved. Words before a row
     are counted in two steps (parts of a source, then rows of a part), and slots in shards, so no task
     holds a source. A source's blocks have at most ``block_words`` words, and equal lengths to one word. Draws that a
     source has above its slots go to the sources that have too few, so each gets the round number of its blocks
@@ -82,7 +83,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     base = materialise(base, "mix-parts")
     rows = rows.withColumn("rn", F.row_number().over(order)).withColumn("inner", inner).join(base, ["key", "part"])
     rows = rows.select("doc_id", "key", "part", "rn", "size", (F.col("base") + F.col("inner")).alias("start"))
-    return Plan(sources, rows, draw(sources, shard_slots, seed))
+    return Plan(sources, materialise(rows, "mix-rows"), materialise(draw(sources, shard_slots, seed), "mix-slots"))
 
 
 def draw(sources: DataFrame, shard_slots: int, seed: int, cells: int = 4096) -> DataFrame:
@@ -101,7 +102,7 @@ def draw(sources: DataFrame, shard_slots: int, seed: int, cells: int = 4096) ->
     counts = materialise(with_before(drawn.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")), ["key"], "shard", "n"), "mix-counts")
     within = F.row_number().over(Window.partitionBy("key", "shard").orderBy("slot")) - 1
     ranked = drawn.withColumn("within", within).join(counts.select("key", "shard", "before"), ["key", "shard"])
-    ranked = ranked.select("shard", "slot", "key", "n_slots", (F.col("before") + F.col("within")).alias("k"))
+    ranked = materialise(ranked.select("shard", "slot", "key", "n_slots", (F.col("before") + F.col("within")).alias("k")), "mix-ranked")
 
     freed = ranked.where("k >= n_slots").select("shard", "slot")
     place = F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1

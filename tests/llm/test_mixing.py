@@ -149,3 +149,11 @@ def test_small_sources_meet_their_targets_with_production_parameters(spark):
             assert abs(r.taken - want[s]) <= max(1, min(64, r.size / 16)), s
             assert r.doc_id in held, s
     assert any(t == 2 * sizes[s] for s, t in plain_targets(sizes).items()) and any(t % size[s] for s, t in want.items())
+
+
+def test_a_mix_is_one_small_query_over_the_written_plan(spark):
+    """Broadcasts and shuffles of a query that is all steps at once add up in the driver."""
+    docs = spark.createDataFrame(many(), SCHEMA)
+    for query in (mixing.mixed_documents(docs, mixing.plan_mix(docs)), mixing.taken_words(mixing.plan_mix(docs))):
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert 0 < plan.count("Exchange") <= 16
