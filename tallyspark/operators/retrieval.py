@@ -15,6 +15,7 @@ from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from tallyspark.functions.text import search_tokens
 from tallyspark.operators import matching
+from tallyspark.sources.tables import materialise
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
@@ -71,11 +72,21 @@ def rank(questions: DataFrame, records: DataFrame, k: int) -> DataFrame:
     floor. A record that has none of a question's tokens but the most frequent ones can reach no more than those are worth: where that
     lies below the floor, these tokens call up no candidates. So common words are joined only for questions that have nothing rarer,
     and their records are dealt to several tasks. Records with a matching phrase are candidates in any case. All candidates are scored
-    in full; of each block of a question's candidates k stay before the last comparison."""
+    in full; of each block of a question's candidates k stay before the last comparison.
+
+    Records of equal contents have equal scores, so one of them, that with the smallest id, stands for all: the k best contents by score
+    and smallest id hold the k best records. Their k smallest ids take part in the last comparison, and no more of them can have a place.
+    The two tables that many steps read, distinct contents and questions, are written once."""
     k = max(1, k)
+    contents = ["title", "body", "phrases", "modalities"]
+    alike = records.where("record_id is not null").select("record_id", *contents)
+    alike = alike.withColumn("_nth", F.row_number().over(Window.partitionBy(*contents).orderBy("record_id"))).where(F.col("_nth") <= k)
+    alike = alike.groupBy(*contents).agg(F.array_sort(F.collect_list("record_id")).alias("ids"))
+    records = materialise(alike.withColumn("record_id", F.col("ids")[0]), "rank-contents")
+    questions = materialise(questions.select("question_id", "question"), "rank-questions")
     compact = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     q = questions.select("question_id", search_tokens(F.col("question")).alias("tokens"), compact(F.col("question")).alias("asked")).withColumn("n_tokens", F.greatest(F.size("tokens"), F.lit(1)))
-    r = records.select("record_id", search_tokens(F.col("title")).alias("title"), search_tokens(F.col("body")).alias("body"), "modalities")
+    r = records.select("record_id", search_tokens(F.col("title")).alias("title"), search_tokens(F.col("body")).alias("body"), "modalities", "ids")
     posted = r.select("record_id", F.explode(F.array_union("title", "body")).alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
@@ -86,11 +97,11 @@ def rank(questions: DataFrame, records: DataFrame, k: int) -> DataFrame:
     spare = F.broadcast(records.orderBy(F.desc("modalities"), "record_id").limit(k).select("record_id"))  # at most k rows
     least = q.select("question_id").join(spare)
 
-    def scored(pairs: DataFrame) -> DataFrame:
+    def scored(pairs: DataFrame, *keep: str) -> DataFrame:
         both = pairs.join(q, "question_id").join(r, "record_id")
         title, body = F.size(F.array_intersect("tokens", "title")), F.size(F.array_intersect("tokens", "body"))
         score = 3.0 * title + body + (title + body) / F.col("n_tokens") + F.when(F.col("boost"), 2.0).otherwise(0.0) + 0.08 * F.col("modalities")
-        return both.select("question_id", "record_id", F.round(score, 9).alias("raw"))
+        return both.select("question_id", "record_id", F.round(score, 9).alias("raw"), *keep)
 
     def best(rows: DataFrame) -> DataFrame:
         order = [F.desc("raw"), F.col("record_id")]
@@ -116,7 +127,10 @@ def rank(questions: DataFrame, records: DataFrame, k: int) -> DataFrame:
     hits = needed.join(spread, ["token", "salt"]).select("question_id", "record_id")
     pairs = hits.unionByName(least).withColumn("boost", F.lit(False)).unionByName(boosts.withColumn("boost", F.lit(True)))
     pairs = pairs.groupBy("question_id", "record_id").agg(F.bool_or("boost").alias("boost"))
-    return best(scored(pairs)).select("question_id", "record_id", F.round("raw", 4).alias("score"), "place")
+    copies = best(scored(pairs, "ids")).select("question_id", "raw", F.explode("ids").alias("record_id"))  # k contents of k ids at most
+    order = Window.partitionBy("question_id").orderBy(F.desc("raw"), "record_id")
+    placed = copies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return placed.select("question_id", "record_id", F.round("raw", 4).alias("score"), "place")
 
 
 #: Texts of a batch that are made Python's at a time.

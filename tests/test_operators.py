@@ -92,6 +92,22 @@ def test_lexical_rank_is_that_of_all_pairs(spark):
             assert got[i] == [(rid, pytest.approx(-s, abs=1e-4)) for s, rid in sorted(scores)[:k]], q
 
 
+def test_lexical_rank_scores_equal_records_once(spark, monkeypatch):
+    """Copies share their score: the table that candidates come from has a row for each distinct content, and the smallest ids are placed."""
+    tables = {}
+    write = retrieval.materialise
+    monkeypatch.setattr(retrieval, "materialise", lambda df, name: tables.setdefault(name, write(df, name)))
+    contents = [("bolt", "red", ["bolt"], 0), ("bolt", "blue", ["nut"], 0), ("nut", "red", [], 1), ("nut", None, None, 0)]
+    records = [(100 * c + i, *contents[i % 4]) for c in range(40) for i in (3, 1, 0, 2)] + [(None, *contents[0]), (7, "bolt", "red", ["bolt"], 2)]
+    df = spark.createDataFrame(records, "record_id long, title string, body string, phrases array<string>, modalities int")
+    asked = spark.createDataFrame([(0, "bolt, red"), (1, "nut"), (2, "none")], "question_id int, question string")
+    got: dict = {}
+    for x in sorted(retrieval.rank(asked, df, 3).collect(), key=lambda x: (x.question_id, x.place)):
+        got.setdefault(x.question_id, []).append(x.record_id)
+    assert got == {0: [7, 0, 100], 1: [2, 102, 202], 2: [7, 2, 102]}
+    assert tables["rank-contents"].count() == 5 and max(len(r.ids) for r in tables["rank-contents"].collect()) == 3
+
+
 def test_leaks_join_without_texts(spark):
     hay = spark.createDataFrame([(1, "xx secret value yy"), (2, "se-cret_VALUE"), (3, "none"), (4, None)], "public_id long, text string")
     needle = spark.createDataFrame([(1, "Secret Value"), (2, "abc"), (3, None), (4, "secret")], "private_id long, value string")
