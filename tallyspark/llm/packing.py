@@ -45,7 +45,8 @@ class Encoder:
 
         with open(vocabulary.ranks, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.plain = tiktoken.Encoding("plain", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+        # With no special token the library looks for the empty pattern at every place of a text; this one occurs in none of its texts.
+        self.plain = tiktoken.Encoding("plain", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: max(ranks.values()) + 1})
         self.whole = Tokenizer.from_file(vocabulary.json)
 
     def ids(self, text: str) -> bytes:

@@ -65,6 +65,15 @@ def test_pieces_join_to_the_documents(spark, tokenizer):
     assert whole == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in asked}
 
 
+def test_the_faster_library_has_a_special_token_to_look_for():
+    """Without one it looks for the empty pattern at every place of a text. Its id is no rank's."""
+    own = packing.encoder(packing.default_vocabulary())
+    assert own.plain.special_tokens_set == {packing.SPECIAL}
+    assert own.plain.encode_single_token(packing.SPECIAL) == own.whole.token_to_id(packing.SPECIAL)
+    for text in ("", "a b", "\n é 字 \U0001f600", "x" * 5000, "<|endoftext|", f"a {packing.SPECIAL} b", f"{packing.SPECIAL}" * 3):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 24), st.integers(0, 60)))
 def test_plans_fill_bins_without_gaps(counts):
