@@ -138,50 +138,93 @@ def assessment_issues(assessments: DataFrame, cards: DataFrame, most: int = 10_0
     return both.select("reviewer", "card", F.explode(codes).alias("code"))
 
 
+#: Transitions of sources up to this many are broadcast; beyond it the join shuffles.
+BROADCAST_TRANSITIONS = 500_000
+#: References that one task takes, about.
+REFERENCES_A_TASK = 200_000
+
+
+def suite(capabilities: DataFrame, actions: DataFrame) -> DataFrame:
+    """(cap, transitions, evidence, actions): each capability with its actions as an array, those of an unknown capability without references of its own."""
+    merged = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    whole = capabilities.groupBy("cap").agg(merged("transitions"), merged("evidence"))
+    own = actions.groupBy("cap").agg(F.collect_list(F.struct("action", "origin", "transitions", "deltas", "evidence")).alias("actions"))
+    return whole.join(own, "cap", "full")
+
+
 def suite_issues(capabilities: DataFrame, actions: DataFrame, sources: DataFrame, visuals: DataFrame, submitted: DataFrame) -> DataFrame:
+    """``nested_suite_issues`` of capabilities (cap, transitions, evidence) and actions (cap, action, origin, transitions, deltas, evidence)."""
+    return nested_suite_issues(suite(capabilities, actions), sources, visuals, submitted)
+
+
+def nested_suite_issues(suites: DataFrame, sources: DataFrame, visuals: DataFrame, submitted: DataFrame) -> DataFrame:
     """(cap, action, ref, code) where a suite does not rest on its source catalogue; action is null for the capability's own.
 
-    capabilities: cap, transitions, evidence; actions: cap, action, origin, transitions, deltas, evidence; sources: transition, deltas,
+    suites: cap, transitions, evidence, actions (array of action, origin, transitions, deltas, evidence); sources: transition, deltas,
     evidence (accepted transitions); visuals: transition, delta, evidence (exact pictures of a change); submitted: evidence (shown to the model).
-    All references are arrays of longs or strings of one kind. Each rule is an anti or left join on exploded references; the tables that
-    many rules read are written once."""
-    key = ["cap", "action"]
-    capabilities, actions, sources = (materialise(rows, f"suite-{name}") for rows, name in ((capabilities, "capabilities"), (actions, "actions"), (sources, "sources")))
-    each = lambda rows, c, name: rows.select(*key, F.explode(F.array_distinct(c)).alias(name))
-    whole = capabilities.withColumn("action", F.lit(None).cast(actions.schema["action"].dataType)).select(*key, "transitions", "evidence")
-    both = actions.select(*key, "transitions", "evidence").unionByName(whole)
-    of = lambda c, name: sources.select("transition", F.explode(c).alias(name)).distinct()
-    say = lambda rows, ref, code: rows.select(*key, F.col(ref).cast("string").alias("ref"), F.lit(code).alias("code"))
-
-    used, cited, changed = each(both, "transitions", "transition"), each(both, "evidence", "evidence"), each(actions, "deltas", "delta")
-    # A capability's rows have no action, so their key is its text and whether there is one.
-    keyed = lambda rows, name: rows.select("cap", F.col("action").isNull().alias("_whole"), F.coalesce(F.col("action").cast("string"), F.lit("")).alias("_act"), *key[1:], name)
-    exact = ["cap", "_whole", "_act"]
-
-    def within(rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-        """References of ``rows`` that no used transition has. Each meets its row's own transitions only; those pairs are then looked up among ``pairs``."""
-        rows = keyed(rows, name)
-        asked = rows.drop("action").join(keyed(used, "transition").drop("action"), exact)
-        return rows.join(asked.join(pairs, ["transition", name], "left_semi").select(*exact, name), [*exact, name], "left_anti")
-
-    listed = lambda c, name: capabilities.select("cap", F.explode(c).alias(name)).distinct()
-    known = of("evidence", "evidence").select("evidence").distinct()
-    own = used.where("action is not null")
-    replays = changed.join(actions.where(F.col("origin").isin(*REPLAYS)).select(*key), key, "left_semi")
-    pictures = replays.join(own, key).join(visuals, ["transition", "delta"]).select(*key, "delta", "evidence").distinct()
-    shown = pictures.join(submitted.select("evidence", F.lit(True).alias("_sent")), "evidence", "left").join(cited.withColumn("_cited", F.lit(True)), [*key, "evidence"], "left")
-    shown = shown.groupBy(*key, "delta").agg(F.max(F.coalesce("_cited", F.lit(False))).alias("_cited"), F.max(F.coalesce("_sent", F.lit(False))).alias("_sent"))
-    seen = replays.join(shown, [*key, "delta"], "left")
-    code = F.when(F.col("_cited").isNull(), "source.delta_visual_missing").when(~F.col("_cited"), "action.delta_visual_ref").when(~F.col("_sent"), "action.delta_visual_not_submitted")
+    All references are arrays of longs or strings of one kind. What a capability's references say of each other is told in its row.
+    What its sources say is asked once for evidence and once for changes: a reference goes, with the transitions that its action uses, to
+    the task that has the sources' rows of that evidence or change, and is told there. The tables that several rules read are written once."""
+    suites, sources = materialise(suites, "suite-capabilities", compression="zstd"), materialise(sources, "suite-sources", compression="zstd")
+    some = lambda c: F.coalesce(c, F.array())
+    action_type = suites.schema["actions"].dataType.elementType["action"].dataType
+    say = lambda rows, ref, code: rows.select("cap", "action", F.col(ref).cast("string").alias("ref"), F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"))
+
+    def beyond(refs: Column, known: Column) -> Column:
+        """Distinct references that are not among the known ones; one that is null is none of them."""
+        return F.concat(F.array_except(F.array_compact(refs), known), F.filter(F.array_distinct(refs), lambda r: r.isNull()))
+
+    whole = suites.select("cap", F.lit(None).cast(action_type).alias("action"), some(F.col("transitions")).alias("transitions"), some(F.col("evidence")).alias("evidence"))
+    own = suites.select("cap", some(F.col("transitions")).alias("_transitions"), some(F.col("evidence")).alias("_evidence"), F.inline("actions"))
+    own = own.withColumns({c: some(F.col(c)) for c in ("transitions", "evidence")})
+    replay = F.coalesce(F.col("origin").isin(*REPLAYS), F.lit(False))
+    both = own.select("cap", "action", "transitions", "evidence").unionByName(whole)
+    used = some(F.flatten(F.transform("actions", lambda a: some(a["transitions"]))))
+    refs = lambda rows, of, code: say(rows.select("cap", "action", F.explode(of).alias("ref")), "ref", code)
+
+    uses = both.select("cap", "action", F.explode(F.array_distinct("transitions")).alias("transition"))
+    origins = sources.select("transition").distinct()
+    if origins.count() <= BROADCAST_TRANSITIONS:
+        origins = F.broadcast(origins)
+
+    # As many tasks as there are references of a kind, so that no task's share grows with the tables.
+    n = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    total = own.agg(n("evidence").alias("e"), n("deltas").alias("d")).first().asDict(), whole.agg(n("evidence").alias("e")).first().asDict(), sources.agg(n(some(F.col("evidence"))).alias("e"), n(some(F.col("deltas"))).alias("d")).first().asDict()
+    tasks = {k: sum(x.get(k, 0) for x in total) // REFERENCES_A_TASK + 1 for k in ("e", "d")}
+
+    # Evidence: what some source has is known; one of the transitions used has it, or it is out of scope.
+    mark = sources.select(F.explode("evidence").alias("k"), F.array("transition").alias("ts"), F.lit(None).cast(suites.schema["cap"].dataType).alias("cap"), F.lit(None).cast(action_type).alias("action"), F.lit(True).alias("mark"))
+    asked = both.select(F.explode(F.array_distinct("evidence")).alias("k"), F.array_distinct("transitions").alias("ts"), "cap", "action", F.lit(False).alias("mark"))
+    rows = asked.unionByName(mark).repartition(tasks["e"], "k").withColumn("known", F.max("mark").over(Window.partitionBy("k")))
+    rows = rows.select("k", "cap", "action", "mark", "known", F.explode_outer("ts").alias("t")).withColumn("has", F.max("mark").over(Window.partitionBy("k", "t")))
+    told = rows.where("not mark").groupBy("k", "cap", "action").agg(F.max(F.col("known") & F.col("k").isNotNull()).alias("known"), F.max(F.col("has") & F.col("t").isNotNull()).alias("has"))
+    evidence = told.withColumn("code", F.when(~F.col("known"), "source.evidence_ref").when(~F.col("has"), "source.evidence_scope"))
+
+    # Changes: likewise, and a replay cites and submits one of the pictures that the transitions used have of a change.
+    sent = visuals.join(submitted.select("evidence").distinct().withColumn("sent", F.lit(True)), "evidence", "left")
+    kinds = {"cap": suites.schema["cap"].dataType, "action": action_type, "cited": suites.schema["evidence"].dataType, "picture": visuals.schema["evidence"].dataType, "sent": T.BooleanType()}
+    shape = lambda rows: rows.select("k", "ts", "kind", *(F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
+    asked = own.select("cap", "action", F.explode(F.array_distinct("deltas")).alias("k"), F.array_distinct("transitions").alias("ts"), F.when(replay, F.col("evidence")).alias("cited"), F.lit("asked").alias("kind"))
+    marks = sources.select(F.explode("deltas").alias("k"), F.array("transition").alias("ts"), F.lit("source").alias("kind"))
+    shown = sent.select(F.col("delta").alias("k"), F.array("transition").alias("ts"), F.col("evidence").alias("picture"), F.coalesce("sent", F.lit(False)).alias("sent"), F.lit("picture").alias("kind"))
+    rows = shape(asked).unionByName(shape(marks)).unionByName(shape(shown)).repartition(tasks["d"], "k").withColumn("t", F.explode_outer("ts")).drop("ts")
+    pair = Window.partitionBy("k", "t")
+    rows = rows.withColumns({"has": F.max(F.col("kind") == "source").over(pair), "pictures": F.collect_set(F.when(F.col("kind") == "picture", F.struct("picture", "sent"))).over(pair)})
+    met = F.col("k").isNotNull() & F.col("t").isNotNull()
+    rows = rows.where("kind = 'asked'").select("k", "cap", "action", F.col("cited").isNotNull().alias("replay"), (met & F.col("has")).alias("has"), (met & (F.size("pictures") > 0)).alias("seen"),
+        (met & F.exists("pictures", lambda p: F.coalesce(F.array_contains("cited", p["picture"]), F.lit(False)))).alias("cited"), (met & F.exists("pictures", lambda p: p["sent"])).alias("sent"))
+    told = rows.groupBy("k", "cap", "action").agg(*(F.max(c).alias(c) for c in ("replay", "has", "seen", "cited", "sent")))
+    picture = F.when(~F.col("seen"), "source.delta_visual_missing").when(~F.col("cited"), "action.delta_visual_ref").when(~F.col("sent"), "action.delta_visual_not_submitted")
+    codes = F.array_compact(F.array(F.when(~F.col("has"), "source.delta_ref"), F.when(F.col("replay"), picture)))
+    changes = told.select("cap", "action", "k", F.explode(codes).alias("code"))
+
     parts = [
-        say(used.join(sources.select("transition").distinct(), "transition", "left_anti"), "transition", "source.transition_ref"),
-        say(own.join(listed("transitions", "transition"), ["cap", "transition"], "left_anti"), "transition", "action.capability_transition"),
-        say(cited.where("action is not null").join(listed("evidence", "evidence"), ["cap", "evidence"], "left_anti"), "evidence", "action.capability_evidence"),
-        say(cited.join(known, "evidence", "left_anti"), "evidence", "source.evidence_ref"),
-        say(within(cited.join(known, "evidence", "left_semi"), of("evidence", "evidence"), "evidence"), "evidence", "source.evidence_scope"),
-        say(within(changed, of("deltas", "delta"), "delta"), "delta", "source.delta_ref"),
-        say(actions.where(F.col("origin").isin(*REPLAYS) & (F.size("deltas") < 1)).withColumn("none", F.lit(None).cast("string")), "none", "action.replay_delta"),
-        say(used.where("action is null").join(own.select("cap", "transition").distinct(), ["cap", "transition"], "left_anti"), "transition", "capability.unused_transition"),
-        seen.withColumn("code", code).where("code is not null").select(*key, F.col("delta").cast("string").alias("ref"), "code"),
+        say(uses.join(origins, "transition", "left_anti"), "transition", "source.transition_ref"),
+        refs(own, beyond(F.col("transitions"), F.col("_transitions")), "action.capability_transition"),
+        refs(own, beyond(F.col("evidence"), F.col("_evidence")), "action.capability_evidence"),
+        say(evidence.where("code is not null"), "k", F.col("code")),
+        say(own.where(replay & (F.size("deltas") < 1)).withColumn("none", F.lit(None).cast("string")), "none", "action.replay_delta"),
+        refs(suites.withColumn("action", F.lit(None).cast(action_type)), beyond(some(F.col("transitions")), used), "capability.unused_transition"),
+        say(changes, "k", F.col("code")),
     ]
     return reduce(DataFrame.unionByName, parts)

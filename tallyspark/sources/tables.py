@@ -23,8 +23,8 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(rows.count() // ROWS_A_TASK + 1, *keys)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet below ``spark.checkpoint.dir`` and reads it again, without its lineage.
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes ``df`` as Parquet below ``spark.checkpoint.dir`` and reads it again, without its lineage. ``options`` go to the writer.
 
     Where that is unset, a local session writes below its warehouse; on a cluster it is an error: executors could not share the folder."""
     spark = df.sparkSession
@@ -34,5 +34,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
