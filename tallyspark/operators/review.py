@@ -140,8 +140,25 @@ def assessment_issues(assessments: DataFrame, cards: DataFrame, most: int = 10_0
 
 #: Transitions of sources up to this many are broadcast; beyond it the join shuffles.
 BROADCAST_TRANSITIONS = 500_000
-#: References that one task takes, about.
-REFERENCES_A_TASK = 200_000
+#: References that one task takes, about. One that is asked for more than ``HOT`` times as often is dealt to several tasks.
+REFERENCES_A_TASK, HOT = 200_000, 5
+
+
+def beside(asked: DataFrame, marks: DataFrame, tasks: int) -> tuple[DataFrame, list[str]]:
+    """Rows ``asked`` and ``marks`` (k and equal columns) dealt by k to ``tasks``, and the columns by which they are dealt.
+
+    Where a k is asked for very often its asked rows are dealt by cap and action too, and its marks are sent to each of these tasks. The
+    sketch that finds such keys, 500 at most, decides on the dealing alone."""
+    most = HOT * REFERENCES_A_TASK
+    top = asked.agg(F.expr("approx_top_k(k, 500, 10000)").alias("top")).first()["top"]
+    hot = [(x["item"], x["count"] // REFERENCES_A_TASK + 1) for x in top or () if x["item"] is not None and x["count"] > most]
+    by = ["k"]
+    if hot:
+        salts = F.broadcast(asked.sparkSession.createDataFrame(hot, T.StructType([T.StructField("k", asked.schema["k"].dataType), T.StructField("salts", T.LongType())])))
+        by, n = ["k", "salt"], F.coalesce("salts", F.lit(1))
+        asked = asked.join(salts, "k", "left").withColumn("salt", F.pmod(F.xxhash64("cap", "action"), n)).drop("salts")
+        marks = marks.join(salts, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("salts")
+    return asked.unionByName(marks).repartition(tasks, *by), by
 
 
 def suite(capabilities: DataFrame, actions: DataFrame) -> DataFrame:
@@ -195,9 +212,10 @@ def nested_suite_issues(suites: DataFrame, sources: DataFrame, visuals: DataFram
     # Evidence: what some source has is known; one of the transitions used has it, or it is out of scope.
     mark = sources.select(F.explode("evidence").alias("k"), F.array("transition").alias("ts"), F.lit(None).cast(suites.schema["cap"].dataType).alias("cap"), F.lit(None).cast(action_type).alias("action"), F.lit(True).alias("mark"))
     asked = both.select(F.explode(F.array_distinct("evidence")).alias("k"), F.array_distinct("transitions").alias("ts"), "cap", "action", F.lit(False).alias("mark"))
-    rows = asked.unionByName(mark).repartition(tasks["e"], "k").withColumn("known", F.max("mark").over(Window.partitionBy("k")))
-    rows = rows.select("k", "cap", "action", "mark", "known", F.explode_outer("ts").alias("t")).withColumn("has", F.max("mark").over(Window.partitionBy("k", "t")))
-    told = rows.where("not mark").groupBy("k", "cap", "action").agg(F.max(F.col("known") & F.col("k").isNotNull()).alias("known"), F.max(F.col("has") & F.col("t").isNotNull()).alias("has"))
+    rows, by = beside(asked, mark, tasks["e"])
+    rows = rows.withColumn("known", F.max("mark").over(Window.partitionBy(*by)))
+    rows = rows.select(*by, "cap", "action", "mark", "known", F.explode_outer("ts").alias("t")).withColumn("has", F.max("mark").over(Window.partitionBy(*by, "t")))
+    told = rows.where("not mark").groupBy(*by, "cap", "action").agg(F.max(F.col("known") & F.col("k").isNotNull()).alias("known"), F.max(F.col("has") & F.col("t").isNotNull()).alias("has"))
     evidence = told.withColumn("code", F.when(~F.col("known"), "source.evidence_ref").when(~F.col("has"), "source.evidence_scope"))
 
     # Changes: likewise, and a replay cites and submits one of the pictures that the transitions used have of a change.
@@ -207,13 +225,13 @@ def nested_suite_issues(suites: DataFrame, sources: DataFrame, visuals: DataFram
     asked = own.select("cap", "action", F.explode(F.array_distinct("deltas")).alias("k"), F.array_distinct("transitions").alias("ts"), F.when(replay, F.col("evidence")).alias("cited"), F.lit("asked").alias("kind"))
     marks = sources.select(F.explode("deltas").alias("k"), F.array("transition").alias("ts"), F.lit("source").alias("kind"))
     shown = sent.select(F.col("delta").alias("k"), F.array("transition").alias("ts"), F.col("evidence").alias("picture"), F.coalesce("sent", F.lit(False)).alias("sent"), F.lit("picture").alias("kind"))
-    rows = shape(asked).unionByName(shape(marks)).unionByName(shape(shown)).repartition(tasks["d"], "k").withColumn("t", F.explode_outer("ts")).drop("ts")
-    pair = Window.partitionBy("k", "t")
+    rows, by = beside(shape(asked), shape(marks).unionByName(shape(shown)), tasks["d"])
+    rows, pair = rows.withColumn("t", F.explode_outer("ts")).drop("ts"), Window.partitionBy(*by, "t")
     rows = rows.withColumns({"has": F.max(F.col("kind") == "source").over(pair), "pictures": F.collect_set(F.when(F.col("kind") == "picture", F.struct("picture", "sent"))).over(pair)})
     met = F.col("k").isNotNull() & F.col("t").isNotNull()
-    rows = rows.where("kind = 'asked'").select("k", "cap", "action", F.col("cited").isNotNull().alias("replay"), (met & F.col("has")).alias("has"), (met & (F.size("pictures") > 0)).alias("seen"),
+    rows = rows.where("kind = 'asked'").select(*by, "cap", "action", F.col("cited").isNotNull().alias("replay"), (met & F.col("has")).alias("has"), (met & (F.size("pictures") > 0)).alias("seen"),
         (met & F.exists("pictures", lambda p: F.coalesce(F.array_contains("cited", p["picture"]), F.lit(False)))).alias("cited"), (met & F.exists("pictures", lambda p: p["sent"])).alias("sent"))
-    told = rows.groupBy("k", "cap", "action").agg(*(F.max(c).alias(c) for c in ("replay", "has", "seen", "cited", "sent")))
+    told = rows.groupBy(*by, "cap", "action").agg(*(F.max(c).alias(c) for c in ("replay", "has", "seen", "cited", "sent")))
     picture = F.when(~F.col("seen"), "source.delta_visual_missing").when(~F.col("cited"), "action.delta_visual_ref").when(~F.col("sent"), "action.delta_visual_not_submitted")
     codes = F.array_compact(F.array(F.when(~F.col("has"), "source.delta_ref"), F.when(F.col("replay"), picture)))
     changes = told.select("cap", "action", "k", F.explode(codes).alias("code"))

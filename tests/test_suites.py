@@ -71,6 +71,19 @@ def test_references_are_shuffled_once_a_kind(spark):
     assert sum("Exchange " in line and "Broadcast" not in line for line in initial.splitlines()) <= 6
 
 
+def test_references_that_are_asked_often_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(review, "REFERENCES_A_TASK", 10)
+    monkeypatch.setattr(review, "HOT", 2)
+    asked = spark.range(300).selectExpr("CASE WHEN id % 3 = 0 THEN concat('x', id) WHEN id < 290 THEN 'hot' END AS k", "id AS cap", "1 AS action", "false AS mark")
+    rows, by = review.beside(asked, spark.createDataFrame([("hot", None, None, True), ("x0", None, None, True)], "k string, cap long, action int, mark boolean"), 8)
+    found = rows.collect()
+    assert by == ["k", "salt"] and sum(not r.mark for r in found) == 300
+    salts = {r.salt for r in found if r.k == "hot" and not r.mark}
+    assert len(salts) > 10 and salts <= {r.salt for r in found if r.k == "hot" and r.mark} and {r.salt for r in found if r.k != "hot"} == {0}
+    given = tables(3)
+    assert {(x.cap, x.action, x.ref, x.code) for x in review.suite_issues(*frames(spark, *given)).collect()} == walk(*given)
+
+
 def test_empty_suites(spark):
     given = [df.limit(0) for df in frames(spark, *tables(1))]
     assert review.suite_issues(*given).count() == 0
